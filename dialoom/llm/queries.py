@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding, token_count
+from . import decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, sharding, token_count, warc
 from .common import id_crc
 
 
@@ -28,11 +28,33 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder, manifest = warc.write_archives(pages, revisit_bytes=0)
+    back = warc.read_archives(spark, folder, manifest)
+    kind = pages.schema["page_id"].dataType
+    return back.select(
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.find_contamination(docs, benchmark, window=13, percent=5)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs, id_crc() % 4 != 2)
@@ -40,12 +62,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_score.fold_of("doc_id", 10, 0)
+    scores = lm_score.score(_table(spark, sf_dir, "documents"), ~held_out, lm_score.fold_of("doc_id", 10, 1))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_count": op2_token_count,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
+    "op5_minhash": op5_minhash,
+    "op6_html_text": op6_html_text,
     "op7_decontamination": op7_decontamination,
+    "op8_embeddings": op8_embeddings,
     "op9_language_id": op9_language_id,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {}
