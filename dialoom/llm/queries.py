@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, sharding, token_count, warc
 from .common import id_crc
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +82,5 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
 }
 
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
