@@ -6,7 +6,7 @@ are learned by expectation-maximisation on held-out counts: for the tokens of on
 fold of the training documents, with that fold's counts deleted from all counts.
 
 Counts cover all training documents and are exact; none is cut off. Each partition
-of documents is a block. A block sends the sorted distinct hashes of its words and
+of documents is cut into blocks by the hash of their ids. A block sends the sorted distinct hashes of its words and
 bigrams with its counts to the buckets of a hash range, where the blocks' counts are
 added, and gets the sums back in its own order. So frequent n-grams travel once for
 each block, and memory holds one block or one bucket. Held-out tokens reach the
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_bytes, id_crc, release_shuffles, slices
 from .words import WordCache
 
-#: UTF-8 bytes of text that a block may hold, and that a bucket's share of the counts is planned for.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 40 << 20, 16 << 20, 32
+#: UTF-8 bytes of text that a partition may hold, that a block is planned for, and that a bucket's share of the counts is.
+PART_BYTES, BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 8 << 20, 16 << 20, 32
 #: Contexts are put in buckets by the power of two of their frequency, from unseen (0) to this one.
 CONTEXTS = 24
 #: Steps an octave of the held-out histogram, and the octaves it reaches down.
@@ -44,7 +44,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 @functools.lru_cache(maxsize=1)
 def _words() -> WordCache:
-    return WordCache(xxhash.xxh64_intdigest, 800_000)
+    return WordCache(xxhash.xxh64_intdigest, 400_000)
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +153,14 @@ class _Counts:
 
 
 def score(
-    docs: DataFrame, train: F.Column, fold: F.Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, train: F.Column, fold: F.Column, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     ``train`` says which rows are learned from; ``fold`` which of these are held out
     when weights are learned. The input is read twice and must give the same rows in
     the same partitions both times, as files do; a difference fails the query. Where
-    a partition's text is larger than a block may be, the input is first dealt out
+    a partition's text is larger than ``part_bytes``, the input is first dealt out
     evenly and written to the shared folder.
     """
     spark = docs.sparkSession
@@ -174,25 +174,28 @@ def score(
     )
     sizes = source.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long") + 64).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) > block_bytes:
-        spread = source.withColumn("_p", F.pmod(F.xxhash64("_id", "_text"), F.lit(2 * (-(-total // block_bytes)))))
+    if (largest or 0) > part_bytes:
+        spread = source.withColumn("_p", F.pmod(F.xxhash64("_id", "_text"), F.lit(2 * (-(-total // part_bytes)))))
         written = scratch.path("spread")
         spread.repartition("_p").write.option("maxRecordsPerFile", 20_000).option("compression", "zstd").partitionBy("_p").parquet(written)
         source = spark.read.schema(spread.schema).parquet(written).drop("_p")
+        largest = part_bytes
+    blocks = max(1, -(-(largest or 0) // block_bytes))
+    source = source.withColumn("_sub", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
     buckets = max(LEAST_BUCKETS, -(-(total or 0) // BUCKET_BYTES))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held: dict[int, list] = {0: [], 1: []}  # block of the fold (1) and of all others (0)
+        held: dict[int, list] = {}  # by block: those of the fold are odd
         for batch in slices(batches):
-            for odd in (0, 1):
-                mine = batch.filter(pa.compute.equal(batch.column(2), bool(odd)))
-                if mine.num_rows:
-                    h, begin = tokens(as_bytes(mine.column(0)))
-                    learn = np.repeat(mine.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(begin))
-                    held[odd].append((h, bigrams(h, begin), learn))
-        for odd, parts in held.items():
-            for what in (0, 1) if parts else ():
+            which = (TaskContext.get().partitionId() * blocks + batch.column(3).to_numpy()) * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+            for block in np.unique(which).tolist():
+                mine = batch.filter(pa.array(which == block))
+                h, begin = tokens(as_bytes(mine.column(0)))
+                learn = np.repeat(mine.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(begin))
+                held.setdefault(block, []).append((h, bigrams(h, begin), learn))
+        for block in sorted(held):
+            parts = held.pop(block)
+            for what in (0, 1):
                 keys = np.concatenate([p[what] for p in parts])
                 learn = np.concatenate([p[2] for p in parts])
                 every = np.unique(keys)
@@ -206,14 +209,14 @@ def score(
                         [
                             pa.array([what], pa.int32()),
                             pa.array([b], pa.int32()),
-                            pa.array([2 * part + odd], pa.int64()),
+                            pa.array([block], pa.int64()),
                             pa.array([pack_keys(every[some])], pa.binary()),
                             pa.array([pack_counts(counts[some])], pa.binary()),
                         ],
                         names=["kind", "bucket", "block", "keys", "counts"],
                     )
 
-    sent = source.select("_text", "_train", "_fold").mapInArrow(collect, "kind int, bucket int, block long, keys binary, counts binary")
+    sent = source.select("_text", "_train", "_fold", "_sub").mapInArrow(collect, "kind int, bucket int, block long, keys binary, counts binary")
 
     def add(table: pa.Table) -> pa.Table:
         what, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
@@ -238,7 +241,7 @@ def score(
     release_shuffles(spark)
     words = replies.where("block = -1 and kind = 0").agg(F.sum("distinct"), F.sum("tokens"), F.sum("fold_tokens")).first()
     v, n, n_fold = (int(x or 0) for x in words)
-    texts = source.withColumn("block", F.spark_partition_id().cast("long") * 2 + F.col("_fold").cast("long"))
+    texts = source.withColumn("block", (F.spark_partition_id().cast("long") * blocks + F.col("_sub")) * 2 + F.col("_fold").cast("long"))
     starts = source.where("_train").agg(F.count("*"), F.count_if("_fold")).first()
     answers = replies.where("block >= 0").select("kind", "bucket", "block", "check", "total", "fold")
 

@@ -77,7 +77,8 @@ def test_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     want = brute([(r[0], r[1]) for r in rows])
     same(run(docs).collect(), want)
-    same(run(docs, block_bytes=5000).collect(), want)  # dealt out first
+    same(run(docs, block_bytes=5000).collect(), want)  # several blocks a partition
+    same(run(docs, part_bytes=20_000, block_bytes=5000).collect(), want)  # dealt out first
     assert run(empty_documents(spark)).collect() == []
 
 
