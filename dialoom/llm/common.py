@@ -8,10 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .runs import least_labels
+
 #: A side is broadcast only when it has been counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -106,36 +109,53 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts; fewer edges than this are one partition.
+PART_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as node -> smallest node that they reach."""
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held)
+    ends = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks()
+    values, at = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+    n = table.num_rows
+    root = least_labels(len(values), at[:n], at[n:])
+    some = np.flatnonzero(root != np.arange(len(values)))
+    for k in range(0, len(some), 50_000):
+        part = some[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(values[part], ends.type), pa.array(values[root[part]], ends.type)], names=["a", "b"])
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int = 60, part_edges: int = PART_EDGES) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, root), root the smallest id.
 
-    Alternating large-star and small-star steps; every step halves the distance
-    to the roots on long chains, keeps at most one row per edge, and pre-aggregates
-    the minimum of a node's neighbours before the shuffle, so a node that a third
-    of all edges share is no hot key. Nodes without an edge are not returned.
+    Each round contracts the edges of every partition to stars, a bounded number of
+    edges a task; once they all fit one task, that is the result. While they don't,
+    large-star and small-star steps join the partitions' stars. These keep at most
+    one row per edge and combine the minimum of a node's neighbours before the
+    shuffle. Nodes without an edge are not returned.
     """
-    spark = scratch.spark
-    now = scratch.write(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0"
-    )
-    for k in range(1, rounds):
+    now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_edges")
+    kind = edges.schema["a"].dataType.simpleString()
+    for k in range(rounds):
+        parts = -(-now.count() // part_edges)
+        local = scratch.write(now.coalesce(max(1, parts)).mapInArrow(_forest, f"a {kind}, b {kind}"), f"{name}_{k}_local")
+        if parts <= 1:
+            return local.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: every larger neighbour of a node goes to its smallest neighbour (or itself)
-        both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        both = local.union(local.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         # small star: every smaller neighbour of a node, and the node, go to the smallest of them
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = scratch.write(small.distinct(), f"{name}{k}")
-        # done when all rows are node -> root and no root has a smaller neighbour
-        still = after.alias("x").join(after.select(F.col("a").alias("r")).distinct(), F.col("x.b") == F.col("r"), "left_semi")
-        twice = after.groupBy("a").count().where("count > 1")
-        done = still.limit(1).union(twice.select("a", F.lit(0).cast(after.schema["b"].dataType).alias("b")).limit(1)).count() == 0
-        scratch.drop(f"{name}{k - 1}")
-        now = after
-        if done:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = scratch.write(small.distinct(), f"{name}_{k}_star")
+        # done when all rows are node -> root: no root is a node, and no node has two
+        above = now.join(now.select(F.col("a").alias("r")).distinct(), F.col("b") == F.col("r"), "left_semi")
+        twice = now.groupBy("a").count().where("count > 1")
+        if not above.head(1) and not twice.head(1):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError("the components did not settle")

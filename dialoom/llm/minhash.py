@@ -43,6 +43,9 @@ EMPTY = np.uint16(0xFFFF)
 SMALL = 48
 #: Classes of a block in larger bands, and leaders that each of them meets there.
 BLOCK, LEADERS = 256, 4
+#: Classes of a block of the second round, where pairs of blocks meet: a class of a band
+#: of m classes is copied m / PAIR_BLOCK times.
+PAIR_BLOCK = 1024
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -95,15 +98,11 @@ def plan(percent: int, bands: int = BANDS, miss: float = 1e-5) -> int:
     return max([1, *(r for r in range(1, 13) if (1 - j**r) ** bands < miss)])
 
 
-def by_chance(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
-    """The chance that two different least hashes give one register, for sets of sizes a and b."""
+def leading_zeros(sizes: np.ndarray, count: int) -> np.ndarray:
+    """For sets of these sizes, how likely a register has 0, 1, 2 ... leading zeros."""
     zeros = np.arange(0, 40)[None, :]
-
-    def spread(n: np.ndarray) -> np.ndarray:
-        k = np.maximum(n / count, 1)[:, None]
-        return (1 - 2.0 ** -(zeros + 1)) ** k - (1 - 2.0**-zeros) ** k
-
-    return (np.abs(spread(a)) * np.abs(spread(b))).sum(1) / 2**MANTISSA
+    k = np.maximum(sizes / count, 1)[:, None]
+    return np.abs((1 - 2.0 ** -(zeros + 1)) ** k - (1 - 2.0**-zeros) ** k).astype(np.float32)
 
 
 def band_codes(regs: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +121,7 @@ class Estimator:
 
     def __init__(self, regs: np.ndarray, sizes: np.ndarray, bands: int, percent: int) -> None:
         self.regs, self.sizes, self.bands, self.percent = regs, sizes, bands, percent
+        self.zeros = leading_zeros(sizes, regs.shape[1])
 
     def keep(self, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None) -> np.ndarray:
         """Which pairs may be similar; with ``band``, only if it is the first band they share."""
@@ -135,7 +135,8 @@ class Estimator:
             none = (x == EMPTY) & (y == EMPTY)
             same = x == y
             bins = x.shape[1] - none.sum(1)
-            chance = by_chance(n, m, x.shape[1])
+            # that two different least hashes give one register: as many zeros, and the same mantissa
+            chance = np.einsum("ij,ij->i", self.zeros[i], self.zeros[j]) / 2**MANTISSA
             estimate = ((same & ~none).sum(1) / bins - chance) / (1 - chance)
             limit = self.percent / 100
             good = estimate >= limit - 5 * np.sqrt(limit * (1 - limit) / bins)
@@ -246,7 +247,7 @@ def near_duplicates(
         split = known.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
         left = known.join(split, "_code", "left_semi")
         keys = ["_code", "_lo", "_hi"]
-        left = block_pairs(left, "_rows", "_rep", BLOCK).join(classes.select("_rep", "_n", "_regs"), "_rep")
+        left = block_pairs(left, "_rows", "_rep", PAIR_BLOCK).join(classes.select("_rep", "_n", "_regs"), "_rep")
         left = left.select(*keys, "_own", "_rep", "_root", "_n", "_regs").repartition(*keys).sortWithinPartitions(*keys)
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

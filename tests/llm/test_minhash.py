@@ -87,6 +87,7 @@ def test_links_near_the_limit(spark, monkeypatch):
     # the same with bands that count as large from four classes on, in blocks of ten
     monkeypatch.setattr(minhash, "SMALL", 4)
     monkeypatch.setattr(minhash, "BLOCK", 10)
+    monkeypatch.setattr(minhash, "PAIR_BLOCK", 10)
     monkeypatch.setattr(minhash, "LEADERS", 1)
     assert rows_of(near_duplicates(docs, 3, 85)) == want
 
