@@ -4,14 +4,15 @@ A document's set holds the 64-bit hashes of its word shingles. The hash range is
 into buckets; of each bucket's least hash a register keeps the number of leading
 zeros and ten mantissa bits. Registers are banded; documents that share a band are
 candidates. The Jaccard similarity is estimated from equal registers, corrected for
-chance collisions, and only pairs whose estimate lies far below the limit are let
-go; all others are confirmed on the full sets. Confirmed links give components.
+chance collisions. Links are confirmed on the full sets and give components.
 
-Equal sets are one class and are never compared with each other. In a band shared by
-few classes all pairs are candidates. In a larger one each class meets leaders; then,
-where such a band still spans several components, what is left between components is
-compared block by block, so no link between different sets is lost, and no task
-holds more than two blocks.
+Equal sets are one class and are never compared with each other. In a first round,
+in a band shared by few classes all pairs meet, in a larger one each class meets
+leaders; pairs whose estimate reaches the limit are confirmed. In a second round,
+wherever a band still spans several components, all pairs between components meet,
+block by block, and those are confirmed whose estimate is not so far below the
+limit that chance cannot explain it. So links inside one component are not looked
+for twice, none between components is lost, and no task holds more than two blocks.
 
 Null, empty and white-space texts have empty sets and link with nothing. Texts with
 fewer words than a shingle have one, their whole sequence. Rows that share an id are
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +40,7 @@ MANTISSA = 10
 BANDS = 32
 EMPTY = np.uint16(0xFFFF)
 #: In a band shared by at most so many classes all pairs are candidates.
-SMALL = 48
+SMALL = 8
 #: Classes of a block in larger bands, and leaders that each of them meets there.
 BLOCK, LEADERS = 256, 4
 #: Classes of a block of the second round, where pairs of blocks meet: a class of a band
@@ -123,8 +123,13 @@ class Estimator:
         self.regs, self.sizes, self.bands, self.percent = regs, sizes, bands, percent
         self.zeros = leading_zeros(sizes, regs.shape[1])
 
-    def keep(self, a: np.ndarray, b: np.ndarray, band: np.ndarray | None = None) -> np.ndarray:
-        """Which pairs may be similar; with ``band``, only if it is the first band they share."""
+    def keep(self, a: np.ndarray, b: np.ndarray, band: np.ndarray, slack: bool) -> np.ndarray:
+        """Which pairs share ``band`` as their first one and reach the limit by their estimate; with
+        ``slack``, by an estimate that may lie four standard deviations too low.
+
+        Of a union of u hashes the registers show some without replacement, so the
+        deviation is that of such a sample; a register more or less is allowed beside it.
+        """
         out = np.zeros(len(a), bool)
         for at in range(0, len(a), 8192):
             i, j = a[at : at + 8192], b[at : at + 8192]
@@ -139,11 +144,14 @@ class Estimator:
             chance = np.einsum("ij,ij->i", self.zeros[i], self.zeros[j]) / 2**MANTISSA
             estimate = ((same & ~none).sum(1) / bins - chance) / (1 - chance)
             limit = self.percent / 100
-            good = estimate >= limit - 5 * np.sqrt(limit * (1 - limit) / bins)
-            if band is not None:
-                r = x.shape[1] // self.bands
-                equal = same.reshape(len(i), self.bands, r).all(2) & ~none.reshape(len(i), self.bands, r).all(2)
-                good &= np.argmax(equal, 1) == band[at : at + 8192][fit]
+            if slack:
+                union = np.maximum((n + m) / (1 + limit), bins + 1)
+                deviation = np.sqrt(limit * (1 - limit) / bins * (1 - (bins - 1) / (union - 1)))
+                limit = limit - 4 * deviation - 1 / bins - 0.005
+            good = estimate >= limit
+            r = x.shape[1] // self.bands
+            equal = same.reshape(len(i), self.bands, r).all(2) & ~none.reshape(len(i), self.bands, r).all(2)
+            good &= np.argmax(equal, 1) == band[at : at + 8192][fit]
             out[at + fit[good]] = True
         return out
 
@@ -211,16 +219,15 @@ def near_duplicates(
             look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
             band, total = table["_band"].to_numpy(), table["_rows"].to_numpy()
             chosen: list[tuple] = []
-            few = np.flatnonzero(total[begin[:-1]] <= SMALL)
-            for group in (few,):
-                # runs of small bands stand anywhere in the table: list their begins and lengths
-                lengths = np.diff(begin)[group]
-                for m in np.unique(lengths[lengths > 1]).tolist():
-                    i, j = np.triu_indices(m, 1)
-                    at = begin[:-1][group][lengths == m]
-                    for k in range(0, len(at), max(1, 100_000 // len(i))):
-                        some = at[k : k + max(1, 100_000 // len(i)), None]
-                        chosen.append(((some + i).ravel(), (some + j).ravel()))
+            small = total[begin[:-1]] <= SMALL
+            lengths = np.diff(begin)
+            for m in np.unique(lengths[small & (lengths > 1)]).tolist():
+                i, j = np.triu_indices(m, 1)
+                at = begin[:-1][small & (lengths == m)]
+                step = max(1, 100_000 // len(i))
+                for k in range(0, len(at), step):
+                    some = at[k : k + step, None]
+                    chosen.append(((some + i).ravel(), (some + j).ravel()))
             for r in np.flatnonzero(total[begin[:-1]] > SMALL).tolist():
                 lo, hi = int(begin[r]), int(begin[r + 1])
                 for lead in range(lo, min(lo + LEADERS, hi)):  # in order of id, so the same ones lead in many bands
@@ -228,7 +235,7 @@ def near_duplicates(
                     chosen.append((np.full(len(rest), lead), rest))
             out_a, out_b = [], []
             for a, b in chosen:
-                ok = look.keep(a, b, band[a])
+                ok = look.keep(a, b, band[a], False)
                 out_a.append(a[ok])
                 out_b.append(b[ok])
             if out_a:
@@ -236,40 +243,38 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([who.take(pa.array(np.concatenate(out_a))), who.take(pa.array(np.concatenate(out_b)))], names=["a", "b"])
 
     pairs = dealt.mapInArrow(meet, f"a {kind}, b {kind}")
-    links = _confirm(scratch, docs, classes, pairs, "one", shingle, percent, id_col, text_col)
+    links = _confirm(scratch, docs, classes, pairs, "one", shingle, percent, id_col, text_col, None)
     roots = components(scratch, links, "cc1_")
 
-    # second round: what is left between the components of one large band
-    large = members.where(F.col("_rows") > SMALL)
-    if large.head(1):
-        known = large.join(roots, F.col("_rep") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_rep")).drop("node", "root")
-        known = scratch.write(known, "large")
-        split = known.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
-        left = known.join(split, "_code", "left_semi")
-        keys = ["_code", "_lo", "_hi"]
-        left = block_pairs(left, "_rows", "_rep", PAIR_BLOCK).join(classes.select("_rep", "_n", "_regs"), "_rep")
-        left = left.select(*keys, "_own", "_rep", "_root", "_n", "_regs").repartition(*keys).sortWithinPartitions(*keys)
-
-        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, begin in complete_runs(batches, 3, 1024):
-                look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
-                own, lo, hi = (table[c].to_numpy() for c in ("_own", "_lo", "_hi"))
-                root = table["_root"].combine_chunks().dictionary_encode().indices.to_numpy()
-                out_a, out_b = [], []
-                for a, b in grouped_pairs(begin, 1 << 20):
-                    apart = (root[a] != root[b]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
-                    a, b = a[apart], b[apart]
-                    ok = look.keep(a, b)
-                    out_a.append(a[ok])
-                    out_b.append(b[ok])
-                if out_a:
-                    who = table["_rep"].combine_chunks()
-                    yield pa.RecordBatch.from_arrays([who.take(pa.array(np.concatenate(out_a))), who.take(pa.array(np.concatenate(out_b)))], names=["a", "b"])
-
-        more = _confirm(scratch, docs, classes, left.mapInArrow(rest, f"a {kind}, b {kind}"), "two", shingle, percent, id_col, text_col)
-        joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(scratch, joined, "cc2_")
-        scratch.drop("large")
+    # second round: what is left between the components of one band
+    known = members.join(roots, F.col("_rep") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_rep")).drop("node", "root")
+    known = scratch.write(known, "known")
+    split = known.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
+    left = known.join(split, "_code", "left_semi")
+    keys = ["_code", "_lo", "_hi"]
+    left = block_pairs(left, "_rows", "_rep", PAIR_BLOCK).join(classes.select("_rep", "_n", "_regs"), "_rep")
+    left = left.select(*keys, "_own", "_band", "_rep", "_root", "_n", "_regs").repartition(*keys).sortWithinPartitions(*keys)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in complete_runs(batches, 3, 2048):
+            look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
+            own, lo, hi, band = (table[c].to_numpy() for c in ("_own", "_lo", "_hi", "_band"))
+            root = table["_root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            out_a, out_b = [], []
+            for a, b in grouped_pairs(begin, 1 << 20):
+                apart = (root[a] != root[b]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
+                a, b = a[apart], b[apart]
+                ok = look.keep(a, b, band[a], True)
+                out_a.append(a[ok])
+                out_b.append(b[ok])
+            if out_a:
+                who = table["_rep"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([who.take(pa.array(np.concatenate(out_a))), who.take(pa.array(np.concatenate(out_b)))], names=["a", "b"])
+
+    more = _confirm(scratch, docs, classes, left.mapInArrow(rest, f"a {kind}, b {kind}"), "two", shingle, percent, id_col, text_col, "pairs_one")
+    joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = components(scratch, joined, "cc2_")
+    scratch.drop("known")
     scratch.drop("members")
 
     named = classes.select("_class", "_rep").join(roots, F.col("_rep") == F.col("node")).select("_class", F.col("root").alias("_root"))
@@ -284,15 +289,19 @@ def near_duplicates(
 
 
 def _confirm(
-    scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str, size: int, percent: int, id_col: str, text_col: str
+    scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str, size: int, percent: int, id_col: str, text_col: str, tested: str | None
 ) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Sets are made anew from the texts, of pairs' members only.
+    """The pairs (a, b) whose full sets are similar. Sets are made anew from the texts, of pairs' members only;
+    pairs of the table ``tested`` have been judged before.
 
     The sets travel as the upper 40 bits of their hashes: for sets of n and m shingles
     the chance of a wrong count is about n * m / 2**40."""
     kind = docs.schema[id_col].dataType.simpleString()
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs_{name}")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tested:
+        pairs = pairs.join(scratch.spark.read.schema(pairs.schema).parquet(scratch.path(tested)), ["a", "b"], "left_anti")
+    pairs = scratch.write(pairs, f"pairs_{name}")
+    ids = pairs.select(F.col("a").alias("_rep")).union(pairs.select("b")).distinct()
     wanted = scratch.write(classes.select("_rep", "_class").join(ids, "_rep", "left_semi"), f"wanted_{name}")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text")).join(small_side(wanted, wanted.count()), "_rep")
 
@@ -322,7 +331,7 @@ def _confirm(
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     links = scratch.write(both.select("a", "b", "_x", "_y").mapInArrow(check, f"a {kind}, b {kind}"), f"links_{name}")
-    scratch.drop(f"sets_{name}", f"wanted_{name}", f"pairs_{name}")
+    scratch.drop(f"sets_{name}", f"wanted_{name}")
     release_shuffles(scratch.spark)
     return links
 
@@ -350,4 +359,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     return left.join(same, id_col, "left_anti").select(*docs.columns).union(once)
 
 
-__all__ = ["drop_near_duplicates", "math", "near_duplicates", "plan", "registers", "shingles"]
+__all__ = ["drop_near_duplicates", "near_duplicates", "plan", "registers", "shingles"]
