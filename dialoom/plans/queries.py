@@ -72,41 +72,36 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "doc_id", F.expr(PROBLEM).alias("problem"))
 
 
+def _turn_columns() -> dict:
+    tutor = F.col("role") == "assistant"
+    return {
+        "turn": F.col("turn"),
+        "role": F.when(tutor, "teacher").otherwise("student"),
+        "content": F.col("text"),
+        "student_emotion": F.when(tutor, F.expr(SPARK_EMOTION)),
+        "thought_process": F.when(tutor, F.expr(THOUGHT)),
+    }
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as learner's and tutor's turns; system messages go."""
     rows = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
-    tutor = F.col("role") == "assistant"
-    return rows.select(
-        "conv_id",
-        "turn",
-        F.when(tutor, "teacher").otherwise("student").alias("role"),
-        F.col("text").alias("content"),
-        F.when(tutor, F.expr(SPARK_EMOTION)).alias("student_emotion"),
-        F.when(tutor, F.expr(THOUGHT)).alias("thought_process"),
-    )
+    return rows.select("conv_id", *[c.alias(n) for n, c in _turn_columns().items()])
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with their turns in order; a session without such turns has an empty list."""
-    fields = ["turn", "role", "content", "thought_process", "student_emotion"]
-    said = turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("conversation"))
-    every = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    full = F.transform(
-        "conversation",
-        lambda t: F.struct(
-            t["turn"].cast("int").alias("turn"),
-            t["role"].alias("role"),
-            t["content"].alias("content"),
-            t["thought_process"].alias("thought_process"),
-            t["student_emotion"].alias("student_emotion"),
-            F.lit(None).cast("string").alias("roadmap_breakdown"),
-            F.concat(F.lit("plan "), t["turn"].cast("string")).alias("next_step_plan"),
-        ),
-    )
-    problem = F.concat(F.lit("problem "), F.col("conv_id").cast("string"))
-    return every.join(said, "conv_id", "left").select(
-        "conv_id", F.col("conv_id").alias("pos"), problem.alias("problem"), (F.col("conv_id") % 5 != 0).alias("is_completed"), full.alias("conversation")
+    """Sessions with their turns in order, by one shuffle; a session without such turns has an empty list."""
+    turn = _turn_columns()
+    full = F.struct(
+        turn["turn"].cast("int").alias("turn"),
+        *[turn[n].alias(n) for n in ("role", "content", "thought_process", "student_emotion")],
+        F.lit(None).cast("string").alias("roadmap_breakdown"),
+        F.concat(F.lit("plan "), turn["turn"].cast("string")).alias("next_step_plan"),
     )
+    said = F.array_sort(F.collect_list(F.when(F.col("role").isin("user", "assistant"), full)))
+    n = F.col("conv_id")
+    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("conversation"))
+    return got.select("conv_id", n.alias("pos"), F.concat(F.lit("problem "), n.cast("string")).alias("problem"), (n % 5 != 0).alias("is_completed"), "conversation")
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -463,7 +458,7 @@ def sft_seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_TURNS} SELECT conv_id, string_agg(concat(role, ': ', content), chr(10) ORDER BY turn) AS history, CAST(count(*) // 2 AS BIGINT) AS exchanges FROM turns GROUP BY conv_id")
 def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = sessions(spark, sf_dir).where("conversation is not null")
+    log = sessions(spark, sf_dir).where("size(conversation) > 0")
     return log.select("conv_id", chat.history(F.col("conversation")).alias("history"), chat.exchanges(F.col("conversation")).cast("long").alias("exchanges"))
 
 
