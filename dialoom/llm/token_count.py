@@ -34,24 +34,23 @@ def byte_symbols() -> list[str]:
 def merge_count(symbols: list, merges: dict) -> int:
     """How many symbols are left after merging; ``merges``: pair -> rank * 2**20 + merged symbol.
 
-    The heap holds rank * 2**20 + place of adjacent pairs. A popped entry counts
-    only if the pair that is now at its place has its rank. Right and left
-    neighbours form a linked list, so a merge costs O(log n). ``symbols`` is used up.
+    The heap holds rank * 2**40 + place of adjacent pairs, so no piece that fits into
+    memory is too long. A popped entry counts only if the pair that is now at its place
+    has its rank. Right and left neighbours form a linked list, so a merge costs
+    O(log n). ``symbols`` is used up.
     """
     n = last = len(symbols)
     find = merges.get
     if n < 3:
         return n - (n == 2 and (symbols[0], symbols[1]) in merges)
-    if n >= 1 << 20:
-        raise ValueError("a piece without white space of over a million bytes")
-    heap = [m >> 20 << 20 | i for i, pair in enumerate(zip(symbols, symbols[1:])) if (m := find(pair))]
+    heap = [m >> 20 << 40 | i for i, pair in enumerate(zip(symbols, symbols[1:])) if (m := find(pair))]
     heapify(heap)
     right, left = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
         top = heappop(heap)
-        i = top & 0xFFFFF
+        i = top & 0xFFFFFFFFFF
         j = right[i]
-        if j >= last or not (m := find((symbols[i], symbols[j]))) or m >> 20 != top >> 20:
+        if j >= last or not (m := find((symbols[i], symbols[j]))) or m >> 20 != top >> 40:
             continue
         symbols[i] = new = m & 0xFFFFF
         symbols[j] = -1
@@ -60,9 +59,9 @@ def merge_count(symbols: list, merges: dict) -> int:
         if k < last:
             left[k] = i
             if m := find((new, symbols[k])):
-                heappush(heap, m >> 20 << 20 | i)
+                heappush(heap, m >> 20 << 40 | i)
         if (h := left[i]) >= 0 and (m := find((symbols[h], new))):
-            heappush(heap, m >> 20 << 20 | h)
+            heappush(heap, m >> 20 << 40 | h)
     return n
 
 

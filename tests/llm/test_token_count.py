@@ -42,3 +42,12 @@ def test_spaces():
     for _ in range(2000):
         text = "".join(draw.choice("ab  \n\t.1é") for _ in range(draw.randrange(20)))
         assert COUNTER(text) == library_count(text), repr(text)
+
+
+def test_pieces_of_over_a_million_bytes():
+    draw = random.Random(5)
+    letters = "".join(draw.choices("etaoin shrdlu".replace(" ", ""), k=1_100_000))
+    for text in ("a" * 1_100_000, letters, "中文字" * 120_000, " " * 1_100_000, "\n" * 1_100_000, "-" * 1_100_000):
+        assert len(text.encode()) > 1 << 20
+        assert COUNTER(text) == library_count(text), text[:9]
+        assert COUNTER(f"before {text} after") == library_count(f"before {text} after"), text[:9]
