@@ -9,8 +9,10 @@ ascent on the likelihood of labelled pages, whose gradients come from the same
 messages. The labelled pages are made by ``labelled_pages`` from a fixed seed.
 
 Null and empty html give an empty text, and so do pages without content. Broken
-pages are read as far as they go: unclosed elements end with their parent, a tag cut
-off at the end is dropped. Repeated pages give repeated rows. Pages of any length
+pages are read as far as they go: unclosed elements, hidden ones too, end with their
+parent, a tag cut off at the end is dropped. A head is no element of its own: what it
+may hold is hidden anyway, and whatever else follows belongs to the body, with or
+without </head>. Repeated pages give repeated rows. Pages of any length
 are read whole; nesting of any depth needs no recursion.
 """
 
@@ -34,7 +36,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose text is not the page's, whatever holds them.
-HIDDEN = frozenset("script style template noscript iframe object svg math head title textarea select button audio video canvas datalist".split())
+HIDDEN = frozenset("script style template noscript iframe object svg math title textarea select button audio video canvas datalist".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +53,18 @@ ITEMS = {
     "tfoot": ("tbody", "thead", "tr", "td", "th"),
 }
 SCOPES = frozenset("table ul ol dl menu dir body html".split())
+#: Elements that leave a head open, and those of them that may hold any tag's name.
+METADATA = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+CODE = frozenset("script style template".split())
+#: Drawings and formulas, their parts that hold markup, and the starts that end them where those are not open.
+FOREIGN = ("svg", "math")
+INTEGRATION = ("foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN_END = re.compile(r"</(?:svg|math)(?=[\s/>])", re.IGNORECASE)
+#: Starts that end an open select.
+NOT_IN_SELECT = NO_PARAGRAPH - frozenset("hr div legend".split()) | {"select", "input", "textarea"}
 
 TOKEN = re.compile(
     r"""<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(>|\Z)""", re.DOTALL
@@ -91,18 +105,42 @@ class Page:
         self.linked, self.links = [0], [0]
 
 
+class Opened:
+    """Names of open elements in page order; the last place of a name is at hand, so unmatched end tags cost no search."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def cut(self, place: int) -> None:
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+
+
 def parse(source: str) -> Page:
     """Reads a page's block tree and its runs of text; one pass, no recursion."""
     page, at, n = Page(), 0, len(source)
-    stack: list[tuple[str, int]] = [("html", 0)]  # open block elements
-    node, link, hidden, run = 0, 0, 0, None
-    hidden_tag = ""
+    opened = Opened()  # open elements that are no nodes: inline ones, and all in a hidden one
+    stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # open block elements: name, node, how many were opened before
+    node, link, run = 0, 0, None
+    hidden = -1  # place of the open hidden element in ``opened``
+    head = True  # nothing of the body has been seen
+    endless: set[str] = set()  # elements without markup that no later end tag closes
 
     def text(piece: str) -> None:
-        nonlocal run
+        nonlocal run, head
         if run is None or run[0] != node:
             if not piece or piece.isspace():
                 return
+            head = False
             page.runs.append(run := [node, []])
         run[1].append(piece)
         if link:
@@ -110,6 +148,7 @@ def parse(source: str) -> Page:
 
     def close(depth: int) -> None:
         nonlocal node, run
+        opened.cut(stack[depth][2])
         del stack[depth:]
         node, run = stack[-1][1], None
 
@@ -121,17 +160,35 @@ def parse(source: str) -> Page:
                 return None
         return None
 
+    def broken_off(name: str) -> int:
+        """The place of the open element, hidden or in a hidden one, that a start tag ends; -1 if it ends none."""
+        first = opened.names[hidden]
+        if head:
+            return hidden if name == "body" or (name in BLOCKS and first not in CODE) else -1
+        k = max(map(opened.last, FOREIGN))
+        if k >= hidden and name in BREAKOUT and max(map(opened.last, INTEGRATION)) < k:
+            return k
+        k = opened.last("select")
+        if k >= hidden and name in NOT_IN_SELECT:
+            return k
+        if name == "button" and (k := opened.last(name)) >= hidden:
+            return k
+        if name in ITEMS and first != "template" and max(map(opened.last, SCOPES)) < hidden:
+            kinds = ITEMS[name]
+            return hidden if any(s[0] in kinds for s in stack[_floor(stack) :]) else -1
+        return -1
+
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not hidden:
+        if lt > at and hidden < 0:
             text(source[at:lt])
         if lt == n:
             break
         m = TOKEN.match(source, lt)
         if not m:
-            if not hidden and lt + 1 < n:
+            if hidden < 0 and lt + 1 < n:
                 text("<")
             at = lt + 1
             continue
@@ -141,12 +198,23 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if m[1]:
-            if hidden:
-                if name == hidden_tag:
-                    hidden -= 1
-                continue
+            place = opened.last(name)
+            if hidden >= 0:
+                if place >= hidden:
+                    opened.cut(place)
+                    hidden = -1 if place == hidden else hidden
+                    continue
+                # the end of an open parent ends it too
+                if not (any(s[0] == name for s in stack[1:]) if name in BLOCKS else place >= stack[-1][2] or (head and name == "head")):
+                    continue
+                opened.cut(hidden)
+                hidden = -1
+            if place >= stack[-1][2]:
+                opened.cut(place)
             if name == "a":
                 link = 0
+            elif name == "head":
+                head = False
             elif name in BLOCKS:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == name:
@@ -155,17 +223,38 @@ def parse(source: str) -> Page:
             continue
         attributes = m[3]
         empty = name in VOID or (attributes.endswith("/") and name not in BLOCKS)
-        if hidden:
-            hidden += name == hidden_tag and not empty
-            continue
-        if name in RAW:
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.IGNORECASE).search(source, at)
-            at = end.end() if end else n
+        foreign = False
+        if hidden >= 0:
+            place = broken_off(name)
+            if place >= 0:
+                selects = name == opened.names[place] == "select"
+                opened.cut(place)
+                hidden = -1 if place == hidden else hidden
+                if selects:
+                    continue
+            foreign = hidden >= 0 and max(map(opened.last, FOREIGN)) >= hidden
+        if name in RAW and not (foreign and empty):
+            end = None
+            if name not in endless:
+                end = re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.IGNORECASE).search(source, at)
+                if not end:
+                    endless.add(name)
+            if end and not (foreign and FOREIGN_END.search(source, at, end.start() + 1)):
+                at = end.end()
+                continue
+        if hidden >= 0:
+            if not empty:
+                opened.push(name)
             continue
-        if name in HIDDEN:
+        if name not in METADATA:
+            head = False
+        if name in HIDDEN or name in RAW:
             if not empty:
-                hidden, hidden_tag = 1, name
+                hidden = len(opened.names)
+                opened.push(name)
             continue
+        if not empty and name not in BLOCKS:
+            opened.push(name)
         if name == "a":
             link = 1
             page.links[node] += 1
@@ -203,11 +292,11 @@ def parse(source: str) -> Page:
             page.linked.append(0)
             page.links.append(0)
             node = len(page.tags) - 1
-            stack.append((name, node))
+            stack.append((name, node, len(opened.names)))
     return page
 
 
-def _floor(stack: list[tuple[str, int]]) -> int:
+def _floor(stack: list[tuple[str, int, int]]) -> int:
     """The place above the innermost list, table or body."""
     for depth in range(len(stack) - 1, -1, -1):
         if stack[depth][0] in SCOPES:

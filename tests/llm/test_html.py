@@ -48,6 +48,45 @@ def test_broken_markup():
     assert len(one("<article>" + "<p>" + "word " * 300_000)) == 5 * 300_000 - 1
 
 
+def test_head_without_end():
+    metadata = "<title>t</title><meta charset=utf-8><link rel=x href=y><style>p{}</style><script>var t='</p>';</script>"
+    rest = f"<nav><ul><li><a href=/>Home</a></li></ul></nav><article>{ARTICLE}</article>"
+    for page in (
+        f"<html><head>{metadata}<body>{rest}</body></html>",
+        f"<head>{metadata}{rest}",
+        f"<html><head>{metadata}<noscript><p>x</p></noscript><template><p>x</p></template><body>{rest}",
+        f"<html><head><title>never closed<body>{rest}",
+        f"<html><head><title>never closed</head>{rest}",
+        f"<head><title>never closed{rest}",
+    ):
+        assert one(page) == WANT, page
+
+
+def test_scripts_are_no_markup():
+    for script in ("if (a<b && c) {} // don't", "s = '<head>'", "s = '<head><svg>'; t = \"<button\"", "for(i=0;i<n;i++) x = \"it's <template> \""):
+        for head in (f"<head><script>{script}</script><title>t</title></head>", f"<head><script>{script}</script><title>t</title>"):
+            page = f"<html>{head}<body><article>{ARTICLE}</article><p class=footer>That isn't it.</p></body></html>"
+            assert one(page).startswith(WANT), (script, head)
+        for around in ("button", "object", "svg", "template", "video"):
+            assert one(f"<body><article><{around}>x<script>{script}</script>y</{around}>{ARTICLE}</article><p>isn't</p>").startswith(WANT), (script, around)
+
+
+def test_unclosed_hidden_elements_end_with_their_parent():
+    texts = lambda html: [t for _, t in blocks(parse(html))]
+    for tag in "button select object audio video canvas datalist svg math template textarea iframe noscript title script style".split():
+        assert texts(f"<body><div>a<{tag}>hidden</div>b<p>c</p>") == ["a", "b", "c"], tag
+        assert texts(f"<body><ul><li>a<span><{tag}>hidden</span> b</li><li>c</ul>d") == ["a b", "c", "d"], tag
+        if tag != "template":
+            assert texts(f"<body><table><tr><td>a<{tag}>hidden<td>b</table>c") == ["a", "b", "c"], tag
+    # closed ones hide all that they hold
+    for tag in "button object audio video canvas template".split():
+        assert texts(f"<div>a<{tag}><div>x<p>y<br/>z</div><ul><li>x<li>y</ul><{'x-' + tag}>x</{tag}> b</div>c") == ["a b", "c"], tag
+    assert texts("<div>a<button>x<button>y</button> b</div>c") == ["a b", "c"]
+    assert texts("<div>a<select><option>x<select> b</div><div><select><option>x<input> c</div><select><option>x<p>d") == ["a b", "c", "d"]
+    assert texts("<div>a<svg><title>x<g><path/></svg> b<svg><script/><style/><text>x</text></svg> c<svg><desc><p>x</p></desc></svg></div><svg><g><p>d") == ["a b c", "d"]
+    assert texts("<div>a<object>" + "<i></b></div2>" * 50_000 + "</div>b") == ["a", "b"]
+
+
 def test_blocks_keep_page_order():
     page = parse("<div>one<p>two</p>three <ul><li>four<li>five</ul> six</div>seven")
     assert [t for _, t in blocks(page)] == ["one", "two", "three", "four", "five", "six", "seven"]
