@@ -197,14 +197,14 @@ def fixed_precision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies with an object among other text, broken objects and none; Python's parser decides."""
-    good = F.to_json(F.struct(F.col("source").alias("teacher_utterance"), (F.col("doc_id") % 2 == 0).alias("is_completed")))
+    """Replies with an object among other text, broken objects and none; Python's parser decides on whole texts."""
+    good = F.to_json(F.struct(F.col("text").alias("teacher_utterance"), (F.col("doc_id") % 2 == 0).alias("is_completed")))
     reply = (
         F.when(F.col("doc_id") % 5 == 0, good)
         .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("So: "), good, F.lit(" done.")))
-        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("{broken "), F.col("source")))
-        .when(F.col("doc_id") % 5 == 3, F.lit('{"is_completed": true, "x": NaN}'))
-        .otherwise(F.substring("text", 1, 40))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("{broken "), F.col("text")))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.col("text"), F.lit(' {"is_completed": true, "x": NaN}')))
+        .otherwise(F.col("text"))
     )
     return table(spark, sf_dir, "documents").select("doc_id", embedded_reply(reply).alias("r")).select("doc_id", "r.*")
 

@@ -1,10 +1,12 @@
 """Every query with SQL against DuckDB on the same tables; every other one runs."""
 
+import json
 import math
 
 import duckdb
 import pytest
 
+from dialoom.functions.text import parse_embedded
 from dialoom.plans.queries import SQL, Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,6 +47,22 @@ def test_runs(spark, sf_dir, name):
     assert Q[name](spark, sf_dir).count() > 0
 
 
+def test_embedded_json_reads_whole_texts(spark, tmp_path):
+    long = "words of a tutor " * 50
+    texts = ["short", long, f'{long}{{"teacher_utterance": "said \\" é", "is_completed": true}} end', f"{long}{{broken", f"{long}\n\t\"'\\ 中文 \u2028", ""]
+    rows = [(k, texts[k % len(texts)], "s", "en") for k in range(5 * len(texts))]
+    spark.createDataFrame([*rows, (30, None, "s", "en"), (31, None, "s", "en"), (34, None, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def reply(k, text):
+        good = json.dumps({"teacher_utterance": text, "is_completed": k % 2 == 0}, ensure_ascii=False)
+        return (good, f"So: {good} done.", "{broken " + text, text + ' {"is_completed": true, "x": NaN}', text)[k % 5]
+
+    got = {r.doc_id: (r.teacher_utterance, r.is_completed) for r in Q["embedded_json"](spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k < 30} == {k: parse_embedded(reply(k, text)) for k, text, *_ in rows}
+    assert got[0] == ("short", True) and got[14] == ('said " é', True) and got[19][0] == texts[1]
+    assert [got[k] for k in (30, 31, 34)] == [("", True), ("", False), (None, False)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
