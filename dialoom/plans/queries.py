@@ -309,8 +309,10 @@ def profile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents take part; each third one has a key that no original has, which the SQL's condition says too."""
+    n = F.col("doc_id")
     originals = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("item_id").alias("place"), F.length("text").cast("long").alias("n"))
-    similar = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), "source", "lang")
+    similar = table(spark, sf_dir, "documents").select(F.when(n % 3 != 0, n).otherwise(-1 - n).alias("key"), "source", "lang")
     return assign.pair(originals, similar)
 
 
@@ -493,7 +495,7 @@ def dialogue_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evaluation_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     originals = _records(spark, sf_dir).where("translated_question <> ''").select(F.col("id").alias("key"), F.col("pos").alias("place"), "translated_question")
-    similar = _records(spark, sf_dir).where("pos % 3 <> 0").select(F.col("id").alias("key"), F.lit("q").alias("similar_question"), F.lit("s").alias("similar_solution"))
+    similar = _records(spark, sf_dir).select(F.when(F.col("pos") % 3 != 0, F.col("id")).otherwise(source_id("unmatched_", F.col("pos"))).alias("key"), F.lit("q").alias("similar_question"), F.lit("s").alias("similar_solution"))
     inputs = workflows.evaluation_inputs(originals, similar, presets.profiles(spark), presets.EVALUATION_PROMPT, presets.TEACHER_PROMPT)
     client = StubClient(fail_in=29)
     got = workflows.evaluate(spark, inputs, client, client, client, presets.JUDGE_PROMPT, fresh_path(spark, "evaluation"))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from dialoom.functions.text import parse_embedded
+from dialoom.operators import assign
 from dialoom.plans.queries import SQL, Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,6 +64,17 @@ def test_embedded_json_reads_whole_texts(spark, tmp_path):
     assert [got[k] for k in (30, 31, 34)] == [("", True), ("", False), (None, False)]
 
 
+@pytest.mark.parametrize("name, partners", [("pair_original_similar", "documents"), ("profile_assign_matched", "documents"), ("evaluation_stub", "benchmark")])
+def test_all_partners_are_joined(spark, sf_dir, monkeypatch, name, partners):
+    joined = []
+    pair = assign.pair
+    monkeypatch.setattr(assign, "pair", lambda left, right, *more: joined.append((left, right)) or pair(left, right, *more))
+    assert Q[name](spark, sf_dir).count() > 0
+    [(left, right)] = joined
+    assert right.count() == spark.read.parquet(f"{sf_dir}/{partners}.parquet").count()
+    assert left.join(right, "key", "left_anti").count() > 0  # rows without a partner are still shown
+
+
 def test_entry(spark):
     import __spark_entry__
 
