@@ -14,7 +14,8 @@ driver as a histogram of rounded log-probabilities whose cells are bounded.
 
 Null text: empty, which is one end token. Repeated rows count each. A null id counts
 as empty text in the folds. Without training documents c, N and V are 0 and the model
-is uniform. Very long texts are read whole. Empty tables give no rows.
+is uniform; with training documents but none in the held-out fold the weights are the
+fixed ones that learning begins with. Very long texts are read whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ def learn_weights(cells: dict[tuple[int, int, int], int], rounds: int = 60) -> n
     """Weights [context bucket, (uniform, unigram, bigram)] by expectation-maximisation.
 
     ``cells``: (bucket, steps of p1 / p0 in octaves or -1 for 0, the same of p2) -> tokens.
-    Each bucket begins with all cells' weights, so one that was never seen has those of all."""
+    Each bucket begins with all cells' weights, so one that was never seen has those of all.
+    Without cells the fixed weights that learning begins with are kept."""
 
     def fit(keys: np.ndarray, n: np.ndarray, begin: np.ndarray) -> np.ndarray:
         ratio = np.where(keys < 0, 0.0, 2.0 ** (keys / STEPS - OCTAVES // 2))
@@ -117,12 +119,11 @@ def learn_weights(cells: dict[tuple[int, int, int], int], rounds: int = 60) -> n
             x /= x.sum()
         return x
 
-    if not cells:
-        return np.tile([1.0, 0.0, 0.0], (CONTEXTS + 1, 1))
-    every = np.array([[b, i, j] for b, i, j in cells])
+    every = np.array([[b, i, j] for b, i, j in cells], int).reshape(-1, 3)
     n = np.array(list(cells.values()), float)
     out = np.zeros((CONTEXTS + 1, 3))
-    general = fit(every[:, 1:], n, np.array([0.1, 0.5, 0.4]))
+    begin = np.array([0.1, 0.5, 0.4])
+    general = fit(every[:, 1:], n, begin) if cells else begin
     for b in range(CONTEXTS + 1):
         mine = every[:, 0] == b
         out[b] = fit(every[mine, 1:], n[mine], general) if mine.any() else general
@@ -267,7 +268,10 @@ def score(
     odd = answers.where("block % 2 = 1")
     cells = fold_texts.groupBy("block").cogroup(odd.groupBy("block")).applyInArrow(_guard(held_out, "cell", "n"), "cell long, n long")
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most a cell for each bucket and pair of steps
-    weights = learn_weights({(c // 1_000_000, c // 1000 % 1000 - 1, c % 1000 - 1): k for c, k in cells})
+    if n:
+        weights = learn_weights({(c // 1_000_000, c // 1000 % 1000 - 1, c % 1000 - 1): k for c, k in cells})
+    else:  # no counts to weigh
+        weights = np.tile([1.0, 0.0, 0.0], (CONTEXTS + 1, 1))
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         h, begin = tokens(as_bytes(left["_text"]))

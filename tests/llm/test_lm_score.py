@@ -95,6 +95,18 @@ def test_no_training_rows(spark):
     assert got.n_known == got.train_tokens == 0 and got.score == got.base_score == 0
 
 
+def test_training_rows_but_none_held_out(spark, tmp_path):
+    ids = [k for k in range(100) if crc(k) % 10 > 1][:4]
+    rows = [(k, t) for k, t in zip(ids, ["the cat sat", "the cat ran", "the dog sat", "unlike words"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r for r in run(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    # "the cat sat": 8 different words with the end, 15 in all; weights (0.1, 0.5, 0.4) in each seen context
+    one, two = (3, 2, 2, 4), ((3, 4), (2, 3), (1, 2), (2, 2))
+    want = sum(math.log10(0.1 / 9 + 0.5 * c / 15 + 0.4 * a / b) for c, (a, b) in zip(one, two))
+    assert got[ids[0]].train_tokens == 15 and math.isclose(got[ids[0]].score, want, rel_tol=1e-9)
+    same(got.values(), brute(rows))
+
+
 def test_packed_keys():
     draw = np.random.default_rng(1)
     keys = np.unique(draw.integers(0, 2**64, 1000, dtype=np.uint64))
