@@ -122,17 +122,10 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, item_id, md5(text) AS digest FROM benchmark")
 def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     from ..sources.writers import write_json_array
 
-    # a small file for people, which the driver writes; its text goes to the executors
-    with tempfile.TemporaryDirectory() as folder:
-        write_json_array(table(spark, sf_dir, "benchmark").select("item_id", "text", F.col("item_id").alias("o")), f"{folder}/b.json", "o")
-        with open(f"{folder}/b.json", encoding="utf-8") as file:
-            whole = file.read()
-    path = fresh_path(spark, "array")
-    spark.createDataFrame([(" ".join(whole.splitlines()),)], "value string").coalesce(1).write.text(path)
+    path = f"{fresh_path(spark, 'array')}/items.json"
+    write_json_array(table(spark, sf_dir, "benchmark").select("item_id", "text", F.col("item_id").alias("o")), path, "o")
     schema = StructType([StructField("item_id", LongType()), StructField("text", StringType())])
     return read_json_array(spark, path, schema).select("ord", "item_id", F.md5("text").alias("digest"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.assign import last_wins, record_key, small_side
 from ..schemas import RAW_PROBLEM
+from .scratch import Scratch
 
 #: Parse modes of the JSON functions: fail on malformed records, keep quotes strict.
 STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false"}
@@ -17,7 +18,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The records of JSON-lines files with ``pos``, the number of the record among all non-blank lines.
 
     Lines are numbered inside each split of a file; only one count a split is
-    shuffled, and the lines themselves stay where they were read.
+    shuffled, and the lines themselves stay where they were read. So the files are
+    read twice: for the counts, which are written, and for the records.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
@@ -26,6 +28,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     splits = lines.groupBy("_file", "_start").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    splits = Scratch(spark, "jsonl").write(splits, "splits")
     placed = lines.join(small_side(splits), ["_file", "_start"], "left")
     # a split that the second read cut elsewhere would have no place: fail, never lose lines
     place = F.col("_before") + F.col("_line") - F.col("_first")
@@ -35,8 +38,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A file that holds one JSON array of records, with ``ord``. For small dimensions such as profiles."""
-    whole = spark.read.option("wholetext", True).text(path)
+    """A file that holds one JSON array of records, on any number of lines, with ``ord``. For small dimensions such as profiles."""
+    whole = spark.read.text(path, wholetext=True)
     records = F.from_json("value", ArrayType(schema), STRICT)
     return whole.select(F.posexplode(records).alias("ord", "_r")).select(F.col("ord").cast("long").alias("ord"), "_r.*")
 

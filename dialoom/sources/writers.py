@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +24,21 @@ def write_json_array(df: DataFrame, path: str, order: str, limit: int = 100_000)
     if n > limit:
         raise ValueError(f"{n} records are too many for one JSON array; write JSON lines")
     rows = df.orderBy(order).select(F.to_json(F.struct(*[c for c in df.columns if c != order]), {"ignoreNullFields": "false"}))
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump([json.loads(r[0]) for r in rows.toLocalIterator()], file, ensure_ascii=False, indent=2)
+    text = json.dumps([json.loads(r[0]) for r in rows.toLocalIterator()], ensure_ascii=False, indent=2)
+    write_text(df.sparkSession, path, text)
     return n
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text file, in any store that Spark knows; folders above it are made."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def append_missing(
     spark: SparkSession, todo: DataFrame, path: str, key: str, run: Callable[[DataFrame], DataFrame], wave: int = 10_000, pos: str = "pos", restart: bool = False
 ) -> DataFrame:
