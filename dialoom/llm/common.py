@@ -1,72 +1,33 @@
-"""Helpers shared by the training-data operators: shared scratch tables, Arrow access, prefix sums, components."""
+"""Helpers shared by the training-data operators: what workers keep, Arrow access, prefix sums, components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.assign import BROADCAST_ROWS
+from ..sources.scratch import Scratch
 from .runs import least_labels
 
-#: A side is broadcast only when it has been counted and holds no more rows than this.
-BROADCAST_ROWS = 200_000
+T = TypeVar("T")
+_HELD: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What one operator keeps in a Python worker between tasks: tables and caches.
 
-    Where the session has none, a local master gets a temporary folder (tests);
-    any other master is refused, since executors could not see such a folder.
+    Workers are used again by later stages. Only the last operator's tables stay,
+    so a worker's memory is that of one operator, however long a pipeline is.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("dialoom.scratch.dir", "")
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="dialoom-")
-        atexit.register(shutil.rmtree, folder, True)
-        base = f"file://{folder}"
-        spark.conf.set("dialoom.scratch.dir", base)
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables, written as Parquet in the shared folder and read again.
-
-    A written table cuts the lineage: a lost executor costs at most the tasks of
-    the step that was running.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that nothing reads any more; without names, all."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in [self.path(n) for n in names] or [self.root]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps now."""
-    spark._jvm.System.gc()
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -77,11 +38,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that Python holds few texts at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and of not much more than ``size`` bytes unless one row is larger."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        rows_here = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows_here):
+            yield batch.slice(at, rows_here)
 
 
 def id_crc(column: str = "doc_id") -> F.Column:

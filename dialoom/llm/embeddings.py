@@ -171,7 +171,7 @@ def near_vectors(
                 found_a.append(a[first])
                 found_b.append(b[first])
 
-            for a, b in grouped_pairs(begin, 2 * BLOCK * 4):
+            for a, b in grouped_pairs(begin, np.diff(begin) <= 2 * BLOCK * 4):
                 for at in range(0, len(a), 50_000):
                     keep(a[at : at + 50_000], b[at : at + 50_000])
             sizes = np.diff(begin)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, id_crc, release_shuffles, slices
+from .common import Scratch, as_bytes, held, id_crc, slices
 from .words import WordCache
 
 #: UTF-8 bytes of text that a partition may hold, that a block is planned for, and that a bucket's share of the counts is.
@@ -43,9 +43,8 @@ END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A27000000000B1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> WordCache:
-    return WordCache(xxhash.xxh64_intdigest, 400_000)
+    return held(("scores",), lambda: WordCache(xxhash.xxh64_intdigest, 400_000))
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +238,6 @@ def score(
 
     schema = "kind int, bucket int, block long, check long, total binary, fold binary, distinct long, tokens long, fold_tokens long"
     replies = scratch.write(sent.groupBy("kind", "bucket").applyInArrow(add, schema), "replies")
-    release_shuffles(spark)
     words = replies.where("block = -1 and kind = 0").agg(F.sum("distinct"), F.sum("tokens"), F.sum("fold_tokens")).first()
     v, n, n_fold = (int(x or 0) for x in words)
     texts = source.withColumn("block", (F.spark_partition_id().cast("long") * blocks + F.col("_sub")) * 2 + F.col("_fold").cast("long"))

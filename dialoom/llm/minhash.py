@@ -6,34 +6,41 @@ zeros and ten mantissa bits. Registers are banded; documents that share a band a
 candidates. The Jaccard similarity is estimated from equal registers, corrected for
 chance collisions. Links are confirmed on the full sets and give components.
 
-Equal sets are one class and are never compared with each other. In a first round,
-in a band shared by few classes all pairs meet, in a larger one each class meets
-leaders; pairs whose estimate reaches the limit are confirmed. In a second round,
-wherever a band still spans several components, all pairs between components meet,
-block by block, and those are confirmed whose estimate is not so far below the
-limit that chance cannot explain it. So links inside one component are not looked
-for twice, none between components is lost, and no task holds more than two blocks.
+Equal sets are one class and are never compared with each other. Classes of a band
+meet in blocks of a bounded number of rows and shingles. Both the estimate and the
+check on the full sets happen inside the task that holds a block: no pair is ever a
+row. What leaves a task is, of each block, the rows that still have a partner by the
+estimate, then the links that join two of its groups, fewer than it has rows.
+
+In a first round, in a band shared by few classes all pairs meet, in a larger one
+each class meets leaders. In a second round, wherever a band still spans several
+components, the classes outside its largest component meet all others; a pair is
+let go only where its estimate is so far below the limit that chance cannot explain
+it. So no link between components is lost. For b classes in a band's largest
+component and s outside it, b * S + s * (S + B) rows are dealt out, where S and B
+are the numbers of blocks that s and b fill: in proportion to the band while its
+outsiders fit one block.
 
 Null, empty and white-space texts have empty sets and link with nothing. Texts with
 fewer words than a shingle have one, their whole sequence. Rows that share an id are
 one node; a null id links with nothing and is kept. Empty tables give no rows. Very
-long texts are read whole, one at a time.
+long texts are read whole, one at a time; their sets fill blocks of their own. Pairs
+exactly at the limit are links. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, components, release_shuffles, slices, small_side
-from .runs import block_pairs, complete_runs, fixed, grouped_pairs
+from .common import Scratch, as_bytes, components, held, slices, small_side
+from .runs import complete_runs, fixed, led_pairs
 from .words import WordCache
 
 MANTISSA = 10
@@ -43,15 +50,13 @@ EMPTY = np.uint16(0xFFFF)
 SMALL = 8
 #: Classes of a block in larger bands, and leaders that each of them meets there.
 BLOCK, LEADERS = 256, 4
-#: Classes of a block of the second round, where pairs of blocks meet: a class of a band
-#: of m classes is copied m / PAIR_BLOCK times.
-PAIR_BLOCK = 1024
+#: Classes of a block of the second round, where pairs of blocks meet; and shingles of a block of either round.
+PAIR_BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> WordCache:
-    return WordCache(xxhash.xxh64_intdigest, 800_000)
+    return held(("shingles",), lambda: WordCache(xxhash.xxh64_intdigest, 800_000))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,6 +181,56 @@ def _signatures(docs: DataFrame, size: int, count: int, id_col: str, text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, _n long, _class binary, _regs binary")
 
 
+def _surviving(table: pa.Table, begin: np.ndarray, leads: np.ndarray, bands: int, percent: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of a block, of a leader each, that the estimate does not refuse."""
+    look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
+    band = table["_band"].to_numpy()
+    if second:
+        own, lo, hi = (table[c].to_numpy() for c in ("_own", "_lo", "_hi"))
+        root = table["_root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    found = [(np.zeros(0, np.int64),) * 2]
+    for a, b in led_pairs(begin, leads, not second):
+        if second:  # what is not joined yet; of two blocks, pairs across them
+            apart = (root[a] != root[b]) & ((lo[a] >= hi[a]) | (own[a] != own[b]))
+            a, b = a[apart], b[apart]
+        ok = look.keep(a, b, band[a], second)
+        found.append((a[ok], b[ok]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def spanning_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int, begin: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links among the pairs (a, b) of rows of one block, judged on the full sets: as many as join its groups.
+
+    A pair whose rows are joined already is not judged again."""
+    size = np.array(list(map(len, sets)), np.int64)
+    start = np.append(0, np.cumsum(size))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    seen, label = np.zeros(len(values), bool), np.arange(len(sets))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    rows, first = np.unique(a, return_index=True)
+    out_a: list[int] = []
+    out_b: list[int] = []
+    for i, at, end in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
+        other = b[at:end]
+        other = other[label[other] != label[i]]
+        if not len(other):
+            continue
+        mine = ids[start[i] : start[i + 1]]
+        seen[mine] = True
+        common = np.array([np.count_nonzero(seen[ids[start[j] : start[j + 1]]]) for j in other.tolist()])
+        seen[mine] = False
+        near = other[100 * common >= percent * (size[i] + size[other] - common)]
+        if len(near):
+            groups, which = np.unique(label[near], return_index=True)
+            out_a += [i] * len(which)
+            out_b += near[which].tolist()
+            run = int(np.searchsorted(begin, i, "right")) - 1
+            here = label[begin[run] : begin[run + 1]]
+            here[np.isin(here, np.append(groups, label[i]))] = min(int(groups[0]), int(label[i]))
+    return out_a, out_b
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -198,84 +253,58 @@ def near_duplicates(
             codes, filled = band_codes(fixed(batch.column(1), "<u2"), bands)
             who, band = np.nonzero(filled)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(codes[filled].view(np.int64)), pa.array(band.astype(np.int32)), batch.column(0).take(pa.array(who))], names=["_code", "_band", "_rep"]
+                [pa.array(codes[filled].view(np.int64)), pa.array(band.astype(np.int32)), batch.column(0).take(pa.array(who)), batch.column(2).take(pa.array(who))],
+                names=["_code", "_band", "_rep", "_n"],
             )
 
-    every = classes.select("_rep", "_regs").mapInArrow(spread, f"_code long, _band int, _rep {kind}")
-    shared = every.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_rep").alias("_lead")).where("_rows > 1")
+    every = classes.select("_rep", "_regs", "_n").mapInArrow(spread, f"_code long, _band int, _rep {kind}, _n long")
+    shared = every.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_rep").alias("_lead"), F.sum("_n").alias("_total")).where("_rows > 1")
     members = scratch.write(every.join(shared, "_code"), "members")
-    release_shuffles(spark)
+    regs = classes.select("_rep", "_regs")
+
+    def full(rows_: Column, shingles_: Column, block: int) -> Column:
+        """How many blocks so many classes and shingles fill."""
+        return F.greatest(F.ceil(rows_ / block), F.ceil(shingles_ / BLOCK_SHINGLES)).cast("int")
 
     # first round: all pairs of small bands; in blocks of large ones, leaders with all
-    blocks = F.when(F.col("_rows") <= SMALL, 1).otherwise(F.ceil(F.col("_rows") / BLOCK)).cast("int")
+    blocks = F.when(F.col("_rows") <= SMALL, 1).otherwise(full(F.col("_rows"), F.col("_total"), BLOCK))
     own = F.pmod(F.xxhash64("_rep"), blocks).cast("int")
     dealt = members.withColumn("_block", F.explode(F.when(F.col("_rep") == F.col("_lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    keys = ["_code", "_block"]
-    dealt = dealt.join(classes.select("_rep", "_n", "_regs"), "_rep").select(*keys, "_band", "_rows", "_rep", "_n", "_regs")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "_rep")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in complete_runs(batches, 2, 2048):
-            look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
-            band, total = table["_band"].to_numpy(), table["_rows"].to_numpy()
-            chosen: list[tuple] = []
-            small = total[begin[:-1]] <= SMALL
-            lengths = np.diff(begin)
-            for m in np.unique(lengths[small & (lengths > 1)]).tolist():
-                i, j = np.triu_indices(m, 1)
-                at = begin[:-1][small & (lengths == m)]
-                step = max(1, 100_000 // len(i))
-                for k in range(0, len(at), step):
-                    some = at[k : k + step, None]
-                    chosen.append(((some + i).ravel(), (some + j).ravel()))
-            for r in np.flatnonzero(total[begin[:-1]] > SMALL).tolist():
-                lo, hi = int(begin[r]), int(begin[r + 1])
-                for lead in range(lo, min(lo + LEADERS, hi)):  # in order of id, so the same ones lead in many bands
-                    rest = np.arange(lead + 1, hi)
-                    chosen.append((np.full(len(rest), lead), rest))
-            out_a, out_b = [], []
-            for a, b in chosen:
-                ok = look.keep(a, b, band[a], False)
-                out_a.append(a[ok])
-                out_b.append(b[ok])
-            if out_a:
-                who = table["_rep"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([who.take(pa.array(np.concatenate(out_a))), who.take(pa.array(np.concatenate(out_b)))], names=["a", "b"])
-
-    pairs = dealt.mapInArrow(meet, f"a {kind}, b {kind}")
-    links = _confirm(scratch, docs, classes, pairs, "one", shingle, percent, id_col, text_col, None)
+    small = (F.col("_rows") <= SMALL).alias("_leads")
+    dealt = dealt.join(regs, "_rep").select("_code", "_block", "_band", "_rep", "_n", "_regs", small)
+    links = _links(scratch, docs, classes, dealt, "one", ["_code", "_block"], shingle, percent, bands, id_col, text_col)
     roots = components(scratch, links, "cc1_")
 
     # second round: what is left between the components of one band
-    known = members.join(roots, F.col("_rep") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_rep")).drop("node", "root")
-    known = scratch.write(known, "known")
+    known = members.join(roots, F.col("_rep") == F.col("node"), "left")
+    known = scratch.write(known.select("_code", "_band", "_rep", "_n", F.coalesce("root", "_rep").alias("_root")), "known")
     split = known.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
-    left = known.join(split, "_code", "left_semi")
-    keys = ["_code", "_lo", "_hi"]
-    left = block_pairs(left, "_rows", "_rep", PAIR_BLOCK).join(classes.select("_rep", "_n", "_regs"), "_rep")
-    left = left.select(*keys, "_own", "_band", "_rep", "_root", "_n", "_regs").repartition(*keys).sortWithinPartitions(*keys)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in complete_runs(batches, 3, 2048):
-            look = Estimator(fixed(table["_regs"], "<u2"), table["_n"].to_numpy(), bands, percent)
-            own, lo, hi, band = (table[c].to_numpy() for c in ("_own", "_lo", "_hi", "_band"))
-            root = table["_root"].combine_chunks().dictionary_encode().indices.to_numpy()
-            out_a, out_b = [], []
-            for a, b in grouped_pairs(begin, 1 << 20):
-                apart = (root[a] != root[b]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
-                a, b = a[apart], b[apart]
-                ok = look.keep(a, b, band[a], True)
-                out_a.append(a[ok])
-                out_b.append(b[ok])
-            if out_a:
-                who = table["_rep"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([who.take(pa.array(np.concatenate(out_a))), who.take(pa.array(np.concatenate(out_b)))], names=["a", "b"])
-
-    more = _confirm(scratch, docs, classes, left.mapInArrow(rest, f"a {kind}, b {kind}"), "two", shingle, percent, id_col, text_col, "pairs_one")
+    left = scratch.write(known.join(split, "_code", "left_semi"), "left")
+    parts = left.groupBy("_code", "_root").agg(F.count("*").alias("k"), F.sum("_n").alias("w"))
+    bands_ = parts.groupBy("_code").agg(F.max(F.struct("k", "_root", "w")).alias("big"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+    outside = F.col("k") - F.col("big.k")
+    bands_ = bands_.select(
+        "_code",
+        F.col("big._root").alias("_big"),
+        (outside > 1).alias("_several"),
+        full(outside, F.col("w") - F.col("big.w"), PAIR_BLOCK).alias("_s"),
+        full(F.col("big.k"), F.col("big.w"), PAIR_BLOCK).alias("_b"),
+    )
+    left = left.join(bands_, "_code").withColumn("_leads", F.col("_root") != F.col("_big"))
+    left = left.withColumn("_own", F.pmod(F.xxhash64("_rep"), F.when(F.col("_leads"), F.col("_s")).otherwise(F.col("_b"))).cast("int"))
+    # blocks of outsiders meet each other (_lo <= _hi) and the blocks of the largest component (_hi < 0)
+    at = lambda lo, hi: F.struct(lo.cast("int").alias("_lo"), hi.cast("int").alias("_hi"))
+    mine, each = F.col("_own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_others = F.transform(each("_s"), lambda k: at(F.least(mine, k), F.greatest(mine, k)))
+    with_big = F.transform(each("_b"), lambda k: at(mine, -1 - k))
+    of_big = F.transform(each("_s"), lambda k: at(k, -1 - mine))
+    places = F.when(~F.col("_leads"), of_big).when(F.col("_several"), F.concat(with_others, with_big)).otherwise(with_big)
+    left = left.withColumn("_at", F.explode(places)).join(regs, "_rep")
+    left = left.select("_code", "_at._lo", "_at._hi", "_own", "_band", "_rep", "_root", "_n", "_regs", "_leads")
+    more = _links(scratch, docs, classes, left, "two", ["_code", "_lo", "_hi"], shingle, percent, bands, id_col, text_col)
     joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(scratch, joined, "cc2_")
-    scratch.drop("known")
-    scratch.drop("members")
+    scratch.drop("known", "left", "members")
 
     named = classes.select("_class", "_rep").join(roots, F.col("_rep") == F.col("node")).select("_class", F.col("root").alias("_root"))
     several = rows.groupBy("_class").count().where("count > 1 and _class is not null").select("_class")
@@ -288,61 +317,62 @@ def near_duplicates(
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def _confirm(
-    scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str, size: int, percent: int, id_col: str, text_col: str, tested: str | None
+def _links(
+    scratch: Scratch, docs: DataFrame, classes: DataFrame, dealt: DataFrame, name: str, keys: list[str], size: int, percent: int, bands: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Sets are made anew from the texts, of pairs' members only;
-    pairs of the table ``tested`` have been judged before.
+    """Links (a, b), confirmed on full sets, between the rows of each block; enough of them to join its groups.
 
-    The sets travel as the upper 40 bits of their hashes: for sets of n and m shingles
-    the chance of a wrong count is about n * m / 2**40."""
+    ``dealt`` has a row for each class and block. First its rows that the estimate
+    leaves no partner go; the others' sets are made anew from the texts, once each, and
+    sent to the blocks, where pairs are judged."""
+    second = name == "two"
     kind = docs.schema[id_col].dataType.simpleString()
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if tested:
-        pairs = pairs.join(scratch.spark.read.schema(pairs.schema).parquet(scratch.path(tested)), ["a", "b"], "left_anti")
-    pairs = scratch.write(pairs, f"pairs_{name}")
-    ids = pairs.select(F.col("a").alias("_rep")).union(pairs.select("b")).distinct()
-    wanted = scratch.write(classes.select("_rep", "_class").join(ids, "_rep", "left_semi"), f"wanted_{name}")
+    schema = dealt.schema
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "_rep")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in complete_runs(batches, len(keys), 2048):
+            leads = table["_leads"].to_numpy().copy()
+            if not second:  # in order of id, so the same ones lead in many bands
+                for k in range(LEADERS):
+                    leads[np.minimum(begin[:-1] + k, begin[1:] - 1)] = True
+            a, b = _surviving(table, begin, leads, bands, percent, second)
+            some = np.union1d(a, b)
+            if len(some):
+                table = table.set_column(table.schema.get_field_index("_leads"), "_leads", pa.array(leads))
+                yield from table.take(pa.array(some)).to_batches(2048)
+
+    marked = scratch.write(dealt.mapInArrow(mark, schema), f"marked_{name}")
+    wanted = scratch.write(classes.select("_rep", "_class").join(marked.select("_rep").distinct(), "_rep", "left_semi"), f"wanted_{name}")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).alias("_text")).join(small_side(wanted, wanted.count()), "_rep")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, size) for t in as_bytes(batch.column(1))]
             right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(sets, batch.column(2).to_pylist())]
-            short = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s, k in zip(sets, right) if k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), pa.array(short, pa.binary())], names=["_rep", "_set"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(right, pa.bool_())), pa.array([s.tobytes() for s, k in zip(sets, right) if k], pa.binary())], names=["_rep", "_set"]
+            )
 
     # a row that repeats gives its set once
     sets = texts.select("_rep", "_text", "_class").mapInArrow(make, f"_rep {kind}, _set binary").groupBy("_rep").agg(F.first("_set").alias("_set"))
-    sets = scratch.write(sets, f"sets_{name}")
-    both = pairs.join(sets.toDF("a", "_x"), "a").join(sets.toDF("b", "_y"), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, "V5"), np.frombuffer(y, "V5")
-                n, m = len(a), len(b)
-                both = np.concatenate([_wide(a), _wide(b)])
-                both.sort()
-                inside = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inside >= percent * (n + m - inside))
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    links = scratch.write(both.select("a", "b", "_x", "_y").mapInArrow(check, f"a {kind}, b {kind}"), f"links_{name}")
-    scratch.drop(f"sets_{name}", f"wanted_{name}")
-    release_shuffles(scratch.spark)
+    ready = marked.join(sets, "_rep").select(*schema.names, "_set").repartition(*keys).sortWithinPartitions(*keys, "_rep")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in complete_runs(batches, len(keys), 1024):
+            a, b = _surviving(table, begin, table["_leads"].to_numpy(), bands, percent, second)
+            if not len(a):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in table["_set"].to_pylist()]
+            a, b = spanning_links(sets, a, b, percent, begin)
+            who = table["_rep"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(a, pa.int64())), who.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    links = scratch.write(ready.mapInArrow(judge, f"a {kind}, b {kind}"), f"links_{name}")
+    scratch.drop(f"marked_{name}", f"wanted_{name}")
     return links
 
 
-def _wide(a: np.ndarray) -> np.ndarray:
-    """Five-byte big-endian numbers as 64-bit ones."""
-    out = np.zeros((len(a), 8), np.uint8)
-    out[:, 3:] = a.view(np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id. Rows without a set or id are all kept;
     of rows that repeat the kept id, one stays."""
@@ -359,4 +389,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     return left.join(same, id_col, "left_anti").select(*docs.columns).union(once)
 
 
-__all__ = ["drop_near_duplicates", "near_duplicates", "plan", "registers", "shingles"]
+__all__ = ["drop_near_duplicates", "near_duplicates", "plan", "registers", "shingles", "spanning_links"]

@@ -13,7 +13,6 @@ no rows. Repeated rows are separate documents. Very long texts give many pieces.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix_offsets, slices, small_side
+from .common import Scratch, held, prefix_offsets, slices, small_side
 from .token_count import byte_symbols
 from .words import WordCache
 
@@ -124,9 +123,9 @@ class WordTokenizer:
         return [self._library(t) if w else b"".join(map(ids, each)) for t, w, each in zip(texts, whole, words)]
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """One tokenizer for each vocabulary and Python worker."""
+    return held(("words", path), lambda: WordTokenizer(path))
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

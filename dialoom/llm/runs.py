@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def complete_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def complete_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096, size: int = 32 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal first ``keys`` columns, with the places where the runs begin (and the end).
 
-    Rows must come sorted by these columns. At most one run and about ``rows`` rows are held.
+    Rows must come sorted by these columns. At most one run and about ``rows`` rows or
+    ``size`` bytes are held.
     """
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = 0.0  # share of a table that is held
 
     def starts(table: pa.Table) -> np.ndarray:
         change = np.ones(table.num_rows, bool)
@@ -28,10 +29,11 @@ def complete_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096
         return np.flatnonzero(change)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(part := batch.slice(at, rows))
-            count += part.num_rows
-            if count < rows:
+        step = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            held.append(part := batch.slice(at, step))
+            count += max(part.num_rows / rows, part.nbytes / size)
+            if count < 1:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             begin = starts(table)
@@ -67,18 +69,39 @@ def block_pairs(rows: DataFrame, count: str, member: str, size: int) -> DataFram
     return dealt.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")).drop("_other")
 
 
-def grouped_pairs(begin: np.ndarray, largest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i < j) inside the runs of at most ``largest`` rows; runs of equal length together."""
+def grouped_pairs(begin: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i < j) inside the ``chosen`` runs; runs of equal length together."""
     sizes = np.diff(begin)
-    for m in np.unique(sizes[(sizes > 1) & (sizes <= largest)]).tolist():
+    for m in np.unique(sizes[(sizes > 1) & chosen]).tolist():
         a, b = np.triu_indices(m, 1)
-        at = begin[:-1][sizes == m]
+        at = begin[:-1][(sizes == m) & chosen]
         step = max(1, 200_000 // len(a))
         for k in range(0, len(at), step):
             some = at[k : k + step, None]
             yield (some + a).ravel(), (some + b).ravel()
 
 
+def led_pairs(begin: np.ndarray, leads: np.ndarray, among: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs inside the runs that hold a leader: all pairs of runs of leaders only; in others leaders
+    with the rest and, if ``among``, with each other."""
+    if len(begin) < 2:
+        return
+    led = np.add.reduceat(leads.astype(np.int64), begin[:-1])
+    full = led == np.diff(begin)
+    yield from grouped_pairs(begin, full)
+    for r in np.flatnonzero(~full & (led > 0)).tolist():
+        lo = int(begin[r])
+        here = leads[lo : int(begin[r + 1])]
+        lead, rest = lo + np.flatnonzero(here), lo + np.flatnonzero(~here)
+        step = max(1, 200_000 // len(rest))
+        for k in range(0, len(lead), step):
+            some = lead[k : k + step]
+            yield np.repeat(some, len(rest)), np.tile(rest, len(some))
+        if among and len(lead) > 1:
+            a, b = np.triu_indices(len(lead), 1)
+            yield lead[a], lead[b]
+
+
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that edges (a, b) reach, within one block."""
     label = np.arange(n)

@@ -8,7 +8,6 @@ whose counts do not depend on their neighbours, so memory follows the text, not
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -17,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, slices
+from .common import as_bytes, held, slices
 from .words import WordCache
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text before merging.
@@ -107,10 +106,9 @@ class TokenCounter:
         return chunk[first] * bool(first) + sum([chunk[" " + c] for c in rest])
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
     """One counter for each vocabulary and Python worker."""
-    return TokenCounter(path)
+    return held(("pieces", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
