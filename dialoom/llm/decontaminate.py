@@ -8,7 +8,9 @@ members are confirmed by direct comparison.
 
 Null and empty texts have no words: documents of that kind are clean, items of
 that kind are no pattern. Repeated items count once for each distinct id; an item
-without an id hits words but is not listed. The patterns travel to each worker,
+without an id hits words but is not listed. Rows that share an id are judged each on
+its own; exactly the limit's share of words is contaminated. Very long texts are read
+whole; other columns are not read, or kept as they are. The patterns travel to each worker,
 once their bytes have been summed and found below a bound; a larger benchmark is
 searched in several parts, each below the bound, whose hits are united.
 """
@@ -17,14 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, slices
+from .common import Scratch, as_bytes, held, slices
 
 #: Bytes of benchmark text that one pass searches for.
 PASS_BYTES = 32 << 20
@@ -98,14 +101,68 @@ def covered(spans: list[tuple]) -> int:
     return total
 
 
-_SEARCHERS: dict = {}
+class _Passes:
+    """The benchmark, cut into passes whose bytes have been summed, and what its workers run."""
 
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, pass_bytes: int) -> None:
+        self.spark, self.window = docs.sparkSession, window
+        self.items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+        size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+        total = self.items.agg(F.sum(size.cast("long"))).first()[0] or 0
+        self.number = max(1, -(-total // pass_bytes))
 
-def _searcher(key: str, items: list[tuple], window: int) -> Searcher:
-    if key not in _SEARCHERS:
-        _SEARCHERS.clear()
-        _SEARCHERS[key] = Searcher(items, window)
-    return _SEARCHERS[key]
+    def finder(self, part: int = 0) -> Callable[[], Searcher]:
+        """For the workers: the tables of one pass, built once a worker."""
+        chosen = self.items if self.number == 1 else self.items.where(F.pmod(F.xxhash64("text"), F.lit(self.number)) == part)
+        listed = sorted({(r[0], bytes(r[1] or "", "utf-8")) for r in chosen.collect()}, key=lambda x: (x[0] or "", x[1]))
+        shipped, window = self.spark.sparkContext.broadcast(listed), self.window
+        key = ("search", hashlib.sha256(repr((window, listed)).encode()).hexdigest())
+        return lambda: held(key, lambda: Searcher(shipped.value, window))
+
+    def united(self, numbered: DataFrame, text_col: str, percent: int) -> DataFrame:
+        """Verdicts by ``_row``: one search a pass, whose hits a row unites by a shuffle."""
+        partial = None
+        for part in range(self.number):
+            one = numbered.select("_row", text_col).mapInArrow(_spans(self.finder(part)), "_row long, n_words long, _spans array<long>, _items array<string>")
+            partial = one if partial is None else partial.union(one)
+        rows = partial.groupBy("_row").agg(
+            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items")
+        )
+        judge = _Judge(percent)
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                n, flat, found = (batch.column(k).to_pylist() for k in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *judge(n, [list(zip(f[::2], f[1::2])) for f in flat], found)], names=["_row", *NAMES])
+
+        return rows.mapInArrow(finish, f"_row long, {KINDS}")
+
+
+class _Judge:
+    """n_hit, n_items, items_sha256 and contaminated, of word counts, spans and items."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def __call__(self, n: list, spans: list, found: list) -> list[pa.Array]:
+        hit = np.array([covered(s) for s in spans], np.int64)
+        shas = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
+        bad = (hit > 0) & (100 * hit >= self.percent * np.array(n, np.int64))
+        return [pa.array(hit), pa.array([len(f) for f in found], pa.int64()), pa.array(shas, pa.string()), pa.array(bad)]
+
+
+def _spans(finder: Callable[[], Searcher]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder()
+        for batch in slices(batches):
+            got = [find(t or b"") for t in as_bytes(batch.column(1))]
+            flat = pa.array([[v for s in x[1] for v in s] for x in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x[0] for x in got], pa.int64()), flat, pa.array([sorted(x[2]) for x in got], pa.list_(pa.string()))],
+                names=["_row", "n_words", "_spans", "_items"],
+            )
+
+    return run
 
 
 def find_contamination(
@@ -118,87 +175,53 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     pass_bytes: int = PASS_BYTES,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated[, kept columns]) for each row of ``docs``.
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
 
     ``contaminated``: words are hit, and they are at least ``percent`` of all. The
     documents are read once, without a shuffle, if the benchmark fits one pass; else
     once for each pass, and the hits of a document's row are united by a shuffle.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
-    total = items.agg(F.sum(size.cast("long"))).first()[0] or 0
-    passes = max(1, -(-total // pass_bytes))
+    passes = _Passes(docs, benchmark, window, item_col, item_text_col, pass_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
-    extra = [c for c in keep if c != id_col]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-
-    def search(part: int, spans: bool):
-        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == part)
-        listed = sorted({(r[0], bytes(r[1] or "", "utf-8")) for r in chosen.collect()}, key=lambda x: (x[0] or "", x[1]))
-        shipped = spark.sparkContext.broadcast(listed)
-        key = hashlib.sha256(repr((window, listed)).encode()).hexdigest()
+    if passes.number == 1:
+        finder, judge = passes.finder(), _Judge(percent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _searcher(key, shipped.value, window)
+            find = finder()
             for batch in slices(batches):
-                got = [find(t or b"") for t in as_bytes(batch.column(1))]
-                n = pa.array([x[0] for x in got], pa.int64())
-                if spans:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), n, pa.array([[v for s in x[1] for v in s] for x in got], pa.list_(pa.int64())), pa.array([sorted(x[2]) for x in got], pa.list_(pa.string()))],
-                        names=["_row", "n_words", "_spans", "_items"],
-                    )
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), n, *verdict(n.to_pylist(), [x[1] for x in got], [x[2] for x in got]), *batch.columns[2:]], names=[id_col, *NAMES, *extra])
-
-        return run
-
-    def verdict(n: list, spans: list, found: list) -> list[pa.Array]:
-        hit = np.array([covered(s) for s in spans], np.int64)
-        shas = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found]
-        return [
-            pa.array(hit),
-            pa.array([len(f) for f in found], pa.int64()),
-            pa.array(shas, pa.string()),
-            pa.array((hit > 0) & (100 * hit >= percent * np.array(n, np.int64))),
-        ]
-
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + f", {fields}" * bool(extra)
-    if passes == 1:
-        return docs.select(id_col, text_col, *extra).mapInArrow(search(0, False), schema)
+                n, spans, found = zip(*[find(t or b"") for t in as_bytes(batch.column(1))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *judge(n, spans, found)], names=[id_col, *NAMES])
 
+        return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {KINDS}")
     # each row gets a number that a written table keeps
-    scratch = Scratch(spark, "decontaminate")
-    numbered = scratch.write(docs.select(id_col, text_col, *extra).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    partial = None
-    for part in range(passes):
-        one = numbered.select("_row", text_col).mapInArrow(search(part, True), "_row long, n_words long, _spans array<long>, _items array<string>")
-        partial = one if partial is None else partial.union(one)
-    united = partial.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items")
-    )
-    joined = numbered.drop(text_col).join(united, "_row").select(id_col, "n_words", "_spans", "_items", *extra)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n, flat, found = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            spans = [list(zip(f[::2], f[1::2])) for f in flat]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *verdict(n, spans, found), *batch.columns[4:]], names=[id_col, *NAMES, *extra])
-
-    return joined.mapInArrow(finish, schema)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    numbered = Scratch(docs.sparkSession, "decontaminate").write(rows, "rows")
+    return numbered.select("_row", F.col("_id").alias(id_col)).join(passes.united(numbered, "_text", percent), "_row").drop("_row")
 
 
 NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+KINDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns. Only the text goes to Python; a flag comes back."""
+    passes = _Passes(docs, benchmark, window, item_col, item_text_col, pass_bytes)
+    if passes.number == 1:
+        finder, judge = passes.finder(), _Judge(percent)
+
+        @F.arrow_udf("boolean")
+        def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            find = finder()
+            for column in columns:
+                got = [find(t or b"") for t in as_bytes(column)]
+                yield pc.invert(judge(*zip(*got))[-1]) if got else pa.array([], pa.bool_())
+
+        return docs.where(clean(F.col(text_col).cast("string")))
     columns = docs.columns
-    inner = docs.toDF(*[f"_c{k}" for k in range(len(columns))])
-    at = {c: f"_c{k}" for k, c in enumerate(columns)}
-    id_col, text_col = at[options.pop("id_col", "doc_id")], at[options.pop("text_col", "text")]
-    judged = find_contamination(inner, benchmark, id_col=id_col, text_col=text_col, keep=tuple(inner.columns), **options)
-    return judged.where("not contaminated").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])
+    inner = docs.toDF(*[f"_c{k}" for k in range(len(columns))]).withColumn("_row", F.monotonically_increasing_id())
+    numbered = Scratch(docs.sparkSession, "decontaminate").write(inner, "rows")
+    bad = passes.united(numbered, f"_c{columns.index(text_col)}", percent).where("contaminated").select("_row")
+    return numbered.join(bad, "_row", "left_anti").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)])

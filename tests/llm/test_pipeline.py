@@ -1,15 +1,18 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from dialoom.llm import langid
 from pyspark.sql import functions as F
 
 from .fixtures import empty_documents, odd_documents
 from .test_decontaminate import brute as contaminated
+from .test_langid import FOREIGN
 from .test_minhash import brute as near
-from .test_packing import check as packed
+from .test_packing import library_ids
 
 
 def test_stages(spark, sf_dir):
@@ -30,11 +33,26 @@ def test_stages(spark, sf_dir):
     bad = {r[0] for r in contaminated([(r.doc_id, r.text) for r in rows], bench) if r[5]}
     rows = [r for r in rows if r.doc_id not in bad]
     assert bad and Counter(map(tuple, three.collect())) == Counter(map(tuple, rows)) and three.columns == docs.columns
-    four = functions[3](spark, three, sf_dir)
-    assert sum(r.length for r in four.collect()) == sum({r.doc_id: r.doc_tokens for r in four.collect()}.values())
+    texts = {r.doc_id: r.text for r in rows}
+    assert len(texts) == len(rows)
+    at, held = (0, 0), Counter()
+    for r in sorted(functions[3](spark, three, sf_dir).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        ids = library_ids(texts[r.doc_id])
+        assert (r.sequence_id, r.offset) == at and r.doc_tokens == len(ids) and r.start == held[r.doc_id]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        held[r.doc_id] += r.length
+        at = (r.sequence_id, r.offset + r.length) if r.offset + r.length < 4096 else (r.sequence_id + 1, 0)
+    assert held == {k: len(library_ids(t)) for k, t in texts.items()}
     whole = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in rows}
-    assert packed and F
+
+
+def test_foreign_documents_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text rlike '[a-z]'")
+    odd = docs.limit(len(FOREIGN)).select(*[F.col(c) for c in docs.columns]).collect()
+    odd = spark.createDataFrame([(-1 - k, t, None, *r[3:]) for k, (t, r) in enumerate(zip(FOREIGN, odd))], docs.schema)
+    left = corpus_pipeline.STAGES[0][1](spark, docs.union(odd), sf_dir).collect()
+    assert {r.doc_id for r in left} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
 def test_odd_and_empty_tables(spark, sf_dir):
