@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import decontaminate, langid, minhash, packing
-from dialoom.llm.common import Scratch
+from dialoom.sources.scratch import Scratch
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: those without a letter, or unlike all languages seen."""
-    model = langid.fit(docs, F.lit(True))
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where("not rejected").select(*docs.columns)
+    return langid.drop_rejected(docs, langid.fit(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
