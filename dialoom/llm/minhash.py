@@ -35,13 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, components, held, slices, small_side
+from .common import Scratch, as_bytes, components, slices, small_side
 from .runs import complete_runs, fixed, led_pairs
-from .words import WordCache
+from .words import M1, M2, word_hashes
 
 MANTISSA = 10
 BANDS = 32
@@ -52,11 +51,6 @@ SMALL = 8
 BLOCK, LEADERS = 256, 4
 #: Classes of a block of the second round, where pairs of blocks meet; and shingles of a block of either round.
 PAIR_BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _words() -> WordCache:
-    return held(("shingles",), lambda: WordCache(xxhash.xxh64_intdigest, 800_000))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,19 +58,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles: A-Z in lower case, words between ASCII white space."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
-    width = min(size, n)
-    x = h[: n - width + 1].copy()
-    for k in range(1, width):
-        x *= M1
-        x += h[k : n - width + 1 + k]
-    return np.unique(_mix(x + np.uint64(width)))
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles: A-Z in lower case, words between ASCII white space."""
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    out = []
+    for n, end in zip(counts.tolist(), ends.tolist()):
+        if not n:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        h = hashes[end - n : end]
+        width = min(size, n)
+        x = h[: n - width + 1].copy()
+        for k in range(1, width):
+            x *= M1
+            x += h[k : n - width + 1 + k]
+        out.append(np.unique(_mix(x + np.uint64(width))))
+    return out
 
 
 def registers(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -166,7 +164,7 @@ def _signatures(docs: DataFrame, size: int, count: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, size) for t in as_bytes(batch.column(1))]
+            sets = shingle_sets(as_bytes(batch.column(1)), size)
             linked = [len(s) > 0 and i for s, i in zip(sets, batch.column(0).is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -348,7 +346,7 @@ def _links(
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, size) for t in as_bytes(batch.column(1))]
+            sets = shingle_sets(as_bytes(batch.column(1)), size)
             right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c for s, c in zip(sets, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(right, pa.bool_())), pa.array([s.tobytes() for s, k in zip(sets, right) if k], pa.binary())], names=["_rep", "_set"]
@@ -389,4 +387,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     return left.join(same, id_col, "left_anti").select(*docs.columns).union(once)
 
 
-__all__ = ["drop_near_duplicates", "near_duplicates", "plan", "registers", "shingles", "spanning_links"]
+__all__ = ["drop_near_duplicates", "near_duplicates", "plan", "registers", "shingle_sets", "spanning_links"]

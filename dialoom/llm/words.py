@@ -1,8 +1,81 @@
-"""Bounded caches for work that depends on one word only."""
+"""Work that depends on one word only: hashes of many words at once, and bounded caches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte at each of 64 places; a word's hash is the sum of its bytes' numbers, mixed.
+PLACES = 64
+NUMBERS = np.random.default_rng(20).integers(0, 2**64, PLACES * 256, np.uint64)
+#: Bytes that are hashed at a time; a longer word is taken whole.
+STEP = 1 << 18
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """(pieces, the text of each): whole texts together, large texts cut before white space, about STEP bytes at a time."""
+    pieces: list[bytes] = []
+    whose: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        at = 0
+        while True:
+            end = at + STEP
+            while end < len(text) and not SPACE[text[end]]:
+                end += 1
+            pieces.append(text[at:end])
+            whose.append(k)
+            size += len(pieces[-1])
+            if size > STEP:
+                yield pieces, whose
+                pieces, whose, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if pieces:
+        yield pieces, whose
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, begin) of each word of a part."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~SPACE[raw]
+    before = np.empty_like(inside)
+    before[0], before[1:] = False, inside[:-1]
+    begin = np.flatnonzero(inside & ~before)
+    if not len(begin):
+        return np.zeros(0, np.uint64), begin
+    end = np.flatnonzero(before & ~inside)
+    size = end - begin
+    first = np.cumsum(size) - size
+    letters = raw[inside].astype(np.int32)
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    values = NUMBERS[(place % PLACES << 8) + letters]
+    if size.max() > PLACES:
+        powers = np.full(int(size.max()) // PLACES + 1, M1)
+        powers[0] = 1
+        values *= np.cumprod(powers)[place // PLACES]
+    x = np.add.reduceat(values, first) + size.astype(np.uint64) * M1
+    x = (x ^ (x >> np.uint64(30))) * M2
+    return x ^ (x >> np.uint64(29)), begin
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and how many each text has.
+
+    Words stand between ASCII white space; A-Z count as a-z. Different words share a
+    hash with a chance of 2**-64. Memory is that of the hashes and of a part of the texts."""
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for pieces, whose in _parts([t or b"" for t in texts]):
+        h, begin = _hashes(b" ".join(pieces).lower() + b" ")
+        found.append(h)
+        ends = np.cumsum([len(p) + 1 for p in pieces])
+        np.add.at(counts, whose, np.diff(np.searchsorted(begin, ends), prepend=0))
+    return np.concatenate(found), counts
 
 
 class WordCache(dict):

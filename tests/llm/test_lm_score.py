@@ -5,7 +5,29 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from dialoom.llm.lm_score import STEPS, OCTAVES, context_bucket, fold_of, learn_weights, pack_counts, pack_keys, score, unpack_counts, unpack_keys
+import pyarrow as pa
+
+from dialoom.llm.lm_score import (
+    OCTAVES,
+    SENT_KINDS,
+    SENT_NAMES,
+    STEPS,
+    Exchange,
+    Node,
+    _ending,
+    _forwarding,
+    _sent,
+    _table,
+    bigrams,
+    context_bucket,
+    fold_of,
+    learn_weights,
+    pack_counts,
+    pack_keys,
+    score,
+    unpack_counts,
+    unpack_keys,
+)
 
 from .fixtures import empty_documents, odd_documents
 
@@ -78,7 +100,8 @@ def test_odd_rows(spark, tmp_path):
     want = brute([(r[0], r[1]) for r in rows])
     same(run(docs).collect(), want)
     same(run(docs, block_bytes=5000).collect(), want)  # several blocks a partition
-    same(run(docs, part_bytes=20_000, block_bytes=5000).collect(), want)  # dealt out first
+    same(run(docs, block_bytes=5000, fan=3).collect(), want)  # an exchange in four steps
+    assert "spark.sql.files.minPartitionNum" not in spark.conf.getAll  # the session is left as it was
     assert run(empty_documents(spark)).collect() == []
 
 
@@ -112,4 +135,51 @@ def test_packed_keys():
     keys = np.unique(draw.integers(0, 2**64, 1000, dtype=np.uint64))
     assert (unpack_keys(pack_keys(keys)) == keys).all()
     assert (unpack_counts(pack_counts(np.arange(70_000))) == np.arange(70_000)).all()
-    assert defaultdict(int) == {}
+
+
+def node(lists):
+    """A node's table from (keys, counts) of its senders."""
+    rows = [(0, 0, 2 * k, pack_keys(np.array(x, np.uint64)), pack_counts(np.array(n)), b"", 0) for k, (x, n) in enumerate(lists)]
+    return _table(rows, SENT_NAMES, SENT_KINDS)
+
+
+def test_counts_beyond_32_bits():
+    large = 2**32 + 5
+    assert unpack_counts(pack_counts(np.array([large, 0, 2**62]))).tolist() == [large, 0, 2**62]
+    total, fold = Node(node([([3, 9], [large, 1]), ([9], [2**40])])).sums()
+    assert total.tolist() == [large, 2**40 + 1] and fold.tolist() == [0, 0]
+    got = _ending(True)(node([([3, 9], [large, 1]), ([9], [2**40])])).to_pylist()
+    assert [unpack_counts(r["total"]).tolist() for r in got[:2]] == [[large, 2**40 + 1], [2**40 + 1]] and got[2]["tokens"] == large + 2**40 + 1
+
+
+def exchanged(blocks, fan):
+    """Lists that travel in each step for so many blocks, with buckets in proportion, and the sums at the end."""
+    draw, ways = np.random.default_rng(3), Exchange(blocks * 100, bucket_bytes=100, fan=fan)
+    sent, want = [], Counter()
+    for block in range(blocks):
+        h = draw.integers(0, 2**64, 400, dtype=np.uint64)
+        h[:50] = np.arange(50, dtype=np.uint64) << np.uint64(58)
+        want.update(h.tolist())
+        batches = _sent(2 * block, [(h, bigrams(h, np.array([0, 400])), np.ones(400, bool))], ways)
+        sent += [{**r, "group": block % ways.groups} for b in batches for r in b.to_pylist() if r["kind"] == 0]
+    travelled = []
+    for step in range(1, ways.steps + 1):
+        travelled.append(len(sent))
+        nodes = defaultdict(list)
+        for r in sent:
+            nodes[r["part"], r["group"]].append(r)
+        tables = [_table([tuple(r[c] for c in SENT_NAMES) for r in rows], SENT_NAMES, SENT_KINDS) for rows in nodes.values()]
+        if step < ways.steps:
+            sent = pa.concat_tables([_forwarding(ways, step)(t) for t in tables]).to_pylist()
+    got = Counter()
+    for t in tables:
+        n = Node(t)
+        got.update(dict(zip(n.keys.tolist(), n.sums()[0].tolist())))
+    assert got == want and len({r["part"] for r in sent}) == len(tables)
+    return ways.steps, travelled
+
+
+def test_records_grow_in_proportion():
+    for blocks in (64, 128, 256):
+        steps, travelled = exchanged(blocks, 8)
+        assert steps > 1 and all(n <= 2 * 8 * blocks for n in travelled)
