@@ -6,14 +6,23 @@ quantised projections. Classes that share a code in some table are compared by
 cosine in double precision. A pair is counted in the first table where its codes
 meet, so links are counted once. Large buckets are dealt out as pairs of blocks.
 
+Codes travel with a number for each class, not with vectors: one aggregation finds the
+codes that several classes share, and names both where there are two. Each class also
+has 64 signs of further projections; two classes alone in a bucket are compared only
+if their signs do not differ in more places than vectors at the limit do but once in
+some hundred million times.
+
 Only rows of one label and length are compared. Rows whose label, id or vector is
 null, whose vector is empty, zero or holds null or non-finite components link with
 nothing: 0 links, their own id as component. Repeated rows are copies of each other.
-Rows that share an id are one node of the components. Empty tables give no rows.
+Rows that share an id are one node of the components. Empty tables give no rows. A
+cosine equal to the limit is a link. Vectors of any length are compared; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -36,12 +45,33 @@ def collision(distance: float, width: float) -> float:
     return 1 - math.erfc(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def plan(rows: int, cosine: float, width: float = 4.0, recall: float = 0.97, stray: float = 0.1) -> tuple[int, int]:
-    """(projections a table, tables): among ``rows`` unrelated vectors about ``stray`` share a given vector's
-    code in one table, and a pair at the cosine's limit meets in some table with a chance of ``recall``."""
-    near, far = collision(math.sqrt(2 - 2 * cosine), width), collision(math.sqrt(2), width)
-    k = max(8, math.ceil(math.log(stray / max(rows, 2)) / math.log(far)))
-    return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
+def plan(rows: int, cosine: float, recall: float = 0.97, stray: float = 0.1) -> tuple[float, int, int]:
+    """(width of a cell, projections a table, tables): among ``rows`` unrelated vectors about ``stray`` share a given
+    vector's code in one table, and a pair at the cosine's limit meets in some table with a chance of ``recall``.
+    Of the widths that give this, the one with the fewest tables."""
+
+    def with_width(width: float) -> tuple[int, int, float]:
+        near, far = collision(math.sqrt(2 - 2 * cosine), width), collision(math.sqrt(2), width)
+        k = max(4, math.ceil(math.log(stray / max(rows, 2)) / math.log(far)))
+        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k))), k, width
+
+    tables, k, width = min(with_width(w / 4) for w in range(4, 21))
+    return width, k, tables
+
+
+def sign_limit(cosine: float, signs: int = 64) -> int:
+    """In how many of the signs two vectors at the limit differ at most: 6.5 standard deviations over the mean."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(signs * p + 6.5 * math.sqrt(signs * p * (1 - p)))
+
+
+@functools.lru_cache(maxsize=8)
+def _directions(seed: int, length: int, tables: int, k: int, width: float) -> tuple[np.ndarray, ...]:
+    """The random numbers of vectors of one length, drawn once a worker: directions, shifts, odd factors, directions of the signs."""
+    draw = np.random.default_rng([seed, length])
+    directions, shift = draw.standard_normal((length, tables * k)), draw.uniform(0, width, tables * k)
+    odd = draw.integers(1, 2**63, (tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return directions, shift, odd, draw.standard_normal((length, 64))
 
 
 def _check(column: pa.Array) -> list[np.ndarray | None]:
@@ -101,18 +131,16 @@ def near_vectors(
     classes = valid.groupBy("_class", "_space").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.first("_vec").alias("_vec"))
     classes = scratch.write(classes, "classes")
     largest = classes.groupBy("_space").count().agg(F.max("count")).first()[0] or 0
-    k, tables = plan(largest, cosine, recall=recall)
-
-    def codes_of(space: str, x: np.ndarray) -> np.ndarray:
-        """A 64-bit code for each table, with the label and the table's number mixed in."""
-        draw = np.random.default_rng([seed, x.shape[1]])
-        directions, shift = draw.standard_normal((x.shape[1], tables * k)), draw.uniform(0, 4.0, tables * k)
-        cells = np.floor((x @ directions + shift) / 4.0).astype(np.int64).astype(np.uint64).reshape(len(x), tables, k)
-        odd = draw.integers(1, 2**63, (tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    width, k, tables = plan(largest, cosine, recall=recall)
+
+    def codes_of(space: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit code for each table, with the label and the table's number mixed in; and the signs."""
+        directions, shift, odd, more = _directions(seed, x.shape[1], tables, k, width)
+        cells = np.floor((x @ directions + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(x), tables, k)
         mixed = (cells * odd).sum(2, dtype=np.uint64)
         salt = np.uint64(int.from_bytes(hashlib.blake2b(space.encode(), digest_size=8).digest(), "little"))
         mixed = (mixed ^ salt ^ (np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        return mixed ^ (mixed >> np.uint64(31))
+        return mixed ^ (mixed >> np.uint64(31)), np.packbits(x @ more > 0, axis=1).view("<i8").ravel()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,40 +148,46 @@ def near_vectors(
                 part = batch.slice(at, 1024)
                 spaces, raw = np.array(part.column(1).to_pylist(), object), part.column(2).to_pylist()
                 codes: list = [None] * len(raw)
+                signs = np.zeros(len(raw), np.int64)
                 for space in set(spaces.tolist()):
                     mine = np.flatnonzero(spaces == space)
-                    x = _unit(np.stack([np.frombuffer(raw[i], kind) for i in mine]))
-                    for i, c in zip(mine.tolist(), codes_of(space, x)):
+                    found, signs[mine] = codes_of(space, _unit(np.stack([np.frombuffer(raw[i], kind) for i in mine])))
+                    for i, c in zip(mine.tolist(), found):
                         codes[i] = c.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(codes, pa.binary())], names=["_class", "_vec", "_n", "_codes"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), part.column(3), part.column(4), pa.array(codes, pa.binary()), pa.array(signs)], names=["_rep", "_vec", "_n", "_class", "_codes", "_signs"]
+                )
 
-    coded = classes.select("_class", "_space", "_vec", "_n").mapInArrow(encode, "_class binary, _vec binary, _n long, _codes binary")
-    coded = scratch.write(coded, "coded")
+    coded = classes.select("_rep", "_space", "_vec", "_n", "_class").mapInArrow(encode, f"_rep {id_kind}, _vec binary, _n long, _class binary, _codes binary, _signs long")
+    # a short number for each class, which the written table keeps
+    coded = scratch.write(coded.withColumn("_num", F.monotonically_increasing_id()), "coded")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = fixed(part.column(1), "<u8").view(np.int64)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes.T.ravel()), pa.array(np.repeat(np.arange(tables), n)), part.column(0).take(pa.array(np.tile(np.arange(n), tables)))],
-                    names=["_code", "_table", "_class"],
-                )
-
-    bands = coded.select("_class", "_codes").mapInArrow(spread, "_code long, _table long, _class binary")
-    shared = bands.groupBy("_code", "_table").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    members = scratch.write(bands.join(shared, ["_code", "_table"]), "members")
-    placed = block_pairs(members, "_rows", "_class", BLOCK).join(coded, "_class")
-    keys = ["_code", "_table", "_lo", "_hi"]
-    placed = placed.select(*keys, "_own", "_class", "_n", "_vec", "_codes").repartition(*keys).sortWithinPartitions(*keys)
+                codes = fixed(part.column(2), "<u8").view(np.int64)
+                who = pa.array(np.tile(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(codes.T.ravel()), part.column(0).take(who), part.column(1).take(who)], names=["_code", "_num", "_signs"])
+
+    bands = coded.select("_num", "_signs", "_codes").mapInArrow(spread, "_code long, _num long, _signs long")
+    shared = bands.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_num").alias("_a"), F.max("_num").alias("_b"), F.expr("bit_xor(_signs)").alias("_x"))
+    shared = scratch.write(shared.where("_rows > 1"), "shared")
+    two = shared.where((F.col("_rows") == 2) & (F.bit_count("_x") <= sign_limit(cosine))).select("_code", "_rows", F.explode(F.array("_a", "_b")).alias("_num"))
+    several = shared.where("_rows > 2").select("_code", "_rows")
+    more = bands.join(small_side(several, several.count()), "_code").select("_code", "_rows", "_num")
+    members = scratch.write(two.union(more), "members")
+    placed = block_pairs(members, "_rows", "_num", BLOCK).join(coded.select("_num", "_n", "_vec", "_codes"), "_num")
+    keys = ["_code", "_lo", "_hi"]
+    placed = placed.select(*keys, "_own", "_num", "_n", "_vec", "_codes").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in complete_runs(batches, 4, 1024):
-            own, names, n = table["_own"].to_numpy(), np.array(table["_class"].to_pylist(), object), table["_n"].to_numpy()
-            which, lo, hi = table["_table"].to_numpy(), table["_lo"].to_numpy(), table["_hi"].to_numpy()
+        for table, begin in complete_runs(batches, 3, 1024):
+            own, num, n = table["_own"].to_numpy(), table["_num"].to_numpy(), table["_n"].to_numpy()
+            lo, hi = table["_lo"].to_numpy(), table["_hi"].to_numpy()
             raw = table["_vec"].to_pylist()
             codes = fixed(table["_codes"], "<u8")
+            which = np.argmax(codes == table["_code"].to_numpy().view(np.uint64)[:, None], axis=1)
             length = np.array(list(map(len, raw)))
             x = np.zeros((len(raw), length.max()))
             for size in np.unique(length):
@@ -186,16 +220,16 @@ def near_vectors(
             np.add.at(links, b, n[a])
             root = least_labels(len(n), a, b)
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[some].tolist(), pa.binary()), pa.array(links[some]), pa.array(names[root[some]].tolist(), pa.binary())], names=["_class", "_links", "_root"]
-            )
-
-    found = scratch.write(placed.mapInArrow(compare, "_class binary, _links long, _root binary"), "found")
-    names = classes.select("_class", "_rep")
-    edges = found.select("_class", "_root").distinct().join(names, "_class").select(F.col("_rep").alias("a"), F.col("_root").alias("_class"))
-    edges = edges.join(names, "_class").select("a", F.col("_rep").alias("b"))
+            yield pa.RecordBatch.from_arrays([pa.array(num[some]), pa.array(links[some]), pa.array(num[root[some]])], names=["_num", "_links", "_root"])
+
+    found = scratch.write(placed.mapInArrow(compare, "_num long, _links long, _root long"), "found")
+    scratch.drop("members", "shared")
+    names = coded.select("_num", "_rep")
+    edges = found.select("_num", "_root").distinct().join(names, "_num").select(F.col("_rep").alias("a"), F.col("_root").alias("_num"))
+    edges = edges.join(names, "_num").select("a", F.col("_rep").alias("b"))
     roots = components(scratch, edges)
-    links = found.groupBy("_class").agg(F.sum("_links").alias("_links"))
+    # classes of several labels can share their least id
+    links = found.groupBy("_num").agg(F.sum("_links").alias("_links")).join(coded.select("_num", "_class"), "_num").drop("_num")
     known = classes.select("_class", "_rep", "_n").join(links, "_class", "left").join(roots, F.col("_rep") == F.col("node"), "left")
     known = scratch.write(
         known.select("_class", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), F.coalesce("root", "_rep").alias("component_id")), "known"
