@@ -36,7 +36,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose text is not the page's, whatever holds them.
-HIDDEN = frozenset("script style template noscript iframe object svg math title textarea select button audio video canvas datalist".split())
+HIDDEN = frozenset("script style template noscript iframe object svg annotation annotation-xml title textarea select button audio video canvas datalist".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,16 +91,17 @@ KINDS = [
 ]
 KIND_OF = {tag: k for k, tags in enumerate(KINDS) for tag in tags.split()}
 OTHER = len(KINDS)
-FEATURES = OTHER + 1 + len(HINTS) + 1 + 6 + 4 + 3 + 1
+FEATURES = OTHER + 1 + len(HINTS) + 2 + 6 + 4 + 3 + 1
 
 
 class Page:
-    """Block elements in page order: ``tags``, ``parents`` (-1 for the root), hints; and the runs of text."""
+    """Block elements in page order: ``tags``, ``parents`` (-1 for the root), hints, whether they are not shown
+    (``hidden``) or not read aloud (``silent``); and the runs of text."""
 
-    __slots__ = ("tags", "parents", "hints", "hidden", "runs", "linked", "links")
+    __slots__ = ("tags", "parents", "hints", "hidden", "silent", "runs", "linked", "links")
 
     def __init__(self) -> None:
-        self.tags, self.parents, self.hints, self.hidden = ["html"], [-1], [()], [False]
+        self.tags, self.parents, self.hints, self.hidden, self.silent = ["html"], [-1], [()], [False], [False]
         self.runs: list[list] = []  # [node, pieces of text]
         self.linked, self.links = [0], [0]
 
@@ -274,14 +275,16 @@ def parse(source: str) -> Page:
             run = None
             if name == "hr":
                 continue
-            hints, off = (), False
+            hints, off, silent = (), False, False
             if attributes:
                 words: list[str] = []
                 for key, a, b, c in ATTRIBUTE.findall(attributes):
                     value = a or b or c
                     key = key.lower()
-                    if key in ("hidden", "aria-hidden"):
-                        off = off or (key == "hidden" and value.lower() != "until-found") or value.lower() == "true"
+                    if key == "hidden":
+                        off = off or value.lower() != "until-found"
+                    elif key == "aria-hidden":
+                        silent = silent or value.lower() == "true"
                     else:
                         words += NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
                 hints = tuple({HINT_OF[w] for w in words if w in HINT_OF})
@@ -289,6 +292,7 @@ def parse(source: str) -> Page:
             page.parents.append(node)
             page.hints.append(hints)
             page.hidden.append(off)
+            page.silent.append(silent)
             page.linked.append(0)
             page.links.append(0)
             node = len(page.tags) - 1
@@ -323,7 +327,7 @@ class Forest:
         n = int(self.first[-1])
         self.parent, self.depth, self.kind = np.full(n, -1), np.zeros(n, int), np.zeros(n, int)
         x = self.x = np.zeros((n, FEATURES), np.float64)
-        hint_at, size_at = OTHER + 1, OTHER + 2 + len(HINTS)
+        hint_at, size_at = OTHER + 1, OTHER + 3 + len(HINTS)
         chars, stops = np.zeros(n), np.zeros(n)
         for base, page, lines in zip(self.first.tolist(), pages, runs):
             for k, tag in enumerate(page.tags):
@@ -337,6 +341,8 @@ class Forest:
                     x[i, hint_at + h] = 1
                 if page.hidden[k]:
                     x[i, hint_at + len(HINTS)] = 1
+                if page.silent[k]:
+                    x[i, hint_at + len(HINTS) + 1] = 1
             for k, line in lines:
                 chars[base + k] += len(line)
                 stops[base + k] += sum(map(line.count, ".!?。"))
@@ -349,7 +355,8 @@ class Forest:
         rate = stops / np.maximum(chars, 1)
         x[:, size_at + 10 :][:, :3] = np.stack([(chars > 0) & (stops == 0), (stops > 0) & (rate < 0.05), rate >= 0.05], 1)
         x[:, -1] = 1
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(self.depth))[:-1]) if n else [order]
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -408,7 +415,7 @@ def train(pages: list[tuple[Page, list[int]]], rounds: int = 200, rate: float =
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Made pages with the lines of their main text. Layouts, wrappers, names and lengths vary;
     boilerplate stands before, after, beside and inside the article, with and without telling names."""
-    draw = random.Random(seed)
+    draw, marks = random.Random(seed), random.Random(seed + 1)
     syllables = "an er in on re th the ti en al ou le é ö ch st und de la ción que ment pre no".split()
 
     def words(low: int, high: int) -> str:
@@ -425,6 +432,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         name = draw.choice(names.split())
         return draw.choice([f' class="{name}"', f' id="{name}"', f' class="x {name}-box"', f" class='{name} c{draw.randint(1, 9)}'"])
 
+    def silent(chance: float) -> str:
+        return ' aria-hidden="true"' if marks.random() < chance else ""
+
     def links(low: int, high: int) -> str:
         items = [f'<a href="/{k}">{words(1, 2)}</a>' for k in range(draw.randint(low, high))]
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if draw.random() < 0.7 else " | ".join(items)
@@ -432,7 +442,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     def boilerplate() -> str:
         kind = draw.choice(["nav", "menu", "header", "footer", "side", "ad", "notice", "form", "comments", "share", "related"])
         if kind == "nav":
-            return f"<nav{named('nav menu breadcrumb', 0.4)}>{links(3, 9)}</nav>"
+            return f"<nav{named('nav menu breadcrumb', 0.4)}{silent(0.05)}>{links(3, 9)}</nav>"
         if kind == "menu":
             return f"<div{named(HINTS['navigation'])}>{links(3, 9)}</div>"
         if kind == "header":
@@ -468,7 +478,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
             if chance < 0.72:
                 shape = draw.random()
                 line = keep(1, draw.choice([3, 12, 40, 150, 400]))
-                parts.append(f"<p>{line}</p>" if shape < 0.8 else f"<p><b>{line}<br>" if shape < 0.92 else f"<div>{line}</div>")
+                parts.append(f"<p{silent(0.03)}>{line}</p>" if shape < 0.8 else f"<p><b>{line}<br>" if shape < 0.92 else f"<div>{line}</div>")
             elif chance < 0.8:
                 parts.append(f"<h{(k := draw.randint(2, 4))}>{keep(1, 8)}</h{k}>")
             elif chance < 0.86:
