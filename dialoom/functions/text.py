@@ -55,6 +55,16 @@ def strict_reply(reply: Column, schema: StructType) -> Column:
     return F.from_json(reply, schema, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
 
 
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def as_text(value: object) -> str | None:
+    """A value of a parsed reply as text: lone surrogates, which no file can hold, become U+FFFD; what is no text becomes JSON."""
+    if value is None:
+        return None
+    return LONE.sub("\ufffd", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+
+
 def parse_embedded(reply: str) -> tuple[str, bool]:
     """(words, completed) of a reply that may hold one JSON object among other text.
 
@@ -76,5 +86,4 @@ def embedded_reply(replies: pd.Series) -> pd.DataFrame:
     """``parse_embedded`` for a column, in Arrow batches. Python's parser takes duplicate keys and NaN, which
     Spark's do not; so this one function is not native. Null gives null words and false."""
     rows = [parse_embedded(r) if r is not None else (None, False) for r in replies]
-    words = [w if w is None or isinstance(w, str) else json.dumps(w, ensure_ascii=False) for w, _ in rows]
-    return pd.DataFrame({"teacher_utterance": words, "is_completed": [bool(d) for _, d in rows]})
+    return pd.DataFrame({"teacher_utterance": [as_text(w) for w, _ in rows], "is_completed": [bool(d) for _, d in rows]})

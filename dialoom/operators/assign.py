@@ -12,6 +12,8 @@ from .positions import hash_order, renumber
 
 #: Rows of a side that may be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: Rows that the driver permutes at most.
+PERMUTED_ROWS = 10_000_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -64,9 +66,11 @@ def round_robin_matched(df: DataFrame, presets: DataFrame, place: str = "place",
 def seeded_shuffle(spark: SparkSession, df: DataFrame, n: int, pos: str = "pos", seed: int = SPLIT_SEED) -> DataFrame:
     """The permutation that Python's generator gives for ``n`` rows numbered 0 to n-1 by ``pos``; adds ``shuffled``.
 
-    Exact, and the driver makes n numbers: for corpora up to some ten million rows.
+    Exact, and the driver makes n numbers: more than ``PERMUTED_ROWS`` are refused.
     Beyond, use ``hash_split``.
     """
+    if n > PERMUTED_ROWS:
+        raise ValueError(f"{n} rows are too many for a permutation made on the driver; use hash_split")
     order = list(range(n))
     random.Random(seed).shuffle(order)
     places = spark.createDataFrame([(p, k) for k, p in enumerate(order)], "_pos long, shuffled long")
@@ -84,6 +88,14 @@ def seeded_split(spark: SparkSession, df: DataFrame, pos: str = "pos", seed: int
     return seeded_shuffle(spark, df, n, pos, seed).withColumn("split", split_column(F.col("shuffled"), n, share))
 
 
+def split_sizes(df: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+    """(split, n): how many rows each part of a split gets, whatever the order; one row a part, none for no rows."""
+    counted = df.agg(F.count("*").alias("n")).where("n > 0")
+    train = F.floor(F.col("n") * F.lit(share))
+    parts = F.array(F.struct(F.lit("train").alias("split"), train.alias("n")), F.struct(F.lit("val").alias("split"), (F.col("n") - train).alias("n")))
+    return counted.select(F.explode(parts).alias("p")).select("p.*").where("n > 0")
+
+
 def hash_split(df: DataFrame, key: str, seed: int = SPLIT_SEED, share: float = TRAIN_SHARE) -> DataFrame:
     """A reproducible split of any size: rows in the order of a salted digest of their key."""
     n = df.count()

@@ -9,9 +9,17 @@ from ..fixed import DRAWING_MARKS, EMOTIONS, FIGURE_PATTERNS_EN, FIGURE_PATTERNS
 from ..functions.text import strip
 
 
+def first_to_last(pattern: str) -> str:
+    """``a.*b`` so that a search costs time in proportion to the text: after the first ``a``, the last ``b``.
+
+    Where no ``b`` follows the first ``a``, none follows a later one, so no other ``a`` is tried."""
+    first, last = pattern.split(".*")
+    return f"\\A(?>.*?{first}).*{last}"
+
+
 def _figure(text: Column, patterns: list[str]) -> Column:
-    # one alternation, compiled once; u: case folding beyond ASCII
-    found = text.rlike("(?isu)(?:" + "|".join(patterns) + ")")
+    # u: case folding beyond ASCII
+    found = text.rlike("(?isu)(?:" + "|".join(map(first_to_last, patterns)) + ")")
     for mark in DRAWING_MARKS:
         found = found | text.contains(mark)
     return F.coalesce(found, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..fixed import EMOTIONS, TAG_ANSWER, TAG_QUESTION, TAG_THOUGHT
+
 Messages = list[dict[str, str]]
 
 
@@ -29,6 +32,28 @@ def request_key(task: str, messages: Messages) -> str:
     return hashlib.sha256(json.dumps([task, messages], ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
+def made_reply(task: str, n: int, finish_in: int) -> str:
+    """A reply of each task's form, made from a number; a tutor ends a dialogue where n // 16 is divisible by ``finish_in``."""
+    if task == "translate":
+        return f"{TAG_THOUGHT} step {n % 7} {TAG_QUESTION} question {n % 1000} {TAG_ANSWER} answer {n % 100}"
+    if task == "similar":
+        return json.dumps({"similar_question": f"question {n % 1000}", "similar_solution": f"solution {n % 100}"})
+    if task == "judge":
+        return json.dumps({"is_correct": n % 3 != 0, "judge_reason": f"reason {n % 10}"})
+    if task in ("teacher", "teacher_free"):
+        reply = {
+            "thought_process": f"thought {n % 50}",
+            "student_emotion": EMOTIONS[n % len(EMOTIONS)],
+            "roadmap_breakdown": f"roadmap {n % 9}",
+            "next_step_plan": f"plan {n % 11}",
+            "is_completed": n // 16 % finish_in == 0,
+            "teacher_utterance": f"utterance {n % 1000}.",
+        }
+        text = json.dumps(reply, ensure_ascii=False)
+        return f"Here it is: {text}" if task == "teacher_free" and n % 2 else text
+    return f" words {n % 1000} "
+
+
 @dataclass(frozen=True)
 class StubClient:
     """Replies made from the request's digest: the same request always gets the same reply, without a network.
@@ -39,30 +64,22 @@ class StubClient:
     finish_in: int = 4
     fail_in: int = 0
 
-    def complete(self, task: str, messages: Messages, temperature: float = 0.0, schema: dict | None = None) -> str:
-        from ..fixed import EMOTIONS, TAG_ANSWER, TAG_QUESTION, TAG_THOUGHT
+    def number(self, task: str, messages: Messages) -> int:
+        return int(request_key(task, messages)[:12], 16)
 
-        n = int(request_key(task, messages)[:12], 16)
+    def complete(self, task: str, messages: Messages, temperature: float = 0.0, schema: dict | None = None) -> str:
+        n = self.number(task, messages)
         if self.fail_in and n % self.fail_in == 0:
             raise CallFailed(f"stub failure {n % 1000}")
-        if task == "translate":
-            return f"{TAG_THOUGHT} step {n % 7} {TAG_QUESTION} question {n % 1000} {TAG_ANSWER} answer {n % 100}"
-        if task == "similar":
-            return json.dumps({"similar_question": f"question {n % 1000}", "similar_solution": f"solution {n % 100}"})
-        if task == "judge":
-            return json.dumps({"is_correct": n % 3 != 0, "judge_reason": f"reason {n % 10}"})
-        if task in ("teacher", "teacher_free"):
-            reply = {
-                "thought_process": f"thought {n % 50}",
-                "student_emotion": EMOTIONS[n % len(EMOTIONS)],
-                "roadmap_breakdown": f"roadmap {n % 9}",
-                "next_step_plan": f"plan {n % 11}",
-                "is_completed": n // 16 % self.finish_in == 0,
-                "teacher_utterance": f"utterance {n % 1000}.",
-            }
-            text = json.dumps(reply, ensure_ascii=False)
-            return f"Here it is: {text}" if task == "teacher_free" and n % 2 else text
-        return f" words {n % 1000} "
+        return made_reply(task, n, self.finish_in)
+
+
+@dataclass(frozen=True)
+class LengthClient(StubClient):
+    """Replies made from the number of characters of all messages, which SQL can count too."""
+
+    def number(self, task: str, messages: Messages) -> int:
+        return sum(len(m["content"]) for m in messages)
 
 
 @dataclass(frozen=True)
@@ -78,25 +95,36 @@ class ReplayClient:
         return reply
 
 
-def call(df: DataFrame, client: Client, task: str, build: Callable[[dict], Messages], temperature: float, partitions: int | None = None) -> DataFrame:
+def call(
+    df: DataFrame,
+    client: Client,
+    task: str,
+    build: Callable[[dict], Messages],
+    temperature: float,
+    partitions: int | None = None,
+    schema: dict | None = None,
+    in_flight: int = 8,
+) -> DataFrame:
     """Adds ``reply`` and ``error`` to each row; a failed call has an error and a null reply.
 
-    Filter rows first: nothing is pushed below this step. ``partitions`` bounds how
-    many calls run at a time. Write the result before using it twice.
+    Filter rows first: nothing is pushed below this step. ``partitions`` and
+    ``in_flight``, the calls that a task has open at a time, bound how many calls run
+    at once. ``schema`` is the form of the reply that the client is told. Write the
+    result before using it twice.
     """
-    schema = StructType([*df.schema.fields, StructField("reply", StringType()), StructField("error", StringType())])
+    kinds = StructType([*df.schema.fields, StructField("reply", StringType()), StructField("error", StringType())])
+
+    def ask(row: dict) -> tuple[str | None, str | None]:
+        try:
+            return client.complete(task, build(row), temperature, schema), None
+        except CallFailed as error:
+            return None, str(error) or "failed"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies: list[str | None] = []
-            errors: list[str | None] = []
-            for row in batch.to_pylist():
-                try:
-                    replies.append(client.complete(task, build(row), temperature))
-                    errors.append(None)
-                except CallFailed as error:
-                    replies.append(None)
-                    errors.append(str(error) or "failed")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "reply", "error"])
-
-    return (df.repartition(partitions) if partitions else df).mapInArrow(run, schema)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                got = list(pool.map(ask, batch.to_pylist()))
+                added = [pa.array([g[k] for g in got], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "reply", "error"])
+
+    return (df.repartition(partitions) if partitions else df).mapInArrow(run, kinds)

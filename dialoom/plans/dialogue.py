@@ -17,8 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..fixed import FAILED_ANSWER, FAILED_JUDGE, MAX_TURNS
-from ..functions.text import parse_embedded
-from ..schemas import DIALOGUE_TURN, MESSAGES
+from ..functions.text import as_text, parse_embedded
+from ..schemas import DIALOGUE_TURN, JUDGE_REPLY, MESSAGES, TEACHER_REPLY
 from .client import CallFailed, Client, Messages
 
 TEACHER_FIELDS = ("thought_process", "student_emotion", "roadmap_breakdown", "next_step_plan")
@@ -59,9 +59,9 @@ def corpus_dialogue(
         log.append({"turn": turn, "role": "student", "content": words})
         session.student_says(words)
         try:
-            reply = json.loads(client.complete("teacher", session.teacher, 0.2))
-            fields = {f: reply.get(f, "") for f in TEACHER_FIELDS}
-            said, done = reply.get("teacher_utterance", ""), reply.get("is_completed", False)
+            reply = json.loads(client.complete("teacher", session.teacher, 0.2, TEACHER_REPLY))
+            fields = {f: as_text(reply.get(f, "")) for f in TEACHER_FIELDS}
+            said, done = as_text(reply.get("teacher_utterance", "")), reply.get("is_completed", False)
         except (CallFailed, ValueError, AttributeError):
             break
         log.append({"turn": turn, "role": "teacher", "content": said, **fields})
@@ -84,6 +84,7 @@ def evaluation_dialogue(client: Client, student: Messages, teacher: Messages, ma
         try:
             raw = client.complete("teacher_free", session.teacher, 0.2)
             said, done = parse_embedded(raw)
+            said = as_text(said)
         except (CallFailed, AttributeError):
             break
         log.append(_message("teacher", said))
@@ -103,8 +104,8 @@ def answer_similar(client: Client, system: str, prompt: str) -> str:
 
 def judge_answer(client: Client, system: str, prompt: str) -> tuple[bool, str]:
     try:
-        verdict = json.loads(client.complete("judge", [_message("system", system), _message("user", prompt)], 0.0))
-        return verdict["is_correct"], verdict["judge_reason"]
+        verdict = json.loads(client.complete("judge", [_message("system", system), _message("user", prompt)], 0.0, JUDGE_REPLY))
+        return verdict["is_correct"], as_text(verdict["judge_reason"])
     except (CallFailed, ValueError, KeyError, TypeError) as error:
         return False, f"{FAILED_JUDGE}{error}"
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..fixed import EMOTION_GROUPS, EMOTIONS, FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, PROBLEM_COLUMNS, REASONING_BEGIN, REASONING_END, REASONING_LABELS, SFT_PROBLEM_HEADER
+from ..fixed import EMOTION_GROUPS, EMOTIONS, FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, NO_FIELD, PROBLEM_COLUMNS, PROFILE_LABELS, REASONING_BEGIN, REASONING_END, REASONING_LABELS, SFT_PROBLEM_HEADER
 from ..functions import chat
 from ..functions.text import embedded_reply, first_filled, fixed_precision, source_id, strip, tagged_blocks, with_default
 from ..operators import assign, filters, metrics
@@ -18,7 +18,7 @@ from ..operators.positions import renumber
 from ..sources.readers import read_json_array, read_jsonl
 from ..sources.scratch import fresh_path
 from . import presets, workflows
-from .client import StubClient
+from .client import LengthClient, StubClient
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -441,7 +441,7 @@ def sft_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'train' AS split, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS n FROM n UNION ALL SELECT 'val', n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) FROM n""")
 def sft_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sessions(spark, sf_dir).where(filters.is_completed(F.col("is_completed"))).select("conv_id")
-    return assign.seeded_split(spark, renumber(done, "conv_id", "pos")).groupBy("split").agg(F.count("*").alias("n"))
+    return assign.split_sizes(done)
 
 
 @query()
@@ -465,6 +465,75 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("pos"), source_id("math_test_", F.col("item_id")).alias("id"), F.expr(QUESTION).alias("translated_question"))
 
 
+def _said(name: str, *fields: str) -> int:
+    """Characters of a template without its fields."""
+    return len(workflows.WORDS[name]) - sum(len(f) + 2 for f in fields)
+
+
+SQL_TRANSLATED = f"""SELECT pos, concat('math_train_', pos) AS id, concat('step ', n % 7) AS thought_process, concat('question ', n % 1000) AS translated_question, concat('answer ', n % 100) AS translated_solution
+FROM (SELECT pos, n, row_number() OVER (ORDER BY pos) AS r FROM (SELECT doc_id AS pos, {len(presets.TRANSLATOR_PROMPT) + _said("translate", "problem", "solution") + 1} + length(p) AS n
+ FROM (SELECT doc_id, coalesce({PROBLEM}, '') AS p FROM documents) WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}) WHERE n % 7 <> 0) WHERE r <= 200"""
+
+
+@query(SQL_TRANSLATED)
+def translate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 translations that succeed; calls fail where the number of characters is divisible by seven."""
+    rows = problems(spark, sf_dir).select("pos", F.coalesce("problem", F.lit("")).alias("problem"), F.lit("s").alias("solution"), F.lit("t").alias("type"), F.lit("l").alias("level"))
+    got = workflows.translate(spark, rows, LengthClient(fail_in=7), presets.TRANSLATOR_PROMPT, fresh_path(spark, "translate"))
+    return got.select("pos", "id", "thought_process", "translated_question", "translated_solution")
+
+
+SIMILAR_SYSTEM = "Make a similar problem."
+
+
+def _similar_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).withColumns({c: F.lit(c) for c in ("type", "level", "original_problem", "original_solution", "translated_solution")})
+
+
+@query(f"""SELECT concat('math_test_', item_id) AS source_id, q AS original_question, concat('question ', n % 1000) AS similar_question, concat('solution ', n % 100) AS similar_solution
+FROM (SELECT item_id, q, {len(SIMILAR_SYSTEM) + _said("similar", "question", "solution") + len("translated_solution")} + length(q) AS n
+ FROM (SELECT item_id, coalesce(nullif({QUESTION}, ''), 'original_problem') AS q FROM benchmark)) WHERE n % 9 <> 0""")
+def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-alike problems with strict replies; calls fail where the number of characters is divisible by nine."""
+    got = workflows.make_similar(spark, _similar_inputs(spark, sf_dir), LengthClient(fail_in=9), SIMILAR_SYSTEM, fresh_path(spark, "similar"), wave=25)
+    return got.select("source_id", "original_question", "similar_question", "similar_solution")
+
+
+@query(f"""SELECT 'similar' AS task, item_id AS pos FROM (SELECT item_id, {len(SIMILAR_SYSTEM) + _said("similar", "question", "solution") + len("translated_solution")} + length(coalesce(nullif({QUESTION}, ''), 'original_problem')) AS n FROM benchmark) WHERE n % 9 = 0""")
+def failed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead-letter table of the same calls."""
+    path = fresh_path(spark, "similar")
+    workflows.make_similar(spark, _similar_inputs(spark, sf_dir), LengthClient(fail_in=9), SIMILAR_SYSTEM, path)
+    return spark.read.parquet(workflows.failed_path(path)).select("task", "pos")
+
+
+def _sql_value(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_FIELDS = {"grade": "grade", "learned_scope": "learned_scope", "weak_area": "weak_area"}
+SQL_PROFILES = "profiles(ord, id, grade, learned_scope, weak_area) AS (VALUES " + ", ".join(f"({p[0]}, {', '.join(map(_sql_value, p[1:]))})" for p in presets.PROFILES) + ")"
+SQL_BLOCK = "concat(" + _profile_sql([(label, f"coalesce({_FIELDS[name]}, '{NO_FIELD}')" if name in _FIELDS else f"'{NO_FIELD}'") for label, name in PROFILE_LABELS]) + ")"
+SQL_DIALOGUES = f"""WITH RECURSIVE {SQL_PROFILES},
+start AS (SELECT item_id AS pos, length(concat('You are a learner.', chr(10), {SQL_BLOCK}, chr(10), 'Problem: ', q, chr(10), 'You are ', {SQL_CONDITIONS}[item_id % 3 + 1], '.')) AS s,
+ {len(presets.TEACHER_PROMPT) + _said("teacher_opening", "problem")} + length(q) AS t FROM (SELECT item_id, {QUESTION} AS q FROM benchmark) JOIN profiles ON ord = item_id % 10 WHERE coalesce(q, '') <> '' AND item_id < 200),
+r AS (SELECT pos, 0 AS k, s, t, '' AS log, 0 AS turns, false AS done, false AS ended FROM start
+UNION ALL SELECT pos, k + 1, s + length(w) + length(u), t1 + length(u), concat(log, CASE WHEN sf THEN '' WHEN tf THEN concat('|', w) ELSE concat('|', w, '|', u) END),
+ turns + CASE WHEN sf THEN 0 WHEN tf THEN 1 ELSE 2 END, NOT sf AND NOT tf AND d, sf OR tf OR d
+ FROM (SELECT *, t1 % 23 = 0 AS tf, concat('utterance ', t1 % 1000, '.') AS u, (t1 // 16) % 4 = 0 AS d FROM (SELECT *, t + length(w) AS t1 FROM (SELECT *, sn % 23 = 0 AS sf, concat('words ', sn % 1000) AS w
+  FROM (SELECT *, s + CASE WHEN k = 0 THEN {len(workflows.WORDS["student_opening"])} ELSE 0 END AS sn FROM r WHERE NOT ended AND k < 15)))))
+SELECT pos, concat('math_test_', pos) AS source_id, done AS is_completed, CAST(turns AS BIGINT) AS turns, log AS said FROM r WHERE ended OR k = 15"""
+
+
+@query(SQL_DIALOGUES)
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues turn by turn: calls fail, tutors end a session, or the turns run out, by the number of characters so far."""
+    inputs = workflows.dialogue_inputs(_records(spark, sf_dir), presets.profiles(spark), presets.CONDITIONS, presets.STUDENT_PROMPT)
+    made = workflows.make_dialogues(spark, inputs, LengthClient(fail_in=23), presets.TEACHER_PROMPT, fresh_path(spark, "dialogues"))
+    said = F.concat_ws("", F.transform("conversation", lambda t: F.concat(F.lit("|"), t["content"])))
+    return made.select("pos", "source_id", "is_completed", F.size("conversation").cast("long").alias("turns"), said.alias("said"))
+
+
 @query()
 def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 translations that succeed; the stub fails one call in seven."""
@@ -474,8 +543,7 @@ def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similar_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).withColumns({c: F.lit(c) for c in ("type", "level", "original_problem", "original_solution", "translated_solution")})
-    return workflows.make_similar(spark, rows, StubClient(fail_in=9), "Make a similar problem.", fresh_path(spark, "similar"))
+    return workflows.make_similar(spark, _similar_inputs(spark, sf_dir), StubClient(fail_in=9), SIMILAR_SYSTEM, fresh_path(spark, "similar"))
 
 
 @query()

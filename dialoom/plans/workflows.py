@@ -29,12 +29,15 @@ from ..fixed import (
 from ..functions import chat
 from ..functions.text import first_filled, source_id, strict_reply, tagged_blocks
 from ..operators import assign, filters
-from ..schemas import SIMILAR_PROBLEM
+from ..schemas import SIMILAR_REPLY, SIMILAR_RESPONSE
+from ..sources.readers import path_exists
+from ..sources.scratch import Scratch, remove
 from ..sources.writers import append_missing, first_successes, write_jsonl
 from . import dialogue
 from .client import Client, call
 
-#: Our own wording of what the model is told; templates take the named fields.
+#: What the model is told; templates take the named fields. The forms of ``translate`` (its two headers) and of
+#: ``similar`` are fixed values that models of these tasks expect; the rest is our own wording.
 WORDS = {
     "translate": "Translate this problem and its solution.\n\n[Original Q]\n{problem}\n\n[Original A]\n{solution}",
     "similar": "[Original Question]\n{question}\n\n[Original Solution]\n{solution}",
@@ -50,21 +53,39 @@ def _worded(name: str, **fields: Column) -> Column:
     return chat.fill_once(WORDS[name], {"{" + k + "}": v for k, v in fields.items()})
 
 
+def failed_path(path: str) -> str:
+    """Where the failed calls of the table at ``path`` are kept."""
+    return f"{path.rstrip('/')}_failed"
+
+
+def _asked(rows: DataFrame, client: Client, task: str, system: str, temperature: float, path: str, schema: dict | None = None) -> DataFrame:
+    """Calls the client with each row's ``prompt``, once: replies are written before they are used. Failed calls
+    go to a table of their own (task, pos, prompt, error)."""
+    asked = call(rows, client, task, lambda r: [{"role": "system", "content": system}, {"role": "user", "content": r["prompt"]}], temperature, schema=schema)
+    done = Scratch(rows.sparkSession, task).write(asked, "replies")
+    failed = done.where("error is not null").select(F.lit(task).alias("task"), "pos", "prompt", "error")
+    failed.write.mode("append").parquet(failed_path(path))
+    return done.where("error is null")
+
+
 def translate(
     spark: SparkSession, problems: DataFrame, client: Client, system: str, path: str, limit: int = TRAIN_LIMIT, start: int = 0, prefix: str = TRAIN_ID
 ) -> DataFrame:
     """The first ``limit`` text-only problems from position ``start`` on whose translation succeeds.
 
     A reply without tags counts as a success with empty fields, as it does in the data
-    this is meant for; such rows go when dialogues are made."""
+    this is meant for; such rows go when dialogues are made. Failed calls are kept at
+    ``failed_path(path)``."""
+    if path_exists(spark, failed_path(path)):
+        remove(spark, failed_path(path))
     candidates = problems.where((F.col("pos") >= start) & filters.is_text_only(F.col("problem"))).withColumn(
         "prompt", _worded("translate", problem=F.col("problem"), solution=F.col("solution"))
     )
 
     def run(rows: DataFrame) -> DataFrame:
-        done = call(rows, client, "translate", lambda r: [{"role": "system", "content": system}, {"role": "user", "content": r["prompt"]}], 0.3)
+        done = _asked(rows, client, "translate", system, 0.3, path)
         blocks = tagged_blocks(F.col("reply"))
-        return done.where("error is null").select(
+        return done.select(
             "pos",
             source_id(prefix, F.col("pos")).alias("id"),
             "type",
@@ -138,16 +159,17 @@ def prepare_sft(spark: SparkSession, sessions: DataFrame, system: str, train_pat
 
 
 def make_similar(spark: SparkSession, problems: DataFrame, client: Client, system: str, path: str, wave: int = 64) -> DataFrame:
-    """Look-alike problems; failed calls and questions that refer to a figure are left out."""
+    """Look-alike problems; failed calls and questions that refer to a figure are left out. Failed calls are kept at
+    ``failed_path(path)`` and are made again when this runs again."""
     question = first_filled(F.col("translated_question"), F.coalesce(F.col("original_problem"), F.lit("")))
     solution = first_filled(F.col("translated_solution"), F.coalesce(F.col("original_solution"), F.lit("")))
     rows = problems.select("pos", "id", "type", "level", "original_problem", question.alias("question"), solution.alias("solution"))
     rows = rows.withColumn("prompt", _worded("similar", question=F.col("question"), solution=F.col("solution")))
 
     def run(some: DataFrame) -> DataFrame:
-        done = call(some, client, "similar", lambda r: [{"role": "system", "content": system}, {"role": "user", "content": r["prompt"]}], 0.5)
-        made = strict_reply(F.col("reply"), SIMILAR_PROBLEM)
-        done = done.where("error is null").withColumn("made", made).where(F.col("made").isNotNull())
+        done = _asked(some, client, "similar", system, 0.5, path, SIMILAR_REPLY)
+        made = strict_reply(F.col("reply"), SIMILAR_RESPONSE)
+        done = done.withColumn("made", made).where(F.col("made").isNotNull())
         return done.select(
             "pos",
             F.col("id").alias("source_id"),
@@ -224,4 +246,4 @@ class _Both:
         self.student, self.teacher = student, teacher
 
     def complete(self, task: str, messages, temperature: float = 0.0, schema=None) -> str:
-        return (self.teacher if task == "teacher_free" else self.student).complete(task, messages, temperature)
+        return (self.teacher if task == "teacher_free" else self.student).complete(task, messages, temperature, schema)

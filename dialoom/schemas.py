@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from .fixed import EMOTIONS
+
 
 def _strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
@@ -50,3 +52,18 @@ EVAL_RESULT = StructType(
     ]
 )
 SFT_RECORD = StructType([StructField("messages", MESSAGES)])
+SIMILAR_RESPONSE = _strings("similar_question", "similar_solution")
+
+
+def strict_reply(name: str, fields: StructType, **choices: list[str]) -> dict:
+    """What a client is told about a reply: an object with exactly these fields; some have a list of values."""
+    kinds = {f.name: {"type": "boolean" if isinstance(f.dataType, BooleanType) else "string"} for f in fields}
+    for field, values in choices.items():
+        kinds[field]["enum"] = list(values)
+    schema = {"type": "object", "properties": kinds, "required": fields.names, "additionalProperties": False}
+    return {"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": schema}}
+
+
+TEACHER_REPLY = strict_reply("teacher_response", TEACHER_RESPONSE, student_emotion=EMOTIONS)
+SIMILAR_REPLY = strict_reply("similar_question_response", SIMILAR_RESPONSE)
+JUDGE_REPLY = strict_reply("judge_response", JUDGE_RESPONSE)

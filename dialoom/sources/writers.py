@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.positions import renumber
 from .readers import path_exists
+from .scratch import Scratch, remove
 
 
 def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
@@ -40,27 +42,41 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def append_missing(
-    spark: SparkSession, todo: DataFrame, path: str, key: str, run: Callable[[DataFrame], DataFrame], wave: int = 10_000, pos: str = "pos", restart: bool = False
+    spark: SparkSession,
+    todo: DataFrame,
+    path: str,
+    key: str,
+    run: Callable[[DataFrame], DataFrame],
+    wave: int = 10_000,
+    pos: str = "pos",
+    restart: bool = False,
+    report: Callable[[dict], None] | None = None,
 ) -> DataFrame:
     """Runs ``run`` on the rows of ``todo`` whose key is not in the table at ``path``, in waves, and appends each wave.
 
     After a crash, the same call goes on where it stopped, so no costly call is made
-    twice for a row that was written. ``restart`` empties the table first. Rows of
-    one wave are written together; a wave is a range of source positions.
+    twice for a row that was written. ``restart`` empties the table first. What is
+    left to do is found once and written in waves of ``wave`` rows, in the order of
+    ``pos``; each wave then reads its own rows only. ``report`` gets the counts of each
+    wave as it ends: wave, waves, rows and written.
     """
     if restart and path_exists(spark, path):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    first, last = todo.agg(F.min(pos), F.max(pos)).first()
-    at = first
-    while at is not None and at <= last:
-        rows = todo.where((F.col(pos) >= at) & (F.col(pos) < at + wave))
-        if path_exists(spark, path):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        run(rows).write.mode("append").parquet(path)
-        at += wave
+        remove(spark, path)
+    if path_exists(spark, path):
+        todo = todo.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti").select(*todo.columns)
+    scratch = Scratch(spark, "waves")
+    left = renumber(todo, pos, "_n").withColumn("_wave", F.expr(f"_n div {wave}")).drop("_n")
+    left.repartition("_wave").write.partitionBy("_wave").option("compression", "zstd").parquet(scratch.path("todo"))
+    left = scratch.read(left.schema, "todo")
+    sizes = {r[0]: r[1] for r in left.groupBy("_wave").count().collect()}  # a row a wave
+    for k in sorted(sizes):
+        seen = Observation()
+        run(left.where(F.col("_wave") == k).drop("_wave")).observe(seen, F.count("*").alias("written")).write.mode("append").parquet(path)
+        if report:
+            report({"wave": k + 1, "waves": len(sizes), "rows": sizes[k], **seen.get})
     if not path_exists(spark, path):
         run(todo.limit(0)).write.mode("append").parquet(path)
+    scratch.drop("todo")
     return spark.read.parquet(path)
 
 

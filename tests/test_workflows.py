@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from dialoom.functions.text import embedded_reply
 from dialoom.plans import presets, workflows
 from dialoom.plans.client import CallFailed, ReplayClient, StubClient, request_key
 from dialoom.plans.dialogue import answer_similar, corpus_dialogue, evaluation_dialogue, judge_answer
@@ -19,10 +20,11 @@ class Script:
     """Answers each task from its own list; an exception in it is raised."""
 
     def __init__(self, **replies):
-        self.replies, self.seen = {k: list(v) for k, v in replies.items()}, []
+        self.replies, self.seen, self.schemas = {k: list(v) for k, v in replies.items()}, [], {}
 
     def complete(self, task, messages, temperature=0.0, schema=None):
         self.seen.append((task, [dict(m) for m in messages]))
+        self.schemas[task] = schema
         reply = self.replies[task].pop(0) if len(self.replies[task]) > 1 else self.replies[task][0]
         if isinstance(reply, Exception):
             raise reply
@@ -207,3 +209,69 @@ def test_json_array_and_keyed(spark, tmp_path):
     (tmp_path / "k.jsonl").write_text('{"id": "a", "grade": "1"}\n\n{"id": "b", "grade": "2"}\n{"id": "a", "grade": "3"}\n')
     got = read_keyed(spark, str(tmp_path / "k.jsonl"), StructType([*STUDENT_PROFILE.fields, StructField("source_id", StringType())]))
     assert sorted((r.key, r.place, r.grade) for r in got.collect()) == [("a", 0, "3"), ("b", 1, "2")]
+
+
+def test_strict_replies_are_asked_for():
+    client = Script(student=["x"], teacher=[teacher(True)], judge=['{"is_correct": true, "judge_reason": "r"}'])
+    corpus(client)
+    judge_answer(client, "s", "p")
+    form = client.schemas["teacher"]["json_schema"]
+    assert form["strict"] and form["schema"]["additionalProperties"] is False and client.schemas["student"] is None
+    assert form["schema"]["required"] == ["thought_process", "student_emotion", "roadmap_breakdown", "next_step_plan", "is_completed", "teacher_utterance"]
+    assert len(form["schema"]["properties"]["student_emotion"]["enum"]) == 10 and form["schema"]["properties"]["is_completed"] == {"type": "boolean"}
+    assert client.schemas["judge"]["json_schema"]["schema"]["required"] == ["is_correct", "judge_reason"]
+
+
+def test_lone_surrogates(spark):
+    reply = r'{"teacher_utterance": "a\ud800b", "student_emotion": 3, "is_completed": true}'
+    log, done = corpus(Script(student=["x"], teacher=[reply]))
+    assert done and log[1]["content"] == "a\ufffdb" and log[1]["student_emotion"] == "3"
+    log, _ = evaluation_dialogue(Script(student=["a"], teacher_free=[reply]), [], [])
+    assert log[1]["content"] == "a\ufffdb"
+    rows = spark.createDataFrame([(reply,), (r'{"teacher_utterance": "\ud83d\ude00"}',)], "r string").select(embedded_reply("r").alias("x")).select("x.*")
+    assert [r.teacher_utterance for r in rows.collect()] == ["a\ufffdb", "\U0001f600"]
+
+
+def test_failed_calls_are_kept(spark, tmp_path):
+    path = str(tmp_path / "t")
+    client = StubClient(fail_in=4)
+    got = workflows.translate(spark, problems(spark), client, "sys", path, limit=20)
+    last = got.agg(F.max("pos")).first()[0]
+    tried = {k for k in range(last + 1) if k % 6}
+    failed = spark.read.parquet(workflows.failed_path(path))
+    assert {r.pos for r in failed.collect()} == tried - {r.pos for r in got.collect()} and failed.count() > 0
+    assert all(r.task == "translate" and r.error and r.prompt for r in failed.collect())
+
+
+def test_waves(spark, tmp_path):
+    """Sparse positions make no empty waves; counts are reported."""
+    todo = spark.range(23).select((F.col("id") * 1_000_000).alias("pos"), F.col("id").cast("string").alias("key")).repartition(3)
+    seen = []
+    assert append_missing(spark, todo, str(tmp_path / "w"), "key", lambda d: d.where("pos % 2000000 = 0"), wave=10, report=seen.append).count() == 12
+    assert [(r["wave"], r["waves"], r["rows"], r["written"]) for r in seen] == [(1, 3, 10, 5), (2, 3, 10, 5), (3, 3, 3, 2)]
+    seen.clear()
+    append_missing(spark, todo, str(tmp_path / "w"), "key", lambda d: d, wave=6, report=seen.append)
+    assert [r["rows"] for r in seen] == [6, 5]
+
+
+def test_permutation_is_bounded(spark, monkeypatch):
+    from dialoom.operators import assign
+
+    monkeypatch.setattr(assign, "PERMUTED_ROWS", 5)
+    with pytest.raises(ValueError):
+        assign.seeded_split(spark, spark.range(6).withColumnRenamed("id", "pos"))
+    for n in (0, 1, 4, 184):
+        got = {r.split: r.n for r in assign.split_sizes(spark.range(n)).collect()}
+        assert got == {k: v for k, v in (("train", int(n * 0.8)), ("val", n - int(n * 0.8))) if v}
+
+
+def test_figure_search_is_linear(spark):
+    import time
+
+    from dialoom.operators.filters import is_text_only
+
+    long = ["as " * 300_000, "shown " * 200_000, "x" * 1_000_000 + " as it is shown", "shown" + " y" * 500_000 + "as"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "k int, t string")
+    began = time.time()
+    assert [r[0] for r in rows.orderBy("k").select(is_text_only(F.col("t"))).collect()] == [True, True, False, True]
+    assert time.time() - began < 60
