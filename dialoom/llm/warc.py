@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 import struct
 import urllib.parse
 import uuid
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove
 from .common import Scratch, as_bytes, slices, small_side
 
 #: Fixed values of the Zstandard formats.
@@ -190,7 +192,8 @@ class _Archive:
         from pyarrow import fs
 
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        system, path = fs.FileSystem.from_uri(f"{root}/{self.name}")
+        # Hadoop's names of a store that pyarrow knows by one name
+        system, path = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", f"{root}/{self.name}"))
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out, self.records = system.open_output_stream(path, compression=None), 0
         self.out.write(leading_frame(dictionary))
@@ -258,9 +261,20 @@ def write_archives(
 
     planned = plan_records(pages, revisit_bytes, id_col, url_col, html_col)
     manifest = scratch.write(planned.mapInArrow(run, "file string, records long"), "manifest")
+    _remove_strays(folder, manifest)
     return folder, manifest
 
 
+def _remove_strays(folder: str, manifest: DataFrame) -> None:
+    """Deletes the files of attempts that were lost or came second. Files are listed, not read."""
+    spark = manifest.sparkSession
+    if not manifest.head(1):
+        return
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", F.substring_index("path", "/", -1).alias("file"))
+    for r in files.join(manifest, "file", "left_anti").select("path").toLocalIterator():
+        remove(spark, r.path)
+
+
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, payloads: bool = False) -> DataFrame:
     """(page, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) for each record; ids as text.
 
@@ -303,8 +317,7 @@ SCHEMA = "page string, url string, payload_bytes long, payload_digest string, re
 
 
 def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
-    text, kinds = pa.string(), [pa.string()] * 2 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()]
-    assert text
+    kinds = [pa.string()] * 2 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()]
     names = ["page", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     n = 7 if payloads else 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows))[:n], kinds)], names=names[:n])

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from dialoom.llm import minhash
@@ -92,6 +93,59 @@ def test_links_near_the_limit(spark, monkeypatch):
     assert rows_of(near_duplicates(docs, 3, 85)) == want
 
 
+def group(size, seed=2):
+    """One large group of near copies around the limit: half of them too far from all others."""
+    draw = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    base = [draw.choice(vocabulary) for _ in range(90)]
+    rows = []
+    for k in range(size):
+        words = list(base)
+        for at in draw.sample(range(90), 1 + k % 2 * 2 + draw.randrange(2)):
+            words[at] = draw.choice(vocabulary)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def exact(rows, percent):
+    """Components by all pairs of sets, as a product of matrices; and the number of links."""
+    sets = [shingle_set(t, 3) for _, t in rows]
+    place = {x: k for k, x in enumerate(sorted({x for s in sets for x in s}))}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [place[x] for x in s]] = 1
+    common = (m @ m.T).astype(np.int64)
+    size = np.array(list(map(len, sets)))
+    linked = 100 * common >= percent * (size[:, None] + size - common)
+    root = np.arange(len(rows))
+    while True:
+        low = np.array([root[linked[k]].min() for k in range(len(rows))])
+        if (low == root).all():
+            return root, int(np.triu(linked, 1).sum())
+        root = low
+
+
+def test_a_large_group_makes_rows_in_proportion(spark, monkeypatch):
+    """No table or join grows with the square of a group of near copies, and no class of it is lost."""
+    made = {}
+    write = minhash.Scratch.write
+    monkeypatch.setattr(minhash.Scratch, "write", lambda self, df, name: made.__setitem__(name, (out := write(self, df, name)).count()) or out)
+    counts = []
+    for size in (1000, 2000):
+        rows = group(size)
+        made.clear()
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+        root, links = exact(rows, 85)
+        found = sum(root[r.doc_id] == r.component_id for r in got)
+        print(f"group of {size}: {links} links, {len(set(root.tolist()))} components, recall {found / size:.4f}")
+        assert found == size and len(set(root.tolist())) > size // 10
+        counts.append({k: made[k] for k in ("members", "marked_one", "marked_two", "links_one", "links_two")})
+    # a class has a row for each of its bands; the blocks of a group of this size are one or two, so at most two copies of it are dealt
+    assert counts[1]["members"] <= 2.2 * counts[0]["members"], counts
+    for c in counts:
+        assert c["marked_one"] <= 2 * c["members"] and c["marked_two"] <= 2 * c["members"] and c["links_two"] <= c["marked_two"], counts
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 3, 85)

@@ -62,3 +62,16 @@ def test_empty(spark):
 def test_bounded_cache_changes_nothing():
     small, large = WordTokenizer(PATH, bound=4), WordTokenizer(PATH)
     assert small(ODD_TEXTS) == large(ODD_TEXTS)
+
+
+def test_every_route_gives_the_library_s_ids():
+    """Odd short texts: Latin-1 and not, letter runs, marks, special strings, combining and folded characters, all spaces."""
+    import random
+
+    draw = random.Random(8)
+    bits = [*"aZé ßµ.,!?'-_0129\t\n", "  ", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "İ", "ſ", "ﬁ", "e\u0301", "Å", "中文", "Ωμέγα", "😀", "don't", "We'll", "...", "p.q", "<|endoftext|>", "</w>", "WORD", "word"]
+    tokenizer = WordTokenizer(PATH, bound=200)  # caches that turn over often
+    for _ in range(60):
+        texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(100)]
+        got = [np.frombuffer(x, tokenizer.kind).tolist() for x in tokenizer(texts)]
+        assert got == [library_ids(t)[:-1] for t in texts]
