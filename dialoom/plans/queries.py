@@ -44,9 +44,9 @@ PROBLEM = """CASE doc_id % 9 WHEN 0 THEN concat(text, ' [asy] draw [/asy]') WHEN
  WHEN 2 THEN concat(text, ' [ASY]') WHEN 3 THEN concat('Please REFER to the', chr(10), 'Diagram. ', text) WHEN 4 THEN concat(text, ' shown', chr(10), 'in the graph')
  WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN concat('The base is shown. ', text) ELSE text END"""
 FOUR = {
-    "original_problem": "CASE doc_id % 11 WHEN 0 THEN text WHEN 1 THEN 'as' ELSE NULL END",
+    "original_problem": "CASE doc_id % 11 WHEN 1 THEN concat(text, ' as') WHEN 7 THEN NULL WHEN 8 THEN '' ELSE text END",
     "translated_question": "CASE doc_id % 11 WHEN 2 THEN '図に示すように' WHEN 3 THEN concat('下の', chr(10), '図') WHEN 4 THEN 'グラフで示された' WHEN 5 THEN '斜線の図の領域' WHEN 6 THEN '普通の問題' ELSE '' END",
-    "problem": "CASE doc_id % 11 WHEN 1 THEN 'it is shown' WHEN 7 THEN text ELSE NULL END",
+    "problem": "CASE doc_id % 11 WHEN 1 THEN 'it is shown' WHEN 7 THEN text WHEN 8 THEN text ELSE NULL END",
     "question": "CASE doc_id % 11 WHEN 8 THEN '   ' WHEN 9 THEN 'Graph SHOWN below' WHEN 10 THEN '[asy]' ELSE NULL END",
 }
 REPLY = """CASE doc_id % 6 WHEN 0 THEN concat('  [Thought Process] ', text, chr(10), '[Q]', chr(12288), 'q', chr(10), '[A] a ', text, '  ') WHEN 1 THEN text
