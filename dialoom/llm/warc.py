@@ -261,7 +261,8 @@ def write_archives(
 
     planned = plan_records(pages, revisit_bytes, id_col, url_col, html_col)
     manifest = scratch.write(planned.mapInArrow(run, "file string, records long"), "manifest")
-    _remove_strays(folder, manifest)
+    if not root:  # a folder that others name may hold others' archives
+        _remove_strays(folder, manifest)
     return folder, manifest
 
 
