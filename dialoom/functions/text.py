@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..fixed import TAG_ANSWER, TAG_QUESTION, TAG_THOUGHT
 
@@ -51,8 +51,17 @@ def fixed_precision(number: Column, digits: int) -> Column:
 
 
 def strict_reply(reply: Column, schema: StructType) -> Column:
-    """A structured reply as a struct; null if it is no JSON of that form."""
-    return F.from_json(reply, schema, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    """A structured reply as a struct; null if it is no JSON object, has text around it, or a field of another kind.
+
+    Missing fields are null; a number counts as its text where a text is asked for."""
+    marked = StructType([*schema.fields, StructField("_broken", StringType())])
+    parsed = F.from_json(reply, marked, {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # the parser stops at the object's end, so text after it shows only where the reply is put inside an object and a list
+    strict = {"allowSingleQuotes": "false"}
+    inside = F.from_json(F.concat(F.lit('{"reply":'), reply, F.lit(',"end":true}')), StructType([StructField("end", BooleanType())]), strict)
+    listed = F.from_json(F.concat(F.lit("["), reply, F.lit("]")), ArrayType(schema), strict)
+    good = parsed["_broken"].isNull() & inside["end"] & (F.size(listed) == 1)
+    return F.when(good, F.struct(*[parsed[f.name].alias(f.name) for f in schema.fields]))
 
 
 LONE = re.compile("[\ud800-\udfff]")

@@ -12,10 +12,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..fixed import EMOTION_GROUPS, EMOTIONS, FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, NO_FIELD, PROBLEM_COLUMNS, PROFILE_LABELS, REASONING_BEGIN, REASONING_END, REASONING_LABELS, SFT_PROBLEM_HEADER
 from ..functions import chat
-from ..functions.text import embedded_reply, first_filled, fixed_precision, source_id, strip, tagged_blocks, with_default
+from ..functions.text import embedded_reply, first_filled, fixed_precision, source_id, strict_reply, strip, tagged_blocks, with_default
 from ..operators import assign, filters, metrics
 from ..operators.positions import renumber
-from ..sources.readers import read_json_array, read_jsonl
+from ..schemas import SIMILAR_RESPONSE
+from ..sources.readers import read_json_array, read_jsonl, read_keyed, read_problems
 from ..sources.scratch import fresh_path
 from . import presets, workflows
 from .client import LengthClient, StubClient
@@ -130,6 +131,42 @@ def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json_array(spark, path, schema).select("ord", "item_id", F.md5("text").alias("digest"))
 
 
+@query("SELECT doc_id AS pos, md5(text) AS problem, '' AS solution, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS type, coalesce(lang, 'unknown') AS level FROM documents")
+def problems_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A problem corpus in JSON lines, read with positions and the defaults of null fields."""
+    from ..sources.writers import write_jsonl
+
+    path, n = fresh_path(spark, "problems"), F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(n.alias("pos"), F.col("text").alias("problem"), F.lit(None).cast("string").alias("solution"), F.when(n % 3 != 0, F.col("source")).alias("type"), F.col("lang").alias("level"))
+    write_jsonl(rows, path, "pos")
+    got = read_problems(spark, path)
+    return got.select("pos", F.md5("problem").alias("problem"), "solution", "type", "level")
+
+
+@query("""SELECT key, min(doc_id) AS place, arg_max(lang, doc_id) AS grade, arg_max(source, doc_id) AS weak_area FROM (SELECT *, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE concat('id', doc_id % 50) END, ''),
+ concat('src', doc_id % 50)) AS key FROM documents) GROUP BY key""")
+def keyed_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in JSON lines by id, else source id: the last one's values at the first one's place."""
+    from ..sources.writers import write_jsonl
+
+    path, n = fresh_path(spark, "keyed"), F.col("doc_id")
+    name = F.when(n % 2 == 0, "").otherwise(F.concat(F.lit("id"), n % 50))
+    rows = table(spark, sf_dir, "documents").select(n.alias("pos"), name.alias("id"), F.concat(F.lit("src"), n % 50).alias("source_id"), F.col("lang").alias("grade"), F.col("source").alias("weak_area"))
+    write_jsonl(rows, path, "pos")
+    kinds = StructType([StructField(c, StringType()) for c in ("id", "source_id", "grade", "weak_area")])
+    return read_keyed(spark, path, kinds).select("key", "place", "grade", "weak_area")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 2) THEN md5(text) END AS question, CASE WHEN doc_id % 5 = 0 THEN source END AS solution, doc_id % 5 IN (0, 2) AS accepted FROM documents""")
+def strict_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured replies: whole, no object, without a field, with words after the object, and none."""
+    n, question = F.col("doc_id"), F.col("text").alias("similar_question")
+    whole = F.to_json(F.struct(question, F.col("source").alias("similar_solution")))
+    reply = F.when(n % 5 == 0, whole).when(n % 5 == 1, F.concat(F.lit("no object: "), F.col("text"))).when(n % 5 == 2, F.to_json(F.struct(question))).when(n % 5 == 3, F.concat(whole, F.lit(" words")))
+    got = table(spark, sf_dir, "documents").select("doc_id", strict_reply(reply, SIMILAR_RESPONSE).alias("r"))
+    return got.select("doc_id", F.md5("r.similar_question").alias("question"), F.col("r.similar_solution").alias("solution"), F.col("r").isNotNull().alias("accepted"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE text <> '') AS filled FROM documents")
 def source_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(F.col("text") != "").alias("filled"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..fixed import (
     DIALOGUE_LIMIT,
@@ -58,11 +59,16 @@ def failed_path(path: str) -> str:
     return f"{path.rstrip('/')}_failed"
 
 
-def _asked(rows: DataFrame, client: Client, task: str, system: str, temperature: float, path: str, schema: dict | None = None) -> DataFrame:
-    """Calls the client with each row's ``prompt``, once: replies are written before they are used. Failed calls
-    go to a table of their own (task, pos, prompt, error)."""
+def _asked(
+    rows: DataFrame, client: Client, task: str, system: str, temperature: float, path: str, schema: dict | None = None, form: StructType | None = None
+) -> DataFrame:
+    """Calls the client with each row's ``prompt``, once: replies are written before they are used. Failed calls, and
+    replies that are not of the ``form`` asked for, go to a table of their own (task, pos, prompt, error)."""
     asked = call(rows, client, task, lambda r: [{"role": "system", "content": system}, {"role": "user", "content": r["prompt"]}], temperature, schema=schema)
     done = Scratch(rows.sparkSession, task).write(asked, "replies")
+    if form:
+        broken = F.when(strict_reply(F.col("reply"), form).isNull(), "the reply is not of the form asked for")
+        done = done.withColumn("error", F.coalesce("error", broken))
     failed = done.where("error is not null").select(F.lit(task).alias("task"), "pos", "prompt", "error")
     failed.write.mode("append").parquet(failed_path(path))
     return done.where("error is null")
@@ -167,9 +173,8 @@ def make_similar(spark: SparkSession, problems: DataFrame, client: Client, syste
     rows = rows.withColumn("prompt", _worded("similar", question=F.col("question"), solution=F.col("solution")))
 
     def run(some: DataFrame) -> DataFrame:
-        done = _asked(some, client, "similar", system, 0.5, path, SIMILAR_REPLY)
-        made = strict_reply(F.col("reply"), SIMILAR_RESPONSE)
-        done = done.withColumn("made", made).where(F.col("made").isNotNull())
+        done = _asked(some, client, "similar", system, 0.5, path, SIMILAR_REPLY, SIMILAR_RESPONSE)
+        done = done.withColumn("made", strict_reply(F.col("reply"), SIMILAR_RESPONSE))
         return done.select(
             "pos",
             F.col("id").alias("source_id"),

@@ -91,7 +91,9 @@ def test_embedded(spark):
 def test_strict(spark):
     parse = lambda t: one(spark, strict_reply(F.col("t"), JUDGE_RESPONSE), t=t)
     assert tuple(parse('{"is_correct": true, "judge_reason": "r"}')) == (True, "r")
-    assert parse("{'is_correct': true}") is None or parse("{'is_correct': true}").is_correct is None
+    assert tuple(parse(' {"is_correct": false}\n')) == (False, None)
+    for broken in ("{'is_correct': true}", "no json", '{"is_correct": true} tail', '{"is_correct": true', '{"is_correct": "yes"}', "[1]", "null", "", None, '{"is_correct": true}] x', '{"is_correct": true}, "x": 1', '{"is_correct": true}, {"is_correct": true}'):
+        assert parse(broken) is None, broken
 
 
 def test_fallbacks_and_templates(spark):

@@ -275,3 +275,15 @@ def test_figure_search_is_linear(spark):
     began = time.time()
     assert [r[0] for r in rows.orderBy("k").select(is_text_only(F.col("t"))).collect()] == [True, True, False, True]
     assert time.time() - began < 60
+
+
+def test_replies_of_another_form_are_failures(spark, tmp_path):
+    class Sometimes:
+        def complete(self, task, messages, temperature=0.0, schema=None):
+            k = int(messages[1]["content"].rsplit("s", 1)[1])
+            return ('{"similar_question": "q", "similar_solution": "s"}', "no json", '{"similar_question": "q"} tail', '{"similar_question": "as shown in the figure"}')[k % 4]
+
+    rows = spark.createDataFrame([(k, f"id{k}", "t", "l", "o", "tq", "x", f"s{k}") for k in range(8)], "pos long, id string, type string, level string, original_problem string, translated_question string, original_solution string, translated_solution string")
+    path = str(tmp_path / "s")
+    assert sorted(r.source_id for r in workflows.make_similar(spark, rows, Sometimes(), "sys", path).collect()) == ["id0", "id4"]
+    assert sorted(r.pos for r in spark.read.parquet(workflows.failed_path(path)).collect()) == [1, 2, 5, 6]
