@@ -64,6 +64,7 @@ def strict_reply(name: str, fields: StructType, **choices: list[str]) -> dict:
     return {"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": schema}}
 
 
+#: The names of the reply forms.
 TEACHER_REPLY = strict_reply("teacher_response", TEACHER_RESPONSE, student_emotion=EMOTIONS)
 SIMILAR_REPLY = strict_reply("similar_question_response", SIMILAR_RESPONSE)
 JUDGE_REPLY = strict_reply("judge_response", JUDGE_RESPONSE)
