@@ -18,6 +18,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^[\\s\\x{1c}-\\x{1f}]+|[\\s\\x{1c}-\\x{1f}]+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether ``strip`` would leave nothing; ends at the first other character."""
+    return ~text.rlike("(?U)[^\\s\\x{1c}-\\x{1f}]")
+
+
 def with_default(value: Column, default: str) -> Column:
     return F.coalesce(value, F.lit(default))
 

@@ -1,13 +1,14 @@
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.fixed import PROBLEM_COLUMNS
+from dialoom.fixed import FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, PROBLEM_COLUMNS
 from dialoom.functions import chat
-from dialoom.functions.text import embedded_reply, first_filled, fixed_precision, parse_embedded, strict_reply, strip, tagged_blocks
-from dialoom.operators.filters import is_text_only, is_text_only_record
+from dialoom.functions.text import embedded_reply, first_filled, fixed_precision, is_blank, parse_embedded, strict_reply, strip, tagged_blocks
+from dialoom.operators.filters import is_text_only, is_text_only_record, needed_literals
 from dialoom.schemas import DIALOGUE_TURN, JUDGE_RESPONSE
 
 
@@ -27,6 +28,27 @@ def test_text_only(spark, text, keep):
     assert one(spark, is_text_only(F.col("t")), t=text) is keep
 
 
+def test_figures_as_python_finds_them(spark):
+    """Texts of parts of the patterns, whole and cut, in odd cases, against Python's search."""
+    draw = random.Random(5)
+    parts = [w for p in FIGURE_PATTERNS_EN + FIGURE_PATTERNS_JA for w in p.split(".*")] + ["x", " ", "\n", "\u2028", "asy]", "[asy]"]
+    odd = {"s": "Sſ", "k": "\u212a", "i": "Iİı", "a": "A", "g": "G", "ß": "ẞ"}
+    texts = ["", "\x1c \u3000", "\x85\x0b", "​", "ﬆhown as shown", "refer: dİagram", "refer dıagram", "shown fİgure"]
+    for _ in range(3000):
+        words = [w if draw.random() < 0.8 else w[: draw.randrange(len(w))] for w in draw.choices(parts, k=draw.randint(1, 5))]
+        texts.append("".join(draw.choice(odd.get(c, c.upper())) if draw.random() < 0.3 else c for c in "".join(words)))
+    found = lambda t, patterns: "[asy]" in t or "[/asy]" in t or any(re.search(p, t, re.IGNORECASE | re.DOTALL) for p in patterns)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, problem string").orderBy("k")
+    got = rows.select(is_text_only(F.col("problem")), is_text_only_record(PROBLEM_COLUMNS, ["problem"]), is_blank(F.col("problem"))).collect()
+    joined = ["\n\n" + t + "\n" for t in texts]
+    want = [(not found(t, FIGURE_PATTERNS_EN), not j.strip() or not found(j, FIGURE_PATTERNS_JA + FIGURE_PATTERNS_EN), not t.strip()) for t, j in zip(texts, joined)]
+    assert [(t, *g) for t, g in zip(texts, got)] == [(t, *w) for t, w in zip(texts, want)]
+    assert len(set(want)) > 3
+    assert needed_literals(FIGURE_PATTERNS_EN) == ["diagram", "shown"]
+    for patterns in (FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA):
+        assert all(set(p.split(".*")) & set(needed_literals(patterns)) for p in patterns)
+
+
 @pytest.mark.parametrize(
     "row, keep",
     [
