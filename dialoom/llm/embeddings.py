@@ -10,7 +10,10 @@ Codes travel with a number for each class, not with vectors: one aggregation fin
 codes that several classes share, and names both where there are two. Each class also
 has 64 signs of further projections; two classes alone in a bucket are compared only
 if their signs do not differ in more places than vectors at the limit do but once in
-some hundred million times.
+some hundred million times. Two classes that are alone in several buckets are sent for
+the first of them only. A vector is sent with 32 bits of each code, which tell in what
+table a pair meets first; that they are equal where the codes are not happens to a pair
+once in some hundred million times.
 
 Only rows of one label and length are compared. Rows whose label, id or vector is
 null, whose vector is empty, zero or holds null or non-finite components link with
@@ -133,32 +136,41 @@ def near_vectors(
     largest = classes.groupBy("_space").count().agg(F.max("count")).first()[0] or 0
     width, k, tables = plan(largest, cosine, recall=recall)
 
-    def codes_of(space: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit code for each table, with the label and the table's number mixed in; and the signs."""
+    below = 63 - tables.bit_length()  # bits of a code under the table's number
+
+    def codes_of(space: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A 63-bit code for each table, with the label and the table's number mixed in: the low halves, after one
+        for the label, and the high halves; and the signs."""
         directions, shift, odd, more = _directions(seed, x.shape[1], tables, k, width)
         cells = np.floor((x @ directions + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(x), tables, k)
         mixed = (cells * odd).sum(2, dtype=np.uint64)
         salt = np.uint64(int.from_bytes(hashlib.blake2b(space.encode(), digest_size=8).digest(), "little"))
         mixed = (mixed ^ salt ^ (np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        return mixed ^ (mixed >> np.uint64(31)), np.packbits(x @ more > 0, axis=1).view("<i8").ravel()
+        mixed ^= mixed >> np.uint64(31)
+        # the table's number comes first: a lesser code is of an earlier table
+        codes = (np.arange(tables, dtype=np.uint64) << np.uint64(below)) | (mixed >> np.uint64(64 - below))
+        low = np.column_stack([np.full(len(x), salt >> np.uint64(32)), codes & np.uint64(0xFFFFFFFF)])
+        return low.astype("<u4"), (codes >> np.uint64(32)).astype("<u4"), np.packbits(x @ more > 0, axis=1).view("<i8").ravel()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 spaces, raw = np.array(part.column(1).to_pylist(), object), part.column(2).to_pylist()
-                codes: list = [None] * len(raw)
+                low = np.zeros((len(raw), tables + 1), "<u4")
+                high = np.zeros((len(raw), tables), "<u4")
                 signs = np.zeros(len(raw), np.int64)
                 for space in set(spaces.tolist()):
                     mine = np.flatnonzero(spaces == space)
-                    found, signs[mine] = codes_of(space, _unit(np.stack([np.frombuffer(raw[i], kind) for i in mine])))
-                    for i, c in zip(mine.tolist(), found):
-                        codes[i] = c.astype("<u8").tobytes()
+                    low[mine], high[mine], signs[mine] = codes_of(space, _unit(np.stack([np.frombuffer(raw[i], kind) for i in mine])))
+                halves = [pa.array([c.tobytes() for c in half], pa.binary()) for half in (low, high)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), part.column(4), pa.array(codes, pa.binary()), pa.array(signs)], names=["_rep", "_vec", "_n", "_class", "_codes", "_signs"]
+                    [part.column(0), part.column(2), part.column(3), part.column(4), *halves, pa.array(signs)], names=["_rep", "_vec", "_n", "_class", "_low", "_high", "_signs"]
                 )
 
-    coded = classes.select("_rep", "_space", "_vec", "_n", "_class").mapInArrow(encode, f"_rep {id_kind}, _vec binary, _n long, _class binary, _codes binary, _signs long")
+    coded = classes.select("_rep", "_space", "_vec", "_n", "_class").mapInArrow(
+        encode, f"_rep {id_kind}, _vec binary, _n long, _class binary, _low binary, _high binary, _signs long"
+    )
     # a short number for each class, which the written table keeps
     coded = scratch.write(coded.withColumn("_num", F.monotonically_increasing_id()), "coded")
 
@@ -166,28 +178,30 @@ def near_vectors(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = fixed(part.column(2), "<u8").view(np.int64)
+                codes = fixed(part.column(2), "<u4")[:, 1:].astype(np.int64) | fixed(part.column(3), "<u4").astype(np.int64) << 32
                 who = pa.array(np.tile(np.arange(part.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(codes.T.ravel()), part.column(0).take(who), part.column(1).take(who)], names=["_code", "_num", "_signs"])
 
-    bands = coded.select("_num", "_signs", "_codes").mapInArrow(spread, "_code long, _num long, _signs long")
+    bands = coded.select("_num", "_signs", "_low", "_high").mapInArrow(spread, "_code long, _num long, _signs long")
     shared = bands.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_num").alias("_a"), F.max("_num").alias("_b"), F.expr("bit_xor(_signs)").alias("_x"))
     shared = scratch.write(shared.where("_rows > 1"), "shared")
-    two = shared.where((F.col("_rows") == 2) & (F.bit_count("_x") <= sign_limit(cosine))).select("_code", "_rows", F.explode(F.array("_a", "_b")).alias("_num"))
+    two = shared.where((F.col("_rows") == 2) & (F.bit_count("_x") <= sign_limit(cosine))).groupBy("_a", "_b").agg(F.min("_code").alias("_code"))
+    two = two.select("_code", F.lit(2).cast("long").alias("_rows"), F.explode(F.array("_a", "_b")).alias("_num"))
     several = shared.where("_rows > 2").select("_code", "_rows")
     more = bands.join(small_side(several, several.count()), "_code").select("_code", "_rows", "_num")
     members = scratch.write(two.union(more), "members")
-    placed = block_pairs(members, "_rows", "_num", BLOCK).join(coded.select("_num", "_n", "_vec", "_codes"), "_num")
+    placed = block_pairs(members, "_rows", "_num", BLOCK).join(coded.select("_num", "_n", "_vec", "_low"), "_num")
     keys = ["_code", "_lo", "_hi"]
-    placed = placed.select(*keys, "_own", "_num", "_n", "_vec", "_codes").repartition(*keys).sortWithinPartitions(*keys)
+    placed = placed.select(*keys, "_own", "_num", "_n", "_vec", "_low").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in complete_runs(batches, 3, 1024):
             own, num, n = table["_own"].to_numpy(), table["_num"].to_numpy(), table["_n"].to_numpy()
             lo, hi = table["_lo"].to_numpy(), table["_hi"].to_numpy()
             raw = table["_vec"].to_pylist()
-            codes = fixed(table["_codes"], "<u8")
-            which = np.argmax(codes == table["_code"].to_numpy().view(np.uint64)[:, None], axis=1)
+            codes = fixed(table["_low"], "<u4")
+            label, codes = codes[:, 0], codes[:, 1:]
+            which = table["_code"].to_numpy() >> below
             length = np.array(list(map(len, raw)))
             x = np.zeros((len(raw), length.max()))
             for size in np.unique(length):
@@ -197,7 +211,7 @@ def near_vectors(
 
             def keep(a: np.ndarray, b: np.ndarray) -> None:
                 # a block pair compares across the blocks; the first table where codes meet counts
-                across = (lo[a] == hi[a]) | (own[a] != own[b])
+                across = ((lo[a] == hi[a]) | (own[a] != own[b])) & (label[a] == label[b])
                 a, b = a[across], b[across]
                 near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
                 a, b = a[near], b[near]
