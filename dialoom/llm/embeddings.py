@@ -178,14 +178,17 @@ def near_vectors(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = fixed(part.column(2), "<u4")[:, 1:].astype(np.int64) | fixed(part.column(3), "<u4").astype(np.int64) << 32
+                codes = fixed(part.column(1), "<u4")[:, 1:].astype(np.int64) | fixed(part.column(2), "<u4").astype(np.int64) << 32
                 who = pa.array(np.tile(np.arange(part.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(codes.T.ravel()), part.column(0).take(who), part.column(1).take(who)], names=["_code", "_num", "_signs"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.T.ravel()), part.column(0).take(who)], names=["_code", "_num"])
 
-    bands = coded.select("_num", "_signs", "_low", "_high").mapInArrow(spread, "_code long, _num long, _signs long")
-    shared = bands.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_num").alias("_a"), F.max("_num").alias("_b"), F.expr("bit_xor(_signs)").alias("_x"))
+    bands = coded.select("_num", "_low", "_high").mapInArrow(spread, "_code long, _num long")
+    shared = bands.groupBy("_code").agg(F.count("*").alias("_rows"), F.min("_num").alias("_a"), F.max("_num").alias("_b"))
     shared = scratch.write(shared.where("_rows > 1"), "shared")
-    two = shared.where((F.col("_rows") == 2) & (F.bit_count("_x") <= sign_limit(cosine))).groupBy("_a", "_b").agg(F.min("_code").alias("_code"))
+    two = shared.where("_rows = 2").groupBy("_a", "_b").agg(F.min("_code").alias("_code"))
+    for side in ("_a", "_b"):
+        two = two.join(coded.select(F.col("_num").alias(side), F.col("_signs").alias(f"_signs{side}")), side)
+    two = two.where(F.bit_count(F.col("_signs_a").bitwiseXOR(F.col("_signs_b"))) <= sign_limit(cosine))
     two = two.select("_code", F.lit(2).cast("long").alias("_rows"), F.explode(F.array("_a", "_b")).alias("_num"))
     several = shared.where("_rows > 2").select("_code", "_rows")
     more = bands.join(small_side(several, several.count()), "_code").select("_code", "_rows", "_num")
