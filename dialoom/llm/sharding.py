@@ -14,7 +14,7 @@ are separate records. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, prefix_offsets, small_side
@@ -23,12 +23,12 @@ from .common import Scratch, prefix_offsets, small_side
 OVERHEAD = 16
 
 
-def place(key: Column, bounds: list[int], low: int, high: int) -> Column:
-    """How many of the sorted ``bounds`` are not above ``key``, known to be ``low`` to ``high``: a tree of comparisons."""
+def place(key: str, bounds: list[int], low: int, high: int) -> str:
+    """SQL for how many of the sorted ``bounds`` are not above ``key``, known to be ``low`` to ``high``: a tree of comparisons."""
     if low == high:
-        return F.lit(low)
+        return str(low)
     middle = (low + high) // 2
-    return F.when(key < F.lit(bounds[middle]).cast("long"), place(key, bounds, low, middle)).otherwise(place(key, bounds, middle + 1, high))
+    return f"CASE WHEN {key} < {bounds[middle]}L THEN {place(key, bounds, low, middle)} ELSE {place(key, bounds, middle + 1, high)} END"
 
 
 def shard(
@@ -67,7 +67,7 @@ def shard(
     cuts = drawn.agg(F.percentile_approx("_key", quantiles, 10_000)).first()[0] or []
     # a key that fills whole ranges is the boundary on both sides of its own range
     bounds = sorted({c + d for c in cuts for d in (0, 1) if c + d < 2**63})
-    ranged = keyed.withColumn("_range", place(F.col("_key"), bounds, 0, len(bounds)))
+    ranged = keyed.withColumn("_range", F.expr(place("_key", bounds, 0, len(bounds))))
 
     # overfull ranges are subdivided by the salt, which is uniform
     full = F.greatest(F.sum("_size") * ranges / F.lit(float(max(total or 1, 1))), F.count("*") / F.lit(float(rows_per_range)))
