@@ -225,7 +225,11 @@ def fixed_precision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fixed_precision(n / 16, 1).alias("one"), fixed_precision(n / 8, 2).alias("two"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT doc_id, text, doc_id % 5 AS k, CASE doc_id % 5 WHEN 2 THEN '{broken ' || text WHEN 3 THEN text || ' {"is_completed": true, "x": NaN}' ELSE text END AS reply FROM documents),
+p AS (SELECT *, k IN (0, 1) AS whole, k = 3 AND NOT contains(text, '{') AS tail, regexp_extract(reply, '(?s)\{.*\}') AS part FROM r),
+v AS (SELECT *, NOT whole AND NOT coalesce(tail, false) AND coalesce(json_valid(part), false) AS valid FROM p)
+SELECT doc_id, CASE WHEN whole THEN coalesce(text, '') WHEN tail THEN '' WHEN valid THEN coalesce(json_extract_string(part, '$.teacher_utterance'), '') ELSE reply END AS teacher_utterance,
+ CASE WHEN whole THEN doc_id % 2 = 0 WHEN tail THEN true WHEN valid THEN coalesce(json_extract_string(part, '$.is_completed') = 'true', false) ELSE false END AS is_completed FROM v""")
 def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies with an object among other text, broken objects and none; Python's parser decides on whole texts."""
     good = F.to_json(F.struct(F.col("text").alias("teacher_utterance"), (F.col("doc_id") % 2 == 0).alias("is_completed")))

@@ -62,6 +62,9 @@ def test_embedded_json_reads_whole_texts(spark, tmp_path):
     assert {k: v for k, v in got.items() if k < 30} == {k: parse_embedded(reply(k, text)) for k, text, *_ in rows}
     assert got[0] == ("short", True) and got[14] == ('said " é', True) and got[19][0] == texts[1]
     assert [got[k] for k in (30, 31, 34)] == [("", True), ("", False), (None, False)]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in connection.execute(SQL["embedded_json"]).fetchall()} == got
 
 
 @pytest.mark.parametrize("name, partners", [("pair_original_similar", "documents"), ("profile_assign_matched", "documents"), ("evaluation_stub", "benchmark")])
