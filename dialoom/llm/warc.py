@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import remove
-from .common import Scratch, as_bytes, slices, small_side
+from .common import BROADCAST_ROWS, Scratch, as_bytes, slices, small_side
 
 #: Fixed values of the Zstandard formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -205,20 +205,29 @@ class _Archive:
         return self.out.tell()
 
 
-def plan_records(pages: DataFrame, revisit_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def plan_records(pages: DataFrame, revisit_bytes: int, id_col: str, url_col: str, html_col: str, few: int = BROADCAST_ROWS) -> DataFrame:
     """(_id, _url, _html, _first): the pages with the smallest id among equal payloads, where there are several.
 
     Payloads meet by digest and length, never as texts; counts and least ids are
     combined before the shuffle. The groups of several join by broadcast while they
-    are few, else by a shuffle whose large partitions Spark can split.
+    are ``few``. Beyond that, those with more than their rows' ``few``-th part, which
+    are fewer than ``few``, still do, so that no payload with many copies is a key of
+    the shuffle that joins the others.
     """
     raw = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), raw.alias("_html"))
     rows = rows.withColumn("_sha", F.sha1("_html")).withColumn("_n", F.length("_html"))
     groups = rows.groupBy("_sha", "_n").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     groups = Scratch(pages.sparkSession, "warc").write(groups.where(F.col("_rows") > 1), "groups")
-    groups = groups.where(F.col("_first").isNotNull() & (F.col("_n") >= revisit_bytes)).drop("_rows")
-    return rows.join(small_side(groups, groups.count()), ["_sha", "_n"], "left").select("_id", "_url", "_html", "_first")
+    number, copies = groups.agg(F.count("*"), F.sum("_rows")).first()
+    keys, out = ["_sha", "_n"], ["_id", "_url", "_html", "_first"]
+    first = F.when(F.col("_n") >= revisit_bytes, F.col("_first")).alias("_first")
+    if number <= few:
+        return rows.join(F.broadcast(groups.select(*keys, first)), keys, "left").select(*out)
+    large = F.broadcast(groups.where(F.col("_rows") * few > copies).select(*keys, first))
+    small = groups.where(F.col("_rows") * few <= copies).select(*keys, first)
+    others = rows.join(large, keys, "left_anti").join(small, keys, "left")
+    return rows.join(large, keys).select(*out).union(others.select(*out))
 
 
 def write_archives(

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from dialoom.llm.warc import ArchiveError, leading_frame, make_record, parse_record, read_archives, read_frames, write_archives
+from dialoom.llm.warc import ArchiveError, leading_frame, make_record, parse_record, plan_records, read_archives, read_frames, write_archives
 
 KINDS = "page_id long, url string, html string, _id string, file string"
 PAGES = [
@@ -62,6 +62,18 @@ def test_table_and_payloads(spark, sf_dir):
     assert back == {r.page_id: r.html for r in pages.collect()}
 
 
+@pytest.mark.parametrize("least", [0, 6])
+def test_many_groups(spark, least):
+    """Beyond ``few`` groups those with many copies are kept out of the shuffle; the plan's rows are the same."""
+    copies = [(100 + k, "u", ("", None, "<p>same</p>", f"pair {k // 2}", f"one {k}")[k % 5]) for k in range(300)]
+    pages = spark.createDataFrame([p[:3] for p in PAGES] + copies + copies[:20], "page_id long, url string, html string").repartition(4)
+    plan = lambda few: Counter(map(tuple, plan_records(pages, least, "page_id", "url", "html", few).collect()))
+    want = plan(10**6)
+    assert sum(want.values()) == pages.count()
+    for few in (0, 1, 3, 10):
+        assert plan(few) == want
+
+
 def test_empty(spark):
     assert result(spark, spark.createDataFrame([], KINDS)) == Counter()
 
