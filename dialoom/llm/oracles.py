@@ -46,4 +46,18 @@ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.lab
 n AS (SELECT a, count(*) AS n FROM e GROUP BY a), nodes AS (SELECT vec_id AS id FROM v), {_components("nodes", "e")}
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, v.vec_id = comp.c AS kept FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
 
-ORACLES = {"op4_warc": WARC, "op5_minhash": MINHASH, "op7_decontamination": DECONTAMINATION, "op8_embeddings": EMBEDDINGS}
+CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+BAND = f"""WITH tab AS (SELECT {CRC_TABLE} AS tab),
+c AS (SELECT *, CAST(floor(100 * amount + 0.5) AS BIGINT) AS a, concat(sale_id, ',', line_no, ',', item_id) AS t FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND amount IS NOT NULL AND quantity <> 0),
+d AS (SELECT *, (2 * a + quantity) * sign(quantity) AS x, 2 * abs(quantity)::BIGINT AS y FROM c),
+l AS (SELECT sale_id, line_no, item_id, (x - (x % y + y) % y) // y AS u,
+ xor(list_reduce(list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i, 1))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, tab),
+i AS (SELECT row_number() OVER () AS r, item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+j AS (SELECT r, i.item_id AS item, abs(u - p) AS gap, u, sale_id, line_no, l.item_id AS line_item_id, crc FROM i JOIN l ON l.u BETWEEN least(p - 50, 1000 * p // 1005) AND greatest(p + 50, 1005 * p // 1000)
+ WHERE l.item_id <> i.item_id AND (abs(u - p) <= 50 OR 1000 * abs(u - p) <= 5 * least(u, p))),
+s AS (SELECT r, count(*) AS n, sum(gap) AS g, sum(crc) AS k FROM j GROUP BY r),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS rank FROM j) WHERE rank <= 10)
+SELECT i.item_id, CAST(coalesce(rank, 0) AS INT) AS rank, CAST(gap AS BIGINT) AS gap, CAST(u AS BIGINT) AS u, sale_id, CAST(line_no AS BIGINT) AS line_no, line_item_id,
+ CAST(coalesce(n, 0) AS BIGINT) AS n_pairs, CAST(coalesce(g, 0) AS BIGINT) AS gap_sum, CAST(coalesce(k, 0) AS BIGINT) AS lines_crc FROM i LEFT JOIN f ON f.r = i.r LEFT JOIN s ON s.r = i.r"""
+
+ORACLES = {"op4_warc": WARC, "op5_minhash": MINHASH, "op7_decontamination": DECONTAMINATION, "op8_embeddings": EMBEDDINGS, "op13_band_join": BAND}

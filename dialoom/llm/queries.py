@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, sharding, token_count, warc
+from . import band_join, decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, sharding, token_count, warc
 from .common import id_crc
 from .oracles import ORACLES
 
@@ -69,6 +69,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join.band_join(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"), first=10, cents_apart=50, per_mille=5)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_count": op2_token_count,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
+    "op13_band_join": op13_band_join,
 }
 
 

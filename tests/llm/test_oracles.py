@@ -13,7 +13,7 @@ SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_and_sql_agree(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "sale_lines", "items"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = connection.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
