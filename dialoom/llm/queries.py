@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import band_join, decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, sharding, token_count, warc
+from . import band_join, decontaminate, embeddings, html_extract, langid, lm_score, minhash, packing, quality_rules, sharding, token_count, warc, whitening
 from .common import id_crc
 from .oracles import ORACLES
 
@@ -69,6 +69,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=8)
+    rows = whitening.whiten(vectors, model, whitening.identity_errors(vectors, model))
+    listed = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"))
+    return listed.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error"
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels"), rows=20_000))
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join.band_join(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"), first=10, cents_apart=50, per_mille=5)
 
@@ -84,6 +99,8 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
+    "op11_whitening": op11_whitening,
+    "op12_quality_rules": op12_quality_rules,
     "op13_band_join": op13_band_join,
 }
 
