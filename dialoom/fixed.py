@@ -22,6 +22,10 @@ PROBLEM_COLUMNS = ["original_problem", "translated_question", "problem", "questi
 #: Tags of a translator's reply.
 TAG_THOUGHT, TAG_QUESTION, TAG_ANSWER = "[Thought Process]", "[Q]", "[A]"
 
+#: The forms in which a problem is shown to a translator and to a maker of similar problems.
+TRANSLATE_FORM = "[Original Q]\n{problem}\n\n[Original A]\n{solution}"
+SIMILAR_FORM = "[Original Question]\n{question}\n\n[Original Solution]\n{solution}"
+
 #: Labels of a learner's profile, with the field each one shows.
 PROFILE_LABELS = [("学年", "grade"), ("学習済みの範囲", "learned_scope"), ("ミスしやすい点", "error_tendency"), ("苦手な範囲", "weak_area")]
 EVALUATION_PROFILE_LABELS = [("学年", "grade"), ("学習済みの範囲", "learned_scope"), ("苦手な範囲", "weak_area")]

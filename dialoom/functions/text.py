@@ -96,8 +96,38 @@ def parse_embedded(reply: str) -> tuple[str, bool]:
 
 
 @F.pandas_udf(StructType([StructField("teacher_utterance", StringType()), StructField("is_completed", BooleanType())]))
-def embedded_reply(replies: pd.Series) -> pd.DataFrame:
-    """``parse_embedded`` for a column, in Arrow batches. Python's parser takes duplicate keys and NaN, which
-    Spark's do not; so this one function is not native. Null gives null words and false."""
-    rows = [parse_embedded(r) if r is not None else (None, False) for r in replies]
+def _by_python(replies: pd.Series) -> pd.DataFrame:
+    """``parse_embedded`` for a column, in Arrow batches. Null gives null words and false."""
+    rows = [parse_embedded(r) if isinstance(r, str) else (None, False) for r in replies]
     return pd.DataFrame({"teacher_utterance": [as_text(w) for w, _ in rows], "is_completed": [bool(d) for _, d in rows]})
+
+
+def embedded_steps(reply: Column) -> tuple[Column, Column]:
+    """(native, hard): what ``parse_embedded`` says of a reply, by the JVM's parser, and whether only Python can say it.
+
+    Hard are replies whose part between braces the JVM refuses, since Python takes NaN and keys that occur twice; parts
+    with a lone surrogate's escape; and values of a kind other than text and truth. The part is read as the only entry
+    of a list, so nothing can follow the object; one that holds a bracket is also read as an object's field, since
+    the JVM stops where a list ends. A reply without braces in order is never hard."""
+    begin, after = F.instr(reply, F.lit("{")), F.length(reply) + 1 - F.instr(F.reverse(reply), F.lit("}"))
+    has = (begin > 0) & F.contains(reply, F.lit("}")) & (after >= begin)
+    part = F.substring(reply, begin, after - begin + 1)
+    listed = F.try_parse_json(F.concat(F.lit("["), part, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    inside = ~F.contains(part, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"reply":'), part, F.lit("}"))).isNotNull()
+    said, done = (F.try_variant_get(listed, f"$[0].{name}", "variant") for name in ("teacher_utterance", "is_completed"))
+    kind = lambda v, want: v.isNull() | (F.schema_of_variant(v) == want)
+    plain = listed.isNotNull() & alone & inside & kind(said, "STRING") & kind(done, "BOOLEAN") & ~F.contains(F.lower(part), F.lit("\\ud"))
+    words = F.when(has, F.coalesce(F.try_variant_get(listed, "$[0].teacher_utterance", "string"), F.lit(""))).otherwise(reply)
+    flag = F.when(has, F.coalesce(F.try_variant_get(listed, "$[0].is_completed", "boolean"), F.lit(False))).otherwise(False)
+    native = F.struct(words.alias("teacher_utterance"), flag.alias("is_completed"))
+    # a brace that opens after the last one that closes: what is between is empty, no JSON, and the reply was said
+    return native, F.coalesce(has & ~plain, F.lit(False))
+
+
+def embedded_reply(reply: Column | str) -> Column:
+    """``parse_embedded`` for a column as a struct (teacher_utterance, is_completed). The JVM parses; Python sees the text of
+    the replies that only it can parse. Null gives null words and false."""
+    reply = F.col(reply) if isinstance(reply, str) else reply
+    native, hard = embedded_steps(reply)
+    return F.when(hard, _by_python(F.when(hard, reply))).otherwise(native)

@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..fixed import EMOTIONS, TAG_ANSWER, TAG_QUESTION, TAG_THOUGHT
@@ -29,7 +30,17 @@ class Client(Protocol):
 
 
 def request_key(task: str, messages: Messages) -> str:
-    return hashlib.sha256(json.dumps([task, messages], ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    """What tells requests apart: the digest of the task and of each message's role and content, each after its length."""
+    parts = [task, *(p or "" for m in messages for p in (m["role"], m["content"]))]
+    return hashlib.sha256("".join(f"{len(p)}:{p}" for p in parts).encode()).hexdigest()
+
+
+def request_column(task: str, messages: Column) -> Column:
+    """``request_key`` of an array of messages, as a column."""
+    piece = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    part = lambda m, name: piece(F.coalesce(m[name], F.lit("")))
+    said = F.transform(messages, lambda m: F.concat(part(m, "role"), part(m, "content")))
+    return F.sha2(F.concat(piece(F.lit(task)), F.array_join(said, "")), 256)
 
 
 def made_reply(task: str, n: int, finish_in: int) -> str:
@@ -95,6 +106,32 @@ class ReplayClient:
         return reply
 
 
+@dataclass(frozen=True)
+class ReplayTable:
+    """Recorded replies as a table (request, reply), found by a join on the request's key, which the JVM makes: no reply
+    is held by the driver or sent with a task, so there may be as many as a table can hold.
+
+    A request that was not recorded, or only without a reply, is a failed call. Of several replies to one request the
+    smallest counts."""
+
+    replies: DataFrame
+
+    def answer(self, rows: DataFrame, task: str, messages: Column) -> DataFrame:
+        known = self.replies.groupBy(F.col("request").alias("_request")).agg(F.min("reply").alias("reply"))
+        found = rows.withColumn("_request", request_column(task, messages)).join(known, "_request", "left").drop("_request")
+        return found.withColumn("error", F.when(F.col("reply").isNull(), "no recorded reply"))
+
+
+def ask(
+    rows: DataFrame, client: Client | ReplayTable, task: str, messages: Column, temperature: float, schema: dict | None = None, in_flight: int = 8
+) -> DataFrame:
+    """Adds ``reply`` and ``error`` for one request a row, whose ``messages`` are a column: by calls, or from recorded replies."""
+    if isinstance(client, ReplayTable):
+        return client.answer(rows, task, messages)
+    asked = call(rows.withColumn("_messages", messages), client, task, lambda r: r["_messages"], temperature, schema=schema, in_flight=in_flight)
+    return asked.drop("_messages")
+
+
 def call(
     df: DataFrame,
     client: Client,

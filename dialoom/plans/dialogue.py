@@ -1,6 +1,7 @@
 """Simulated dialogues: learner and tutor take turns until the tutor ends the session or the turns run out.
 
-A session is one row; all its calls run in one Arrow-batched map. The state rules:
+A session is one row; all its calls run in one Arrow-batched map, and a task has several
+sessions at work at a time. The state rules:
 a failed learner's call leaves an even log; a failed tutor's call leaves the
 learner's words unanswered; a session counts as completed only if the last tutor
 reply that could be read said so.
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..fixed import FAILED_ANSWER, FAILED_JUDGE, MAX_TURNS
 from ..functions.text import as_text, parse_embedded
@@ -102,45 +106,60 @@ def answer_similar(client: Client, system: str, prompt: str) -> str:
         return FAILED_ANSWER
 
 
-def judge_answer(client: Client, system: str, prompt: str) -> tuple[bool, str]:
+def judged(reply: str | None, failure: str | None) -> tuple[bool, str]:
+    """(correct, reason) of a judge's reply; a failed call, or a reply of another form, is not correct."""
     try:
-        verdict = json.loads(client.complete("judge", [_message("system", system), _message("user", prompt)], 0.0, JUDGE_REPLY))
+        if reply is None:
+            raise CallFailed(failure)
+        verdict = json.loads(reply)
         return verdict["is_correct"], as_text(verdict["judge_reason"])
     except (CallFailed, ValueError, KeyError, TypeError) as error:
         return False, f"{FAILED_JUDGE}{error}"
 
 
-def map_rows(df: DataFrame, added: StructType, run) -> DataFrame:
-    """Adds the columns that ``run(row)`` returns for each row, in Arrow batches."""
+def judge_answer(client: Client, system: str, prompt: str) -> tuple[bool, str]:
+    try:
+        return judged(client.complete("judge", [_message("system", system), _message("user", prompt)], 0.0, JUDGE_REPLY), None)
+    except CallFailed as error:
+        return judged(None, str(error))
+
+
+@F.pandas_udf(StructType([StructField("phase2_is_correct", BooleanType()), StructField("judge_reason", StringType())]))
+def verdicts(replies: pd.Series, failures: pd.Series) -> pd.DataFrame:
+    """``judged`` for a column, in Arrow batches: what is wrong with a reply is said in Python's words."""
+    none = lambda x: x if isinstance(x, str) else None
+    rows = [judged(none(r), none(e)) for r, e in zip(replies, failures)]
+    return pd.DataFrame({"phase2_is_correct": [bool(r[0]) for r in rows], "judge_reason": [r[1] for r in rows]})
+
+
+def map_rows(df: DataFrame, added: StructType, run, in_flight: int = 8) -> DataFrame:
+    """Adds the columns that ``run(row)`` returns for each row, in Arrow batches; a task has ``in_flight`` rows at work at a time."""
     schema = StructType([*df.schema.fields, *added.fields])
     kinds = to_arrow_schema(added)
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = pa.Table.from_pylist([run(row) for row in batch.to_pylist()], schema=kinds).combine_chunks()
-            columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in new.columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *kinds.names])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                new = pa.Table.from_pylist(list(pool.map(run, batch.to_pylist())), schema=kinds).combine_chunks()
+                columns = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in new.columns]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *kinds.names])
 
     return df.mapInArrow(batches_of, schema)
 
 
-def simulate_corpus(df: DataFrame, client: Client, teacher_prompt: str, opening: str, teacher_opening: str, max_turns: int = MAX_TURNS) -> DataFrame:
+def simulate_corpus(df: DataFrame, client: Client, teacher_prompt: str, opening: str, teacher_opening: str, max_turns: int = MAX_TURNS, in_flight: int = 8) -> DataFrame:
     """Adds ``conversation`` and ``is_completed`` to rows with ``problem`` and ``student_prompt``."""
-    from pyspark.sql.types import ArrayType, BooleanType
-
     def run(row: dict) -> dict:
         log, done = corpus_dialogue(client, row["problem"], row["student_prompt"], teacher_prompt, opening, teacher_opening, max_turns)
         return {"conversation": log, "is_completed": done}
 
-    return map_rows(df, StructType([StructField("conversation", ArrayType(DIALOGUE_TURN)), StructField("is_completed", BooleanType())]), run)
+    return map_rows(df, StructType([StructField("conversation", ArrayType(DIALOGUE_TURN)), StructField("is_completed", BooleanType())]), run, in_flight)
 
 
-def simulate_evaluation(df: DataFrame, client: Client, max_turns: int = MAX_TURNS) -> DataFrame:
+def simulate_evaluation(df: DataFrame, client: Client, max_turns: int = MAX_TURNS, in_flight: int = 8) -> DataFrame:
     """Phase 1: adds ``dialogue_log`` and ``phase1_is_completed`` to rows with the messages ``student`` and ``teacher``."""
-    from pyspark.sql.types import BooleanType
-
     def run(row: dict) -> dict:
         log, done = evaluation_dialogue(client, row["student"], row["teacher"], max_turns)
         return {"dialogue_log": log, "phase1_is_completed": done}
 
-    return map_rows(df, StructType([StructField("dialogue_log", MESSAGES), StructField("phase1_is_completed", BooleanType())]), run)
+    return map_rows(df, StructType([StructField("dialogue_log", MESSAGES), StructField("phase1_is_completed", BooleanType())]), run, in_flight)

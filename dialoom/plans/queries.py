@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..fixed import EMOTION_GROUPS, EMOTIONS, FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, NO_FIELD, PROBLEM_COLUMNS, PROFILE_LABELS, REASONING_BEGIN, REASONING_END, REASONING_LABELS, SFT_PROBLEM_HEADER
+from ..fixed import EMOTION_GROUPS, EMOTIONS, EVALUATION_PROFILE_LABELS, FAILED_ANSWER, FAILED_JUDGE, FIGURE_PATTERNS_EN, FIGURE_PATTERNS_JA, MODE_LEARNING, MODE_TRANSFER, NO_FIELD, PROBLEM_COLUMNS, PROFILE_LABELS, REASONING_BEGIN, REASONING_END, REASONING_LABELS, SFT_PROBLEM_HEADER
 from ..functions import chat
 from ..functions.text import embedded_reply, first_filled, fixed_precision, source_id, strict_reply, strip, tagged_blocks, with_default
 from ..operators import assign, filters, metrics
 from ..operators.positions import renumber
 from ..schemas import SIMILAR_RESPONSE
 from ..sources.readers import read_json_array, read_jsonl, read_keyed, read_problems
-from ..sources.scratch import fresh_path
+from ..sources.scratch import Scratch, fresh_path
 from . import presets, workflows
-from .client import LengthClient, StubClient
+from .client import LengthClient, ReplayTable, StubClient, made_reply
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 PROBLEM = """CASE doc_id % 9 WHEN 0 THEN concat(text, ' [asy] draw [/asy]') WHEN 1 THEN concat('As SHOWN in the', chr(10), 'Figure: ', text)
  WHEN 2 THEN concat(text, ' [ASY]') WHEN 3 THEN concat('Please REFER to the', chr(10), 'Diagram. ', text) WHEN 4 THEN concat(text, ' shown', chr(10), 'in the graph')
- WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN concat('The base is shown. ', text) ELSE text END"""
+ WHEN 7 THEN concat('The base is shown. ', text) ELSE text END"""
+#: Rows without a text, beside those of the table: ids from here on.
+ADDED = 1_000_000_000
+SQL_PROBLEMS = f"(SELECT doc_id, {PROBLEM} AS p FROM documents UNION ALL SELECT doc_id + {ADDED}, CASE doc_id % 9 WHEN 5 THEN '' END FROM documents WHERE doc_id % 9 IN (5, 6))"
 FOUR = {
     "original_problem": "CASE doc_id % 11 WHEN 1 THEN concat(text, ' as') WHEN 7 THEN NULL WHEN 8 THEN '' ELSE text END",
     "translated_question": "CASE doc_id % 11 WHEN 2 THEN '図に示すように' WHEN 3 THEN concat('下の', chr(10), '図') WHEN 4 THEN 'グラフで示された' WHEN 5 THEN '斜線の図の領域' WHEN 6 THEN '普通の問題' ELSE '' END",
@@ -70,7 +73,11 @@ def figure_sql(text: str, patterns: list[str]) -> str:
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "doc_id", F.expr(PROBLEM).alias("problem"))
+    """Every document's whole text as a problem, and rows whose text is empty or null."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    added = docs.where((n % 9).isin(5, 6)).select((n + ADDED).alias("doc_id"), F.when(n % 9 == 5, "").alias("problem"))
+    rows = docs.select("doc_id", F.expr(PROBLEM).alias("problem")).union(added)
+    return rows.select(F.col("doc_id").alias("pos"), "doc_id", "problem")
 
 
 def _turn_columns() -> dict:
@@ -268,7 +275,7 @@ def evaluation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- filters ----------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, CAST(length(p) AS BIGINT) AS n FROM (SELECT doc_id, {PROBLEM} AS p FROM documents) WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}")
+@query(f"SELECT doc_id, CAST(length(p) AS BIGINT) AS n FROM {SQL_PROBLEMS} WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}")
 def filter_text_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems(spark, sf_dir).where(filters.is_text_only(F.col("problem"))).select("doc_id", F.length("problem").cast("long").alias("n"))
 
@@ -303,7 +310,7 @@ def known_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first_sql(start: int, limit: int, prefix: str) -> str:
     return f"""SELECT concat('{prefix}', doc_id) AS id, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r
-FROM (SELECT doc_id, {PROBLEM} AS p FROM documents) WHERE doc_id >= {start} AND NOT {figure_sql('p', FIGURE_PATTERNS_EN)}) WHERE r <= {limit}"""
+FROM {SQL_PROBLEMS} WHERE doc_id >= {start} AND NOT {figure_sql('p', FIGURE_PATTERNS_EN)}) WHERE r <= {limit}"""
 
 
 def _first(spark: SparkSession, sf_dir: str, start: int, limit: int, prefix: str) -> DataFrame:
@@ -321,21 +328,28 @@ def offset_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(spark, sf_dir, 200, 40, "math_test_")
 
 
-QUESTION = "CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END"
+#: Every item's whole text, and beside it rows without one: half as many, each place behind its item's.
+SQL_ITEMS = "(SELECT 2 * item_id AS item_id, text AS q FROM benchmark UNION ALL SELECT 2 * item_id + 1, CASE item_id % 4 WHEN 0 THEN '' END FROM benchmark WHERE item_id % 4 IN (0, 1))"
 
 
-@query(f"SELECT item_id, md5(q) AS digest FROM (SELECT item_id, {QUESTION} AS q FROM benchmark WHERE item_id < 30) WHERE coalesce(q, '') <> ''")
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    added = rows.where((n % 4).isin(0, 1)).select((2 * n + 1).alias("item_id"), F.when(n % 4 == 0, "").alias("q"))
+    return rows.select((2 * n).alias("item_id"), F.col("text").alias("q")).union(added)
+
+
+@query(f"SELECT item_id, md5(q) AS digest FROM {SQL_ITEMS} WHERE item_id < 30 AND coalesce(q, '') <> ''")
 def slice_then_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "item_id", F.expr(QUESTION).alias("q"))
+    rows = items(spark, sf_dir).withColumn("pos", F.col("item_id"))
     return assign.slice_rows(rows, 30).where(filters.has_text(F.col("q"))).select("item_id", F.md5("q").alias("digest"))
 
 
 SQL_CONDITIONS = "[" + ", ".join(f"'{c}'" for c in presets.CONDITIONS) + "]"
 
 
-@query(f"""SELECT item_id, concat('P0', item_id % 10) AS profile, {SQL_CONDITIONS}[item_id % 3 + 1] AS condition FROM (SELECT item_id, {QUESTION} AS q FROM benchmark) WHERE coalesce(q, '') <> ''""")
+@query(f"""SELECT item_id, concat('P0', item_id % 10) AS profile, {SQL_CONDITIONS}[item_id % 3 + 1] AS condition FROM {SQL_ITEMS} WHERE coalesce(q, '') <> ''""")
 def profile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), "item_id", F.expr(QUESTION).alias("q"))
+    rows = items(spark, sf_dir).withColumn("pos", F.col("item_id"))
     few = spark.createDataFrame([(k, c) for k, c in enumerate(presets.CONDITIONS)], "ord long, text string")
     rows = assign.round_robin(rows, presets.profiles(spark), prefix="profile_")
     rows = assign.round_robin(rows, few, prefix="condition_").where(filters.has_text(F.col("q")))
@@ -363,7 +377,7 @@ def profile_assign_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.round_robin_matched(_pairs(spark, sf_dir), presets.profiles(spark)).select("key", F.col("preset_id").alias("profile"))
 
 
-@query(f"""WITH keep AS (SELECT doc_id, p FROM (SELECT doc_id, {PROBLEM} AS p FROM documents) WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}),
+@query(f"""WITH keep AS (SELECT doc_id, p FROM {SQL_PROBLEMS} WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}),
 train AS (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY doc_id) AS r FROM keep) WHERE r <= 200), test AS (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY doc_id) AS r FROM keep WHERE doc_id >= 200) WHERE r <= 40)
 SELECT md5(p) AS digest FROM (SELECT p FROM train INTERSECT SELECT p FROM test)""")
 def pool_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,8 +516,8 @@ def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark")
-    return rows.select(F.col("item_id").alias("pos"), source_id("math_test_", F.col("item_id")).alias("id"), F.expr(QUESTION).alias("translated_question"))
+    rows = items(spark, sf_dir)
+    return rows.select(F.col("item_id").alias("pos"), source_id("math_test_", F.col("item_id")).alias("id"), F.col("q").alias("translated_question"))
 
 
 def _said(name: str, *fields: str) -> int:
@@ -513,7 +527,7 @@ def _said(name: str, *fields: str) -> int:
 
 SQL_TRANSLATED = f"""SELECT pos, concat('math_train_', pos) AS id, concat('step ', n % 7) AS thought_process, concat('question ', n % 1000) AS translated_question, concat('answer ', n % 100) AS translated_solution
 FROM (SELECT pos, n, row_number() OVER (ORDER BY pos) AS r FROM (SELECT doc_id AS pos, {len(presets.TRANSLATOR_PROMPT) + _said("translate", "problem", "solution") + 1} + length(p) AS n
- FROM (SELECT doc_id, coalesce({PROBLEM}, '') AS p FROM documents) WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}) WHERE n % 7 <> 0) WHERE r <= 200"""
+ FROM (SELECT doc_id, coalesce(p, '') AS p FROM {SQL_PROBLEMS}) WHERE NOT {figure_sql('p', FIGURE_PATTERNS_EN)}) WHERE n % 7 <> 0) WHERE r <= 200"""
 
 
 @query(SQL_TRANSLATED)
@@ -533,14 +547,14 @@ def _similar_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT concat('math_test_', item_id) AS source_id, q AS original_question, concat('question ', n % 1000) AS similar_question, concat('solution ', n % 100) AS similar_solution
 FROM (SELECT item_id, q, {len(SIMILAR_SYSTEM) + _said("similar", "question", "solution") + len("translated_solution")} + length(q) AS n
- FROM (SELECT item_id, coalesce(nullif({QUESTION}, ''), 'original_problem') AS q FROM benchmark)) WHERE n % 9 <> 0""")
+ FROM (SELECT item_id, coalesce(nullif(q, ''), 'original_problem') AS q FROM {SQL_ITEMS})) WHERE n % 9 <> 0""")
 def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-alike problems with strict replies; calls fail where the number of characters is divisible by nine."""
     got = workflows.make_similar(spark, _similar_inputs(spark, sf_dir), LengthClient(fail_in=9), SIMILAR_SYSTEM, fresh_path(spark, "similar"), wave=25)
     return got.select("source_id", "original_question", "similar_question", "similar_solution")
 
 
-@query(f"""SELECT 'similar' AS task, item_id AS pos FROM (SELECT item_id, {len(SIMILAR_SYSTEM) + _said("similar", "question", "solution") + len("translated_solution")} + length(coalesce(nullif({QUESTION}, ''), 'original_problem')) AS n FROM benchmark) WHERE n % 9 = 0""")
+@query(f"""SELECT 'similar' AS task, item_id AS pos FROM (SELECT item_id, {len(SIMILAR_SYSTEM) + _said("similar", "question", "solution") + len("translated_solution")} + length(coalesce(nullif(q, ''), 'original_problem')) AS n FROM {SQL_ITEMS}) WHERE n % 9 = 0""")
 def failed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead-letter table of the same calls."""
     path = fresh_path(spark, "similar")
@@ -557,7 +571,7 @@ SQL_PROFILES = "profiles(ord, id, grade, learned_scope, weak_area) AS (VALUES "
 SQL_BLOCK = "concat(" + _profile_sql([(label, f"coalesce({_FIELDS[name]}, '{NO_FIELD}')" if name in _FIELDS else f"'{NO_FIELD}'") for label, name in PROFILE_LABELS]) + ")"
 SQL_DIALOGUES = f"""WITH RECURSIVE {SQL_PROFILES},
 start AS (SELECT item_id AS pos, length(concat('You are a learner.', chr(10), {SQL_BLOCK}, chr(10), 'Problem: ', q, chr(10), 'You are ', {SQL_CONDITIONS}[item_id % 3 + 1], '.')) AS s,
- {len(presets.TEACHER_PROMPT) + _said("teacher_opening", "problem")} + length(q) AS t FROM (SELECT item_id, {QUESTION} AS q FROM benchmark) JOIN profiles ON ord = item_id % 10 WHERE coalesce(q, '') <> '' AND item_id < 200),
+ {len(presets.TEACHER_PROMPT) + _said("teacher_opening", "problem")} + length(q) AS t FROM {SQL_ITEMS} JOIN profiles ON ord = item_id % 10 WHERE coalesce(q, '') <> '' AND item_id < 200),
 r AS (SELECT pos, 0 AS k, s, t, '' AS log, 0 AS turns, false AS done, false AS ended FROM start
 UNION ALL SELECT pos, k + 1, s + length(w) + length(u), t1 + length(u), concat(log, CASE WHEN sf THEN '' WHEN tf THEN concat('|', w) ELSE concat('|', w, '|', u) END),
  turns + CASE WHEN sf THEN 0 WHEN tf THEN 1 ELSE 2 END, NOT sf AND NOT tf AND d, sf OR tf OR d
@@ -594,11 +608,117 @@ def dialogue_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("pos", "source_id", "is_completed", F.size("conversation").cast("long").alias("turns"), F.to_json("conversation").alias("conversation"))
 
 
-@query()
-def evaluation_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf_dir: str, client: StubClient) -> DataFrame:
     originals = _records(spark, sf_dir).where("translated_question <> ''").select(F.col("id").alias("key"), F.col("pos").alias("place"), "translated_question")
-    similar = _records(spark, sf_dir).select(F.when(F.col("pos") % 3 != 0, F.col("id")).otherwise(source_id("unmatched_", F.col("pos"))).alias("key"), F.lit("q").alias("similar_question"), F.lit("s").alias("similar_solution"))
+    n = 2 * F.col("item_id")
+    name = F.when(n % 3 != 0, source_id("math_test_", n)).otherwise(source_id("unmatched_", n))
+    similar = table(spark, sf_dir, "benchmark").select(name.alias("key"), F.lit("q").alias("similar_question"), F.lit("s").alias("similar_solution"))
     inputs = workflows.evaluation_inputs(originals, similar, presets.profiles(spark), presets.EVALUATION_PROMPT, presets.TEACHER_PROMPT)
-    client = StubClient(fail_in=29)
     got = workflows.evaluate(spark, inputs, client, client, client, presets.JUDGE_PROMPT, fresh_path(spark, "evaluation"))
     return got.select("pos", "source_id", F.col("phase1_turns").cast("long").alias("phase1_turns"), "phase1_is_completed", "phase2_student_answer", "phase2_is_correct", "judge_reason")
+
+
+@query()
+def evaluation_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, StubClient(fail_in=29))
+
+
+def _evaluation_sql() -> str:
+    """Both phases and the judge by the numbers of characters, as ``LengthClient`` answers."""
+    block = "concat(" + _profile_sql([(label, f"coalesce({name}, '{NO_FIELD}')") for label, name in EVALUATION_PROFILE_LABELS]) + ")"
+    system = lambda mode: f"length(concat('You are a learner.', chr(10), {block}, chr(10), 'Now: {mode}'))"
+    # a tutor's reply without what changes from one to the next
+    sample = made_reply("teacher_free", 0, 1)
+    skeleton = len(sample) - len(EMOTIONS[0]) - len("0") * 4 - len("true")
+    raw = f"{skeleton} + length(cast(t1 % 50 AS VARCHAR)) + length({EMOTION_LIST}[t1 % 10 + 1]) + length(cast(t1 % 9 AS VARCHAR)) + length(cast(t1 % 11 AS VARCHAR)) + CASE WHEN d THEN 4 ELSE 5 END + length(cast(t1 % 1000 AS VARCHAR)) + CASE WHEN t1 % 2 = 1 THEN {len('Here it is: ')} ELSE 0 END"
+    return f"""WITH RECURSIVE {SQL_PROFILES},
+pairs AS (SELECT 2 * item_id AS pos, text AS q, row_number() OVER (ORDER BY item_id) - 1 AS turn FROM benchmark WHERE text <> '' AND 2 * item_id % 3 <> 0),
+start AS (SELECT pos, {system(MODE_LEARNING)} + {_said("evaluation_opening", "problem")} + length(q) AS s, {len(presets.TEACHER_PROMPT) + _said("teacher_opening", "problem")} + length(q) AS t,
+ {system(MODE_TRANSFER)} AS transfer FROM pairs JOIN profiles ON ord = turn % 10),
+r AS (SELECT pos, 0 AS k, s, t, '' AS log, 0 AS turns, false AS done, false AS ended, transfer FROM start
+UNION ALL SELECT pos, k + 1, s + length(w) + length(u), t1 + {raw}, concat(log, CASE WHEN sf THEN '' ELSE concat(CASE WHEN log = '' THEN '' ELSE chr(10) END, 'student: ', w, CASE WHEN tf THEN '' ELSE concat(chr(10), 'teacher: ', u) END) END),
+ turns + CASE WHEN sf THEN 0 WHEN tf THEN 1 ELSE 2 END, NOT sf AND NOT tf AND d, sf OR tf OR d, transfer
+ FROM (SELECT *, t1 % 29 = 0 AS tf, concat('utterance ', t1 % 1000, '.') AS u, (t1 // 16) % 4 = 0 AS d FROM (SELECT *, t + length(w) AS t1 FROM (SELECT *, s % 29 = 0 AS sf, concat('words ', s % 1000) AS w FROM r WHERE NOT ended AND k < 15)))),
+first AS (SELECT *, transfer + {_said("transfer", "history", "question")} + length(log) + 1 AS n FROM r WHERE ended OR k = 15),
+second AS (SELECT *, CASE WHEN n % 29 = 0 THEN '{FAILED_ANSWER}' ELSE concat('words ', n % 1000) END AS answer FROM first),
+third AS (SELECT *, {len(presets.JUDGE_PROMPT) + _said("judge", "answer", "solution")} + length(answer) + 1 AS j FROM second)
+SELECT row_number() OVER (ORDER BY pos) AS rank, concat('math_test_', pos) AS source_id, CAST(turns // 2 AS BIGINT) AS phase1_turns, done AS phase1_is_completed, answer AS phase2_student_answer,
+ j % 29 <> 0 AND j % 3 <> 0 AS phase2_is_correct, CASE WHEN j % 29 = 0 THEN concat('{FAILED_JUDGE}stub failure ', j % 1000) ELSE concat('reason ', j % 10) END AS judge_reason FROM third"""
+
+
+@query(_evaluation_sql())
+def evaluation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase 1, phase 2 and the judge; calls fail, and dialogues end, by the number of characters so far."""
+    got = renumber(_evaluated(spark, sf_dir, LengthClient(fail_in=29)), "pos", "rank")
+    return got.withColumn("rank", F.col("rank") + 1).drop("pos")
+
+
+@query(SQL_TRANSLATED.replace("math_train_", "math_test_").replace(" WHERE n % 7 <> 0", " WHERE pos >= 200 AND n % 7 <> 0").replace("r <= 200", "r <= 40"))
+def translate_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test pool: the first 40 translations that succeed, from the place where it begins."""
+    rows = problems(spark, sf_dir).select("pos", F.coalesce("problem", F.lit("")).alias("problem"), F.lit("s").alias("solution"), F.lit("t").alias("type"), F.lit("l").alias("level"))
+    got = workflows.translate_test(spark, rows, LengthClient(fail_in=7), presets.TRANSLATOR_PROMPT, fresh_path(spark, "translate"))
+    return got.select("pos", "id", "thought_process", "translated_question", "translated_solution")
+
+
+# --- recorded replies -------------------------------------------------------
+
+#: What was recorded for a document: nothing, no JSON, a question that refers to a figure, and two good replies.
+RECORDED = """CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no object' WHEN 2 THEN concat('{"similar_question": "As shown in the figure, ', doc_id, '", "similar_solution": "s"}')
+ ELSE concat('{"similar_question": "like ', doc_id, '", "similar_solution": "', lang, '"}') END"""
+
+
+@query(f"""WITH r AS (SELECT doc_id, coalesce(text, '') AS q, coalesce(source, '') AS s, {RECORDED} AS reply FROM documents),
+k AS (SELECT doc_id, min(reply) OVER (PARTITION BY coalesce(nullif(q, ''), 'none'), s) AS reply FROM r)
+SELECT concat('id', doc_id) AS source_id, json_extract_string(reply, '$.similar_question') AS similar_question, json_extract_string(reply, '$.similar_solution') AS similar_solution, CAST(NULL AS VARCHAR) AS error
+FROM k WHERE reply LIKE '{{%' AND NOT regexp_matches(reply, 'As shown')
+UNION ALL SELECT concat('id', doc_id), NULL, NULL, CASE WHEN reply IS NULL THEN 'no recorded reply' ELSE 'the reply is not of the form asked for' END FROM k WHERE reply IS NULL OR reply NOT LIKE '{{%'""")
+def replayed_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar problems from a table of recorded replies, found by a join on the request; failed ones from the dead-letter table."""
+    docs = table(spark, sf_dir, "documents")
+    question, solution = first_filled(F.coalesce("text", F.lit("")), F.lit("none")), F.coalesce("source", F.lit(""))
+    replies = docs.select(workflows.request_of("similar", SIMILAR_SYSTEM, workflows.similar_prompt(question, solution)).alias("request"), F.expr(RECORDED).alias("reply"))
+    replies = Scratch(spark, "replies").write(replies.where("reply is not null"), "recorded")
+    empty = F.lit("")
+    rows = docs.select(
+        F.col("doc_id").alias("pos"), source_id("id", F.col("doc_id")).alias("id"), empty.alias("type"), empty.alias("level"), F.lit("none").alias("original_problem"),
+        F.coalesce("text", empty).alias("translated_question"), F.coalesce("source", empty).alias("original_solution"), empty.alias("translated_solution"),
+    )
+    path = fresh_path(spark, "replayed")
+    got = workflows.make_similar(spark, rows, ReplayTable(replies), SIMILAR_SYSTEM, path, wave=1_000_000)
+    failed = spark.read.parquet(workflows.failed_path(path)).select(source_id("id", F.col("pos")).alias("source_id"), "error")
+    return got.select("source_id", "similar_question", "similar_solution").unionByName(failed, allowMissingColumns=True)
+
+
+# --- more sources, and records that arrive in batches -----------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id) - 1 AS pos, md5(coalesce(text, '')) AS problem, '' AS solution, coalesce(source, 'unknown') AS type, 'unknown' AS level FROM documents")
+def problems_from_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A problem corpus in several Parquet files without positions: files by path, rows by their place."""
+    folder, docs = fresh_path(spark, "problems"), table(spark, sf_dir, "documents")
+    for k in range(3):
+        rows = docs.where(F.col("doc_id") % 3 == k).select(F.col("text").alias("problem"), F.col("source").alias("type"), "doc_id")
+        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+        rows.write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/part{k}")
+    got = read_problems(spark, f"{folder}/*", kind="parquet")
+    return got.select("pos", F.md5("problem").alias("problem"), "solution", "type", "level")
+
+
+TURN = StructType([StructField("conv_id", LongType()), StructField("pos", LongType()), StructField("role", StringType()), StructField("text", StringType())])
+
+
+@query("SELECT conv_id AS key, min(turn)::BIGINT AS place, max(turn)::BIGINT AS pos, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS digest FROM conversations GROUP BY conv_id")
+def incremental_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that arrive in four parts: a stream takes two, stops, and goes on from its checkpoint with the rest."""
+    from ..streaming.incremental import last_wins_stream, read_last_wins, record_stream
+
+    root = fresh_path(spark, "stream")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("pos"), "role", "text")
+    for part in (0, 1, None, 2, 3, None):  # None: what has arrived is taken
+        if part is None:
+            stream = last_wins_stream(record_stream(spark, f"{root}/in", TURN, max_files=4), F.col("conv_id"), f"{root}/out", f"{root}/checkpoint")
+            stream.awaitTermination()
+        else:
+            turns.where(F.col("pos") % 4 == part).write.mode("append").json(f"{root}/in")
+    return read_last_wins(spark, f"{root}/out").select("key", "place", "pos", "role", F.md5("text").alias("digest"))

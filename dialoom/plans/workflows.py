@@ -12,11 +12,13 @@ from pyspark.sql.types import StructType
 
 from ..fixed import (
     DIALOGUE_LIMIT,
+    FAILED_ANSWER,
     MAX_TURNS,
     MODE_LEARNING,
     MODE_TRANSFER,
     NO_ID,
     PROBLEM_COLUMNS,
+    SIMILAR_FORM,
     SLOT_CONDITION,
     SLOT_MODE,
     SLOT_PROBLEM,
@@ -26,22 +28,24 @@ from ..fixed import (
     TEST_START,
     TRAIN_ID,
     TRAIN_LIMIT,
+    TRANSLATE_FORM,
 )
 from ..functions import chat
-from ..functions.text import first_filled, source_id, strict_reply, tagged_blocks
+from ..functions.text import first_filled, source_id, strict_reply, strip, tagged_blocks
 from ..operators import assign, filters
-from ..schemas import SIMILAR_REPLY, SIMILAR_RESPONSE
+from ..schemas import JUDGE_REPLY, SIMILAR_REPLY, SIMILAR_RESPONSE
+from ..sources.progress import Progress
 from ..sources.readers import path_exists
 from ..sources.scratch import Scratch, remove
+from ..sources.spread import Spread
 from ..sources.writers import append_missing, first_successes, write_jsonl
 from . import dialogue
-from .client import Client, call
+from .client import Client, ReplayTable, ask, request_column
 
-#: What the model is told; templates take the named fields. The forms of ``translate`` (its two headers) and of
-#: ``similar`` are fixed values that models of these tasks expect; the rest is our own wording.
+#: What the model is told; templates take the named fields. Two forms are fixed, the rest is our own wording.
 WORDS = {
-    "translate": "Translate this problem and its solution.\n\n[Original Q]\n{problem}\n\n[Original A]\n{solution}",
-    "similar": "[Original Question]\n{question}\n\n[Original Solution]\n{solution}",
+    "translate": f"Translate this problem and its solution.\n\n{TRANSLATE_FORM}",
+    "similar": SIMILAR_FORM,
     "teacher_opening": "Problem: {problem}\n\nThe learner has been given this problem. Wait for what they say and answer it.",
     "student_opening": "Please begin with the problem.",
     "evaluation_opening": "[Problem]\n{problem}\n\nRead the problem and begin to think aloud.",
@@ -59,37 +63,68 @@ def failed_path(path: str) -> str:
     return f"{path.rstrip('/')}_failed"
 
 
+def _messages(system: Column | str, prompt: str) -> Column:
+    return F.array(chat.message("system", F.lit(system) if isinstance(system, str) else system), chat.message("user", F.col(prompt)))
+
+
+def request_of(task: str, system: str, prompt: Column) -> Column:
+    """The key of the request that a workflow makes for a prompt, by which recorded replies are found."""
+    return request_column(task, F.array(chat.message("system", F.lit(system)), chat.message("user", prompt)))
+
+
+def similar_prompt(question: Column, solution: Column) -> Column:
+    return _worded("similar", question=question, solution=solution)
+
+
 def _asked(
-    rows: DataFrame, client: Client, task: str, system: str, temperature: float, path: str, schema: dict | None = None, form: StructType | None = None
+    rows: DataFrame,
+    client: Client | ReplayTable,
+    task: str,
+    system: str,
+    temperature: float,
+    path: str,
+    spread: Spread,
+    schema: dict | None = None,
+    form: StructType | None = None,
 ) -> DataFrame:
-    """Calls the client with each row's ``prompt``, once: replies are written before they are used. Failed calls, and
-    replies that are not of the ``form`` asked for, go to a table of their own (task, pos, prompt, error)."""
-    asked = call(rows, client, task, lambda r: [{"role": "system", "content": system}, {"role": "user", "content": r["prompt"]}], temperature, schema=schema)
+    """Asks for a reply to each row's ``prompt``, once: replies are written before they are used. Failed calls, and
+    replies that are not of the ``form`` asked for, go to a table of their own (task, pos, prompt, error); a reply of the
+    form is parsed once, to ``made``."""
+    asked = ask(rows, client, task, _messages(system, "prompt"), temperature, schema, spread.plan(rows.sparkSession)[1])
+    if form:
+        asked = asked.withColumn("made", strict_reply(F.col("reply"), form))
     done = Scratch(rows.sparkSession, task).write(asked, "replies")
     if form:
-        broken = F.when(strict_reply(F.col("reply"), form).isNull(), "the reply is not of the form asked for")
-        done = done.withColumn("error", F.coalesce("error", broken))
+        done = done.withColumn("error", F.coalesce("error", F.when(F.col("made").isNull(), "the reply is not of the form asked for")))
     failed = done.where("error is not null").select(F.lit(task).alias("task"), "pos", "prompt", "error")
     failed.write.mode("append").parquet(failed_path(path))
     return done.where("error is null")
 
 
 def translate(
-    spark: SparkSession, problems: DataFrame, client: Client, system: str, path: str, limit: int = TRAIN_LIMIT, start: int = 0, prefix: str = TRAIN_ID
+    spark: SparkSession,
+    problems: DataFrame,
+    client: Client | ReplayTable,
+    system: str,
+    path: str,
+    limit: int = TRAIN_LIMIT,
+    start: int = 0,
+    prefix: str = TRAIN_ID,
+    spread: Spread | None = None,
+    **options,
 ) -> DataFrame:
     """The first ``limit`` text-only problems from position ``start`` on whose translation succeeds.
 
     A reply without tags counts as a success with empty fields, as it does in the data
     this is meant for; such rows go when dialogues are made. Failed calls are kept at
-    ``failed_path(path)``."""
-    if path_exists(spark, failed_path(path)):
+    ``failed_path(path)``. ``options`` are those of ``first_successes``: ahead, resume, report."""
+    spread = spread or Spread()
+    if not options.get("resume") and path_exists(spark, failed_path(path)):
         remove(spark, failed_path(path))
-    candidates = problems.where((F.col("pos") >= start) & filters.is_text_only(F.col("problem"))).withColumn(
-        "prompt", _worded("translate", problem=F.col("problem"), solution=F.col("solution"))
-    )
 
     def run(rows: DataFrame) -> DataFrame:
-        done = _asked(rows, client, "translate", system, 0.3, path)
+        told = rows.withColumn("prompt", _worded("translate", problem=F.col("problem"), solution=F.col("solution")))
+        done = _asked(told, client, "translate", system, 0.3, path, spread)
         blocks = tagged_blocks(F.col("reply"))
         return done.select(
             "pos",
@@ -103,11 +138,13 @@ def translate(
             blocks["translated_solution"].alias("translated_solution"),
         )
 
-    return first_successes(spark, candidates, path, limit, run)
+    return first_successes(spark, problems, filters.is_text_only(F.col("problem")), path, limit, run, start=start, spread=spread, **options)
 
 
-def translate_test(spark: SparkSession, problems: DataFrame, client: Client, system: str, path: str, limit: int = TEST_LIMIT) -> DataFrame:
-    return translate(spark, problems, client, system, path, limit, TEST_START, TEST_ID)
+def translate_test(
+    spark: SparkSession, problems: DataFrame, client: Client | ReplayTable, system: str, path: str, limit: int = TEST_LIMIT, spread: Spread | None = None, **options
+) -> DataFrame:
+    return translate(spark, problems, client, system, path, limit, TEST_START, TEST_ID, spread, **options)
 
 
 def clean(records: DataFrame) -> DataFrame:
@@ -115,6 +152,17 @@ def clean(records: DataFrame) -> DataFrame:
     return records.where(filters.is_text_only_record(PROBLEM_COLUMNS, records.columns))
 
 
+def clean_to(records: DataFrame, path: str, progress: Progress | None = None) -> dict[str, int]:
+    """Writes the records without references to figures as Parquet; returns how many were read, kept and removed, counted
+    by the job that writes."""
+    progress = progress or Progress(records.sparkSession)
+    keep = filters.is_text_only_record(PROBLEM_COLUMNS, records.columns)
+    seen = progress.watch(records.withColumn("_keep", keep), "clean", initial=F.count("*"), kept=F.count_if("_keep"))
+    seen.where("_keep").drop("_keep").write.mode("overwrite").parquet(path)
+    counts = progress.done("clean")
+    return {**counts, "removed": counts["initial"] - counts["kept"]}
+
+
 def dialogue_inputs(records: DataFrame, profiles: DataFrame, conditions: list[str], student_prompt: str, limit: int = DIALOGUE_LIMIT) -> DataFrame:
     """One row for each dialogue to make: problem, profile, prompt and id. Rows without a question use up a turn of the presets."""
     spark = records.sparkSession
@@ -135,14 +183,17 @@ def dialogue_inputs(records: DataFrame, profiles: DataFrame, conditions: list[st
     )
 
 
-def make_dialogues(spark: SparkSession, inputs: DataFrame, client: Client, teacher_prompt: str, path: str, max_turns: int = MAX_TURNS, wave: int = 64) -> DataFrame:
+def make_dialogues(spark: SparkSession, inputs: DataFrame, client: Client, teacher_prompt: str, path: str, max_turns: int = MAX_TURNS, wave: int = 64, spread: Spread | None = None) -> DataFrame:
     """Simulates the sessions that the table at ``path`` does not hold yet, and returns the table."""
 
+    spread = spread or Spread()
+
     def run(rows: DataFrame) -> DataFrame:
-        made = dialogue.simulate_corpus(rows, client, teacher_prompt, WORDS["student_opening"], WORDS["teacher_opening"], max_turns)
+        each = spread.plan(spark)[1]
+        made = dialogue.simulate_corpus(rows, client, teacher_prompt, WORDS["student_opening"], WORDS["teacher_opening"], max_turns, each)
         return made.select("pos", "problem", "student_profile", "is_completed", "conversation", "source_id")
 
-    return append_missing(spark, inputs, path, "source_id", run, wave)
+    return append_missing(spark, inputs, path, "source_id", run, wave, spread=spread)
 
 
 def sft_records(sessions: DataFrame, system: str) -> DataFrame:
@@ -151,30 +202,35 @@ def sft_records(sessions: DataFrame, system: str) -> DataFrame:
     return done.select("pos", chat.chat_messages(system, F.col("problem"), F.col("conversation")).alias("messages"))
 
 
-def prepare_sft(spark: SparkSession, sessions: DataFrame, system: str, train_path: str, val_path: str, exact: bool = True) -> dict[str, int]:
-    """Writes the two files of fine-tuning records; returns their sizes.
+def prepare_sft(
+    spark: SparkSession, sessions: DataFrame, system: str, train_path: str, val_path: str, exact: bool = False, progress: Progress | None = None
+) -> dict[str, int]:
+    """Writes the two files of fine-tuning records; returns their sizes, counted by the jobs that write.
 
-    ``exact``: the permutation of the seeded generator, made on the driver; else the
-    order of salted digests, for corpora of any size."""
+    The order is that of salted digests, for corpora of any size. ``exact``: the permutation of the seeded generator,
+    made on the driver, which refuses more than its bound."""
+    progress = progress or Progress(spark)
     records = assign.renumber(sft_records(sessions, system), "pos", "n").drop("pos").withColumnRenamed("n", "pos")
     split = assign.seeded_split(spark, records) if exact else assign.hash_split(records, "pos")
-    sizes = {r[0]: r[1] for r in split.groupBy("split").count().collect()}
+    split = Scratch(spark, "sft").write(split.select("split", F.col("shuffled").alias("pos"), "messages"), "split")
     for name, path in (("train", train_path), ("val", val_path)):
-        write_jsonl(split.where(F.col("split") == name).select(F.col("shuffled").alias("pos"), "messages"), path, "pos")
-    return {"train": sizes.get("train", 0), "val": sizes.get("val", 0)}
+        write_jsonl(split.where(F.col("split") == name).drop("split"), path, "pos", lambda d, step=name: progress.watch(d, step, n=F.count("*")))
+    return {name: progress.done(name)["n"] for name in ("train", "val")}
 
 
-def make_similar(spark: SparkSession, problems: DataFrame, client: Client, system: str, path: str, wave: int = 64) -> DataFrame:
+def make_similar(
+    spark: SparkSession, problems: DataFrame, client: Client | ReplayTable, system: str, path: str, wave: int = 64, spread: Spread | None = None
+) -> DataFrame:
     """Look-alike problems; failed calls and questions that refer to a figure are left out. Failed calls are kept at
     ``failed_path(path)`` and are made again when this runs again."""
     question = first_filled(F.col("translated_question"), F.coalesce(F.col("original_problem"), F.lit("")))
     solution = first_filled(F.col("translated_solution"), F.coalesce(F.col("original_solution"), F.lit("")))
     rows = problems.select("pos", "id", "type", "level", "original_problem", question.alias("question"), solution.alias("solution"))
-    rows = rows.withColumn("prompt", _worded("similar", question=F.col("question"), solution=F.col("solution")))
+    spread = spread or Spread()
+    rows = rows.withColumn("prompt", similar_prompt(F.col("question"), F.col("solution")))
 
     def run(some: DataFrame) -> DataFrame:
-        done = _asked(some, client, "similar", system, 0.5, path, SIMILAR_REPLY, SIMILAR_RESPONSE)
-        done = done.withColumn("made", strict_reply(F.col("reply"), SIMILAR_RESPONSE))
+        done = _asked(some, client, "similar", system, 0.5, path, spread, SIMILAR_REPLY, SIMILAR_RESPONSE)
         return done.select(
             "pos",
             F.col("id").alias("source_id"),
@@ -186,7 +242,7 @@ def make_similar(spark: SparkSession, problems: DataFrame, client: Client, syste
             F.coalesce("made.similar_solution", F.lit("")).alias("similar_solution"),
         ).where(filters.is_text_only(F.col("similar_question")))
 
-    return append_missing(spark, rows.withColumn("source_id", F.col("id")), path, "source_id", lambda d: run(d.drop("source_id")), wave)
+    return append_missing(spark, rows.withColumn("source_id", F.col("id")), path, "source_id", lambda d: run(d.drop("source_id")), wave, spread=spread)
 
 
 def evaluation_inputs(originals: DataFrame, similar: DataFrame, profiles: DataFrame, student_prompt: str, teacher_prompt: str) -> DataFrame:
@@ -210,38 +266,50 @@ def evaluation_inputs(originals: DataFrame, similar: DataFrame, profiles: DataFr
 
 
 def evaluate(
-    spark: SparkSession, inputs: DataFrame, student: Client, teacher: Client, judge: Client, judge_prompt: str, path: str, max_turns: int = MAX_TURNS, wave: int = 64
+    spark: SparkSession,
+    inputs: DataFrame,
+    student: Client,
+    teacher: Client,
+    judge: Client | ReplayTable,
+    judge_prompt: str,
+    path: str,
+    max_turns: int = MAX_TURNS,
+    wave: int = 64,
+    spread: Spread | None = None,
+    answers: Client | ReplayTable | None = None,
 ) -> DataFrame:
-    """Phase 1, phase 2 and the judge, each written before the next; returns the results' table at ``path``/results."""
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+    """Phase 1, phase 2 and the judge, each written before the next; returns the results' table at ``path``/results.
 
-    both = _Both(student, teacher)
-    first = append_missing(spark, inputs, f"{path}/phase1", "source_id", lambda d: dialogue.simulate_evaluation(d, both, max_turns), wave)
+    ``answers`` answers the similar problems, by default the student."""
+    spread, both = spread or Spread(), _Both(student, teacher)
+    each = spread.plan(spark)[1]
+    grow = lambda todo, name, run: append_missing(spark, todo, f"{path}/{name}", "source_id", run, wave, spread=spread)
+    first = grow(inputs, "phase1", lambda d: dialogue.simulate_evaluation(d, both, max_turns, each))
     told = first.withColumn("prompt", _worded("transfer", history=chat.history(F.col("dialogue_log")), question=F.col("similar_question")))
 
     def answer(rows: DataFrame) -> DataFrame:
-        kind = StructType([StructField("phase2_student_answer", StringType())])
-        return dialogue.map_rows(rows, kind, lambda r: {"phase2_student_answer": dialogue.answer_similar(student, r["transfer_system"], r["prompt"])})
+        done = ask(rows, answers or student, "answer", _messages(F.col("transfer_system"), "prompt"), 0.2, None, each)
+        # a failed call is an answer too, and is judged
+        return done.withColumn("phase2_student_answer", F.coalesce(strip(F.col("reply")), F.lit(FAILED_ANSWER))).drop("reply", "error")
 
-    second = append_missing(spark, told, f"{path}/phase2", "source_id", answer, wave)
+    second = grow(told, "phase2", answer)
     asked = second.withColumn("question", _worded("judge", answer=F.col("phase2_student_answer"), solution=F.col("similar_solution")))
 
     def grade(rows: DataFrame) -> DataFrame:
-        kind = StructType([StructField("phase2_is_correct", BooleanType()), StructField("judge_reason", StringType())])
-        graded = dialogue.map_rows(rows, kind, lambda r: dict(zip(kind.names, dialogue.judge_answer(judge, judge_prompt, r["question"]))))
-        return graded.select(
+        done = ask(rows, judge, "judge", _messages(judge_prompt, "question"), 0.0, JUDGE_REPLY, each)
+        return done.withColumn("_v", dialogue.verdicts("reply", "error")).select(
             "pos",
             "source_id",
             "student_profile_used",
             chat.exchanges(F.col("dialogue_log")).alias("phase1_turns"),
             "phase1_is_completed",
             "phase2_student_answer",
-            "phase2_is_correct",
-            "judge_reason",
+            F.col("_v.phase2_is_correct").alias("phase2_is_correct"),
+            F.col("_v.judge_reason").alias("judge_reason"),
             "dialogue_log",
         )
 
-    return append_missing(spark, asked, f"{path}/results", "source_id", grade, wave)
+    return grow(asked, "results", grade)
 
 
 class _Both:

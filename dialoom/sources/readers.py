@@ -44,17 +44,52 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
     return whole.select(F.posexplode(records).alias("ord", "_r")).select(F.col("ord").cast("long").alias("ord"), "_r.*")
 
 
-def read_prompt(path: str) -> str:
-    """A whole prompt file; a missing file is an error."""
-    with open(path, encoding="utf-8") as file:
-        return file.read()
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """A whole prompt file, from any store that Spark knows. A missing file, a folder, or bytes that are no UTF-8 are errors."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(source):
+        raise FileNotFoundError(f"there is no prompt at {path}")
+    if not store.getFileStatus(source).isFile():
+        raise IsADirectoryError(f"{path} is a folder, not a prompt")
+    stream = store.open(source)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def require(spark: SparkSession, *paths: str) -> None:
+    """Fails, naming all of them, where one of a step's inputs is missing, before anything is read or called."""
+    missing = [p for p in paths if not path_exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(f"missing input: {', '.join(missing)}")
+
+
+def read_parquet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of Parquet files with ``pos``: files in the order of their paths, rows in the order of each file.
+
+    A row's place in its file comes with the scan, whatever splits and row groups the file is read by; how many rows the
+    files before it hold is a sum over one row a file. A column ``pos`` of the files is replaced."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    placed = rows.drop("pos").withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    # no column of the data is read for this: rows are counted
+    files = rows.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    files = Scratch(spark, "parquet").write(files, "files")
+    found = placed.join(small_side(files), "_file", "left")
+    place = F.col("_before") + F.col("_row")
+    pos = F.when(place.isNotNull(), place).otherwise(F.raise_error(F.lit("the files changed while they were read")).cast("long"))
+    return found.select(pos.alias("pos"), *[c for c in rows.columns if c != "pos"])
 
 
 def read_problems(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFrame:
-    """A problem corpus (``jsonl`` or ``parquet`` with ``pos``) with the defaults of missing fields."""
-    rows = read_jsonl(spark, path, RAW_PROBLEM) if kind == "jsonl" else spark.read.parquet(path)
+    """A problem corpus (``jsonl`` or ``parquet``) with positions and the defaults of missing fields; columns that Parquet
+    files don't have count as missing in every row."""
+    rows = read_jsonl(spark, path, RAW_PROBLEM) if kind == "jsonl" else read_parquet_rows(spark, path)
     defaults = {"problem": "", "solution": "", "type": "unknown", "level": "unknown"}
-    return rows.select("pos", *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in defaults.items()])
+    return rows.select("pos", *[F.coalesce(F.col(c), F.lit(d)).alias(c) if c in rows.columns else F.lit(d).alias(c) for c, d in defaults.items()])
 
 
 def read_keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -195,7 +195,7 @@ def test_jsonl(spark, tmp_path):
     with pytest.raises(PySparkException):
         read_jsonl(spark, str(tmp_path / "missing.jsonl"), RAW_PROBLEM).collect()
     with pytest.raises(FileNotFoundError):
-        read_prompt(str(tmp_path / "missing.txt"))
+        read_prompt(spark, str(tmp_path / "missing.txt"))
 
 
 def test_json_array_and_keyed(spark, tmp_path):
