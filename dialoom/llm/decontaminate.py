@@ -18,7 +18,6 @@ searched in several parts, each below the bound, whose hits are united.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, held, slices
 
-#: Bytes of benchmark text that one pass searches for.
-PASS_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass searches for; its tables take some twelve times as many in a worker.
+PASS_BYTES = 16 << 20
+#: Spreads the words' numbers over the shift table.
+FACTOR = 0x9E3779B1
 
 #: Lower-cases A-Z and turns all that is neither ASCII letter or digit nor beyond ASCII into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,55 +42,86 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WordSearch:
-    """Wu-Manber tables for patterns (tuples of words) of one length."""
-
-    BLOCK = 2
-
-    def __init__(self, length: int, patterns: dict[tuple, set]) -> None:
-        self.length, self.block = length, min(self.BLOCK, length)
-        self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(list)
-        for pattern, items in patterns.items():
-            for end in range(self.block, length + 1):
-                block = pattern[end - self.block : end] if self.block == 2 else pattern[0]
-                self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.buckets[block].append((pattern, tuple(items)))
-
-    def search(self, words: list, hit: list, found: set) -> None:
-        """Adds the (begin, end) of each occurrence to ``hit`` and the patterns' items to ``found``."""
-        length, n, jump, default = self.length, len(words), self.shift.get, self.default
-        at, pairs = length - 1, self.block == 2
+    """Wu-Manber tables for the patterns of one length: pieces of the items' words, which are numbers.
+
+    The shift table has a byte for each hash of a block of two words: how far the search
+    may jump where that block ends, at least. Patterns lie in the order of their last
+    block; they are the places in ``words`` where they begin, so nothing is held twice.
+    """
+
+    def __init__(self, length: int, words: np.ndarray, begins: np.ndarray) -> None:
+        self.length, self.pairs = length, length > 1
+        self.default = min(255, length - 1 if self.pairs else 1)
+        self.mask = (1 << max(10, (4 * len(begins)).bit_length())) - 1
+        table = np.full(self.mask + 1, self.default, np.uint8)
+        keys = np.empty(len(begins), np.int64)
+        for at in range(0, len(begins), 1 << 18):  # the numbers of a part at a time
+            some = begins[at : at + (1 << 18)]
+            for end in range(2 if self.pairs else 1, length + 1):
+                last = words[some + (end - 1)].astype(np.int64)
+                before = words[some + (end - 2)].astype(np.int64) if self.pairs else np.int64(0)
+                np.minimum.at(table, (before * FACTOR + last) & self.mask, min(255, length - end))
+            keys[at : at + len(some)] = last + (before << 32)
+        self.table = table.tobytes()
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys, self.begins, self.words = keys[order], begins[order], words
+
+    def search(self, words: list, number: Callable, hit: list, places: list) -> None:
+        """Adds the (begin, end) of each occurrence to ``hit`` and where its patterns begin to ``places``."""
+        n, length, table, mask, pairs, default = len(words), self.length, self.table, self.mask, self.pairs, self.default
+        at, last, before = length - 1, None, 0
         while at < n:
-            block = (words[at - 1], words[at]) if pairs else words[at]
-            if step := jump(block, default):
+            # a word that no item has ends no block of a pattern
+            if (last := number(words[at])) is None or (pairs and (before := number(words[at - 1])) is None):
+                at += default
+                continue
+            if step := table[(before * FACTOR + last) & mask]:
                 at += step
                 continue
-            begin = at + 1 - length
-            here = tuple(words[begin : at + 1])
-            for pattern, items in self.buckets.get(block, ()):
-                if pattern == here:
-                    hit.append((begin, at + 1))
-                    found.update(items)
+            key = last + (before << 32)
+            low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+            if low < high:
+                here = [number(w) for w in words[at + 1 - length : at + 1]]
+                if None not in here:
+                    begins = self.begins[low:high]
+                    equal = np.ones(len(begins), bool)
+                    for k, w in enumerate(here):
+                        equal[equal] = self.words[begins[equal] + k] == w
+                    if equal.any():
+                        hit.append((at + 1 - length, at + 1))
+                        places.append(begins[equal])
             at += 1
 
 
 class Searcher:
+    """The items' words as numbers, once, one item after the other, and the tables of each length of pattern."""
+
     def __init__(self, items: list[tuple], window: int) -> None:
-        patterns: dict = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
+        numbers: dict[bytes, int] = {}
+        parts, sizes = [], []
+        for _, text in items:
             words = words_of(text or b"")
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                patterns[size][tuple(words[at : at + size])].update([] if item is None else [item])
-        self.searches = [WordSearch(n, group) for n, group in patterns.items()]
+            parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+            sizes.append(len(words))
+        self.number, self.items = numbers.get, [item for item, _ in items]
+        words, sizes = np.concatenate([*parts, np.zeros(0, np.int32)]), np.array(sizes, np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.searches = []
+        for length in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            of = np.flatnonzero(sizes >= window if length == window else sizes == length)
+            counts = sizes[of] - length + 1
+            begins = np.repeat(self.starts[of] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            begins = begins.astype(np.int32)
+            self.searches.append(WordSearch(length, words, begins))
 
     def __call__(self, text: bytes) -> tuple[int, list, set]:
         """The number of words, the (begin, end) of occurrences, and the items that occur."""
-        words, hit, found = words_of(text), [], set()
+        words, hit, places = words_of(text), [], []
         for s in self.searches:
-            s.search(words, hit, found)
-        return len(words), hit, found
+            s.search(words, self.number, hit, places)
+        found = set(np.searchsorted(self.starts, np.concatenate(places), "right").tolist()) if places else ()
+        # items without words begin where the next one does: the last one that begins there has the words
+        return len(words), hit, {self.items[k - 1] for k in found} - {None}
 
 
 def covered(spans: list[tuple]) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 
@@ -78,19 +79,28 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), counts
 
 
+#: Characters of the longest word that a cache keeps, and bytes that it allows for each of ``bound`` entries.
+LONGEST, ENTRY = 256, 200
+
+
 class WordCache(dict):
-    """``cache[word]`` computes a missing value. Holds at most ``bound`` words, in two generations.
+    """``cache[word]`` computes a missing value. Holds at most ``bound`` words, and as many bytes as that many usual words
+    take, keys and values counted, in two generations.
 
     When the young generation is full it becomes the old one, and the old one is
     forgotten; a word that is asked for again moves to the young one. So frequent
-    words stay, and memory stays bounded.
+    words stay. A word of over ``LONGEST`` characters, as in scripts without spaces, is
+    computed each time it comes and not kept.
     """
 
     def __init__(self, make: Callable, bound: int) -> None:
         super().__init__()
         self.make, self.half, self.old = make, max(1, bound // 2), {}
+        self.room, self.size = max(1, bound * ENTRY // 2), 0
 
     def __missing__(self, word):
+        if len(word) > LONGEST:
+            return self.make(word)
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
@@ -98,19 +108,22 @@ class WordCache(dict):
         return value
 
     def _turn(self) -> None:
-        if len(self) >= self.half:
+        if len(self) >= self.half or self.size >= self.room:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
     def put(self, word, value) -> None:
         self._turn()
         self[word] = value
+        self.size += getsizeof(word) + getsizeof(value) + 100  # and a place in the table
 
     def put_all(self, values: dict) -> None:
-        """Many at once; the bound may be passed by these."""
+        """Many at once, of one batch of texts: the bounds may be passed by these."""
         self._turn()
         self.update(values)
+        self.size += sum(map(getsizeof, values)) + sum(map(getsizeof, values.values())) + 100 * len(values)
 
     def missing(self, words: set) -> set:
-        """Those of ``words`` that neither generation holds."""
-        return words.difference(self).difference(self.old)
+        """Those of ``words`` that could be kept and that neither generation holds."""
+        return {w for w in words.difference(self).difference(self.old) if len(w) <= LONGEST}
