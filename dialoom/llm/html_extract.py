@@ -1,10 +1,13 @@
 """Main-text extraction from HTML by a tree-structured graphical model.
 
-The nodes are a page's block elements; a node is content or not. Each node has a
+The nodes are a page's block elements, and the inline ones in them whose names tell
+something or are not HTML's own; a node is content or not. Each node has a
 potential from its features (tag, words of its class and id, lengths, links), each
 parent and child share one by the child's kind of tag. Sum-product messages, once
 upward and once downward, give exact marginals; runs of text whose node is more
-likely content than not are the main text. The weights are trained by gradient
+likely content than not are the main text (one that is as likely as not is left out);
+what an inline node holds is judged with it, and stands in the line of the block around it. What is not
+shown (hidden, display:none, visibility:hidden) is no text, inline or not. The weights are trained by gradient
 ascent on the likelihood of labelled pages, whose gradients come from the same
 messages. The labelled pages are made by ``labelled_pages`` from a fixed seed.
 
@@ -69,8 +72,9 @@ NOT_IN_SELECT = NO_PARAGRAPH - frozenset("hr div legend".split()) | {"select", "
 TOKEN = re.compile(
     r"""<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(>|\Z)""", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 NAME_PART = re.compile(r"[a-z]+")
+NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 
 #: Words of class, id and role names, by what they tell.
 HINTS = {
@@ -95,14 +99,14 @@ FEATURES = OTHER + 1 + len(HINTS) + 2 + 6 + 4 + 3 + 1
 
 
 class Page:
-    """Block elements in page order: ``tags``, ``parents`` (-1 for the root), hints, whether they are not shown
+    """Nodes in page order: ``tags``, ``parents`` (-1 for the root), hints, whether they are not shown
     (``hidden``) or not read aloud (``silent``); and the runs of text."""
 
     __slots__ = ("tags", "parents", "hints", "hidden", "silent", "runs", "linked", "links")
 
     def __init__(self) -> None:
         self.tags, self.parents, self.hints, self.hidden, self.silent = ["html"], [-1], [()], [False], [False]
-        self.runs: list[list] = []  # [node, pieces of text]
+        self.runs: list[list] = []  # [block, pieces of text, the node of each: the block or an inline one in it]
         self.linked, self.links = [0], [0]
 
 
@@ -126,32 +130,73 @@ class Opened:
             self.places[self.names.pop()].pop()
 
 
+def _attributes(text: str) -> tuple[tuple, bool, bool]:
+    """(hints, whether the element is not shown, whether it is not read aloud)."""
+    words, off, silent = [], False, False
+    for key, a, b, c in ATTRIBUTE.findall(text):
+        value = a or b or c
+        key = key.lower()
+        if key == "hidden":
+            off = off or value.lower() != "until-found"
+        elif key == "style":
+            off = off or bool(NOT_SHOWN.search(value))
+        elif key == "aria-hidden":
+            silent = silent or value.lower() == "true"
+        else:
+            words += NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+    return _hints(words), off, silent
+
+
+def _hints(words: list[str]) -> tuple:
+    return tuple({HINT_OF[w] for w in words if w in HINT_OF})
+
+
 def parse(source: str) -> Page:
     """Reads a page's block tree and its runs of text; one pass, no recursion."""
     page, at, n = Page(), 0, len(source)
     opened = Opened()  # open elements that are no nodes: inline ones, and all in a hidden one
     stack: list[tuple[str, int, int]] = [("html", 0, 0)]  # open block elements: name, node, how many were opened before
-    node, link, run = 0, 0, None
+    inline: list[tuple[int, int]] = []  # open inline nodes: place in ``opened``, node
+    node, link, run = 0, 0, None  # the innermost open node; in a link; the run that goes on
     hidden = -1  # place of the open hidden element in ``opened``
     head = True  # nothing of the body has been seen
     endless: set[str] = set()  # elements without markup that no later end tag closes
 
     def text(piece: str) -> None:
         nonlocal run, head
-        if run is None or run[0] != node:
+        if run is None or run[0] != stack[-1][1]:
             if not piece or piece.isspace():
                 return
             head = False
-            page.runs.append(run := [node, []])
+            page.runs.append(run := [stack[-1][1], [], []])
         run[1].append(piece)
+        run[2].append(node)
         if link:
             page.linked[node] += len(piece)
 
+    def settle() -> None:
+        """The innermost open node, after elements have ended."""
+        nonlocal node
+        while inline and inline[-1][0] >= len(opened.names):
+            inline.pop()
+        node = inline[-1][1] if inline and inline[-1][0] >= stack[-1][2] else stack[-1][1]
+
+    def add(name: str, hints: tuple, off: bool, silent: bool) -> int:
+        page.tags.append(name)
+        page.parents.append(node)
+        page.hints.append(hints)
+        page.hidden.append(off)
+        page.silent.append(silent)
+        page.linked.append(0)
+        page.links.append(0)
+        return len(page.tags) - 1
+
     def close(depth: int) -> None:
-        nonlocal node, run
+        nonlocal run
         opened.cut(stack[depth][2])
         del stack[depth:]
-        node, run = stack[-1][1], None
+        run = None
+        settle()
 
     def close_nearest(tags: tuple, until: frozenset) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -212,6 +257,7 @@ def parse(source: str) -> Page:
                 hidden = -1
             if place >= stack[-1][2]:
                 opened.cut(place)
+            settle()
             if name == "a":
                 link = 0
             elif name == "head":
@@ -249,13 +295,19 @@ def parse(source: str) -> Page:
             continue
         if name not in METADATA:
             head = False
-        if name in HIDDEN or name in RAW:
+        hints, off, silent = _attributes(attributes) if attributes else ((), False, False)
+        if name in HIDDEN or name in RAW or (off and name not in BLOCKS and name not in ("html", "body")):
             if not empty:
                 hidden = len(opened.names)
                 opened.push(name)
             continue
         if not empty and name not in BLOCKS:
             opened.push(name)
+            if "-" in name:
+                hints = (*hints, *(h for h in _hints(name.split("-")) if h not in hints))
+            if hints or "-" in name:
+                node = add(name, hints, False, silent)
+                inline.append((len(opened.names) - 1, node))
         if name == "a":
             link = 1
             page.links[node] += 1
@@ -275,27 +327,7 @@ def parse(source: str) -> Page:
             run = None
             if name == "hr":
                 continue
-            hints, off, silent = (), False, False
-            if attributes:
-                words: list[str] = []
-                for key, a, b, c in ATTRIBUTE.findall(attributes):
-                    value = a or b or c
-                    key = key.lower()
-                    if key == "hidden":
-                        off = off or value.lower() != "until-found"
-                    elif key == "aria-hidden":
-                        silent = silent or value.lower() == "true"
-                    else:
-                        words += NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-                hints = tuple({HINT_OF[w] for w in words if w in HINT_OF})
-            page.tags.append(name)
-            page.parents.append(node)
-            page.hints.append(hints)
-            page.hidden.append(off)
-            page.silent.append(silent)
-            page.linked.append(0)
-            page.links.append(0)
-            node = len(page.tags) - 1
+            node = add(name, hints, off, silent)
             stack.append((name, node, len(opened.names)))
     return page
 
@@ -308,15 +340,26 @@ def _floor(stack: list[tuple[str, int, int]]) -> int:
     return 0
 
 
+def _line(pieces: list[str]) -> str:
+    """References decoded, white space as one space, trimmed."""
+    raw = "".join(pieces)
+    return " ".join((entities.unescape(raw) if "&" in raw else raw).split())
+
+
 def blocks(page: Page) -> list[tuple[int, str]]:
-    """(node, text) of each run: references decoded, white space as one space, trimmed."""
+    """(block, text) of each run."""
+    return [(block, line) for block, pieces, _ in page.runs if (line := _line(pieces))]
+
+
+def owned(page: Page) -> list[tuple[int, str]]:
+    """(node, text) of each part of a run that one node holds."""
     out = []
-    for node, pieces in page.runs:
-        raw = "".join(pieces)
-        line = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-        if line:
-            out.append((node, line))
-    return out
+    for block, pieces, nodes in page.runs:
+        if all(k == block for k in nodes):
+            out.append((block, _line(pieces)))
+        else:
+            out += [(node, _line([p for p, k in zip(pieces, nodes) if k == node])) for node in dict.fromkeys(nodes)]
+    return [(node, text) for node, text in out if text]
 
 
 class Forest:
@@ -394,7 +437,7 @@ class TreeModel:
 def train(pages: list[tuple[Page, list[int]]], rounds: int = 200, rate: float = 0.15, decay: float = 2e-3) -> TreeModel:
     """Gradient ascent (with Adam's steps) on the log-likelihood of the labels of all nodes."""
     parsed = [p for p, _ in pages]
-    forest = Forest(parsed, [blocks(p) for p in parsed])
+    forest = Forest(parsed, [owned(p) for p in parsed])
     labels = np.array([v for _, own in pages for v in own])
     edge = np.flatnonzero(forest.parent >= 0)
     kinds = OTHER + 1
@@ -415,7 +458,7 @@ def train(pages: list[tuple[Page, list[int]]], rounds: int = 200, rate: float =
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Made pages with the lines of their main text. Layouts, wrappers, names and lengths vary;
     boilerplate stands before, after, beside and inside the article, with and without telling names."""
-    draw, marks = random.Random(seed), random.Random(seed + 1)
+    draw, marks, more = random.Random(seed), random.Random(seed + 1), random.Random(seed + 2)
     syllables = "an er in on re th the ti en al ou le é ö ch st und de la ción que ment pre no".split()
 
     def words(low: int, high: int) -> str:
@@ -435,6 +478,22 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     def silent(chance: float) -> str:
         return ' aria-hidden="true"' if marks.random() < chance else ""
 
+    def beside(line: str) -> str:
+        """A line with something inline: an advert or a note that is not of the text, or a part of the text with a name."""
+        said = " ".join("".join(more.choice(syllables) for _ in range(more.randint(1, 4))) for _ in range(more.randint(1, 12)))
+        kind, chance = more.choice(["advert", "advert", "social", "notice", "comments", "side"]), more.random()
+        name = more.choice(HINTS[kind].split())
+        if chance < 0.05:
+            tag = more.choice(["span", "a", "ins", "small", f"{name}-{more.choice(['slot', 'unit', 'x'])}"])
+            return f"{line} <{tag}{'' if '-' in tag else f' class={name}'}>{said}</{tag}>"
+        if chance < 0.1:
+            some = line.split(" ")
+            k = more.randrange(len(some))
+            name = more.choice([*HINTS["content"].split(), "x-term"])
+            some[k] = f"<x-term>{some[k]}</x-term>" if name == "x-term" else f'<span class="{name}">{some[k]}</span>'
+            return " ".join(some)
+        return line
+
     def links(low: int, high: int) -> str:
         items = [f'<a href="/{k}">{words(1, 2)}</a>' for k in range(draw.randint(low, high))]
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if draw.random() < 0.7 else " | ".join(items)
@@ -470,9 +529,12 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
 
         def keep(low: int, high: int, content: list = content) -> str:
             content.append(line := words(low, high))
-            return f"<b>{line}</b>" if draw.random() < 0.1 else line
+            told = beside(line)
+            return f"<b>{told}</b>" if draw.random() < 0.1 else told
 
         parts = [f"<h1>{keep(2, 12)}</h1>"] if draw.random() < 0.8 else []
+        if parts and more.random() < 0.3:  # an article's own header holds its title
+            parts = [f"<header>{more.choice(['', '<div class=byline>al en de</div>'])}{parts[0]}</header>"]
         for _ in range(draw.randint(1, 12)):
             chance = draw.random()
             if chance < 0.72:
@@ -505,13 +567,18 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
 
 
 def label(page: Page, lines: list[str]) -> list[int]:
-    """A node is content if a run of its own, or of one below it, is one of the lines and most of its text is."""
+    """A node is content if a run of its own, or of one below it, is one of the lines and most of its text is. Where a run
+    is a line only without what inline nodes hold, these are not."""
     n = len(page.tags)
     good, all_ = [0] * n, [0] * n
     wanted = set(lines)
-    for node, line in blocks(page):
-        all_[node] += len(line)
-        good[node] += len(line) * (line in wanted)
+    for block, pieces, nodes in page.runs:
+        whole = _line(pieces) in wanted
+        bare = not whole and _line([p for p, k in zip(pieces, nodes) if k == block]) in wanted
+        for node, piece in zip(nodes, pieces):
+            size = len(piece.strip())
+            all_[node] += size
+            good[node] += size * (whole or (bare and node == block))
     for k in range(n - 1, 0, -1):
         good[page.parents[k]] += good[k]
         all_[page.parents[k]] += all_[k]
@@ -528,15 +595,16 @@ def default_model(pages: int = 400, seed: int = 7) -> TreeModel:
 def main_texts(sources: list[str | None], model: TreeModel) -> list[str]:
     """The main text of each page; messages run over all pages at once."""
     pages = [parse(s or "") for s in sources]
-    runs = [blocks(p) for p in pages]
-    forest = Forest(pages, runs)
+    forest = Forest(pages, [owned(p) for p in pages])
     content = model.marginals(forest)[0][:, 1] > 0.5
     out = []
-    for base, page, lines in zip(forest.first.tolist(), pages, runs):
+    for base, page in zip(forest.first.tolist(), pages):
+        shown = [bool(c) for c in content[base : base + len(page.tags)]]
         off = list(page.hidden)
         for k in range(1, len(off)):
             off[k] = off[k] or off[page.parents[k]]
-        out.append("\n".join(line for k, line in lines if content[base + k] and not off[k]))
+        lines = [_line([p for p, k in zip(pieces, nodes) if shown[k] and not off[k]]) for _, pieces, nodes in page.runs]
+        out.append("\n".join(filter(None, lines)))
     return out
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from dialoom.llm.html_extract import FEATURES, OTHER, Forest, TreeModel, blocks, default_model, extract, labelled_pages, main_texts, parse
+from dialoom.llm.html_extract import FEATURES, OTHER, Forest, TreeModel, blocks, default_model, extract, labelled_pages, main_texts, owned, parse
 
 
 def one(html):
@@ -171,3 +171,30 @@ def test_silent_blocks_and_formulas_stay():
     formula = "<math><semantics><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x+1</annotation></semantics></math>"
     assert one(f"<article>{ARTICLE}<p>Here a {formula} formula stands.</p></article>") == WANT + "\nHere a x+1 formula stands."
     assert one(f"<article>{ARTICLE}<p hidden>Not shown.</p></article>") == WANT
+
+
+def test_inline_nodes():
+    inside = lambda x: f"<article>{ARTICLE}<p>Before the words {x}and after them.</p></article>"
+    for advert in (
+        "<span class=advert>Buy this now, it is cheap.</span> ",
+        "<ad-slot>Buy this now, it is cheap.</ad-slot> ",
+        '<ins class="adv promo"><b>Buy</b> this <i>now</i>.</ins> ',
+        "<span hidden>not shown</span> ",
+        '<span style="color:red; display: none">not <b>shown</b></span> ',
+        "<b style='visibility:hidden'>not shown</b> ",
+    ):
+        assert one(inside(advert)) == WANT + "\nBefore the words and after them.", advert
+    for kept in ("<span class=text>in a span</span> ", "<b class=c17>in a span</b> ", '<span style="color:red">in a span</span> ', "<em>in a span</em> "):
+        assert one(inside(kept)) == WANT + "\nBefore the words in a span and after them.", kept
+    assert one(f'<article>{ARTICLE}<p style="display:none">Not shown.</p><div style="DISPLAY:NONE"><p>Not shown.</p></div></article>') == WANT
+    # unclosed and crossed inline nodes end with the block around them
+    page = parse("<div><p>a<span class=ad>b<b>c</span>d</b>e<p>f<x-y>g<div>h</div>i</x-y>j</div>k")
+    assert [t for _, t in blocks(page)] == ["abcde", "fg", "h", "ij", "k"]
+    assert [(page.tags[k], t) for k, t in owned(page)] == [("p", "ade"), ("span", "bc"), ("p", "f"), ("x-y", "g"), ("div", "h"), ("div", "ij"), ("html", "k")]
+
+
+def test_the_title_in_an_articles_header_stays():
+    h, a, b, c, d = TEXT
+    for header in (f"<header><h1>{h}</h1></header>", f"<header class=zz><h1>{h}</h1></header>"):
+        page = f"<body><header><p>Harbour Times</p></header><nav><a href=/>Start</a></nav><article>{header}<p>{a}</p><p>{b}</p><h2>{c}</h2><p>{d}</p></article><footer>Imprint</footer></body>"
+        assert one(page) == "\n".join(TEXT), header
