@@ -8,7 +8,8 @@ either side. Only the very last sequence is short. No row is shuffled: what move
 is one total per partition.
 
 Null text counts as empty: such a document is its end id alone. Empty tables give
-no rows. Repeated rows are separate documents. Very long texts give many pieces.
+no rows. Repeated rows are separate documents. Very long texts give many pieces. Only
+the id and the text are read, so the names of other columns cannot clash.
 """
 
 from __future__ import annotations

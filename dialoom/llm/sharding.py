@@ -9,7 +9,10 @@ sub-ranges, their prefix sums and a running sum inside each sub-range give every
 record its place on the line of all bytes; equal lengths of that line are shards.
 
 Null text: no bytes, the crc of no bytes. Empty tables give no rows. Repeated rows
-are separate records. Only the id and text columns are read.
+are separate records. A text is never cut: one that is longer than a shard is the whole
+of one, and shards whose line it covers stay empty. Records that tie in key and salt are
+put in the order of their ids; whichever comes first, sizes are the same. Only the id
+and text columns are read, so the names of other columns cannot clash.
 """
 
 from __future__ import annotations
