@@ -1,8 +1,13 @@
 """A training corpus in four stages: language identification, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
-kept. All but the last return the columns of documents; the last one returns pieces
-of sequences.
+kept. All but the last return the columns of documents, also those that it does not
+know; the last one returns pieces of sequences.
+
+Defined cases: a null text has no letter and goes in the first stage, as do texts without
+letters. Rows with a null id are all kept; of near copies the row with the smallest id
+stays, and of rows that repeat that id one. A document of which exactly a twentieth of
+the words is a benchmark's goes. An empty table gives no pieces.
 """
 
 from __future__ import annotations
