@@ -48,7 +48,7 @@ def record_key(id_col: str = "id", source_col: str = "source_id", columns: list[
 def pair(left: DataFrame, right: DataFrame, key: str = "key", place: str = "place") -> DataFrame:
     """Rows of ``left`` that have a partner, with the partner's columns as ``other_...``; ``place`` keeps the order."""
     other = right.select(F.col(key), *[F.col(c).alias(f"other_{c}") for c in right.columns if c != key])
-    return left.join(small_side(other), key)
+    return left.join(other, key)  # a side is broadcast where its size, as measured at run time, is below Spark's limit
 
 
 def round_robin(df: DataFrame, presets: DataFrame, pos: str = "pos", ord_col: str = "ord", prefix: str = "preset_") -> DataFrame:

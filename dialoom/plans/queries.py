@@ -298,6 +298,15 @@ def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cleaning_counts(_four(spark, sf_dir), filters.is_text_only_record(PROBLEM_COLUMNS))
 
 
+@query(f"SELECT count(*) AS initial, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS removed, (SELECT count(*) FROM ({SQL_FOUR}) WHERE keep) AS written FROM ({SQL_FOUR})")
+def clean_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned records written, with the counts of the job that wrote them beside the rows that the table holds."""
+    path = fresh_path(spark, "clean")
+    counts = workflows.clean_to(_four(spark, sf_dir), path)
+    kept = spark.read.parquet(path).agg(F.count("*").alias("written"))
+    return kept.select(*[F.lit(counts[c]).cast("long").alias(c) for c in ("initial", "kept", "removed")], "written")
+
+
 @query(f"SELECT conv_id, turn, label, coalesce(label IN ({EMOTION_LIST[1:-1]}), false) AS known FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN {DUCK_EMOTION} WHEN 1 THEN 'Deep_Confusion' WHEN 2 THEN NULL ELSE 'engaged' END AS label FROM conversations)")
 def known_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("turn") % 4

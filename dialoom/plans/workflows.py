@@ -63,13 +63,18 @@ def failed_path(path: str) -> str:
     return f"{path.rstrip('/')}_failed"
 
 
-def _messages(system: Column | str, prompt: str) -> Column:
-    return F.array(chat.message("system", F.lit(system) if isinstance(system, str) else system), chat.message("user", F.col(prompt)))
+def _messages(system: Column | str, prompt: Column) -> Column:
+    return F.array(chat.message("system", F.lit(system) if isinstance(system, str) else system), chat.message("user", prompt))
+
+
+def _dealt(client: Client | ReplayTable, spread: Spread) -> Spread | None:
+    """Only calls are dealt over tasks; what is looked up in a table stays where it is."""
+    return None if isinstance(client, ReplayTable) else spread
 
 
 def request_of(task: str, system: str, prompt: Column) -> Column:
     """The key of the request that a workflow makes for a prompt, by which recorded replies are found."""
-    return request_column(task, F.array(chat.message("system", F.lit(system)), chat.message("user", prompt)))
+    return request_column(task, _messages(system, prompt))
 
 
 def similar_prompt(question: Column, solution: Column) -> Column:
@@ -81,22 +86,23 @@ def _asked(
     client: Client | ReplayTable,
     task: str,
     system: str,
+    prompt: Column,
     temperature: float,
     path: str,
     spread: Spread,
     schema: dict | None = None,
     form: StructType | None = None,
 ) -> DataFrame:
-    """Asks for a reply to each row's ``prompt``, once: replies are written before they are used. Failed calls, and
+    """Asks for a reply to each row's prompt, once: replies are written before they are used. Failed calls, and
     replies that are not of the ``form`` asked for, go to a table of their own (task, pos, prompt, error); a reply of the
     form is parsed once, to ``made``."""
-    asked = ask(rows, client, task, _messages(system, "prompt"), temperature, schema, spread.plan(rows.sparkSession)[1])
+    asked = ask(rows, client, task, _messages(system, prompt), temperature, schema, spread.plan(rows.sparkSession)[1])
     if form:
         asked = asked.withColumn("made", strict_reply(F.col("reply"), form))
     done = Scratch(rows.sparkSession, task).write(asked, "replies")
     if form:
         done = done.withColumn("error", F.coalesce("error", F.when(F.col("made").isNull(), "the reply is not of the form asked for")))
-    failed = done.where("error is not null").select(F.lit(task).alias("task"), "pos", "prompt", "error")
+    failed = done.where("error is not null").select(F.lit(task).alias("task"), "pos", prompt.alias("prompt"), "error")
     failed.write.mode("append").parquet(failed_path(path))
     return done.where("error is null")
 
@@ -123,8 +129,8 @@ def translate(
         remove(spark, failed_path(path))
 
     def run(rows: DataFrame) -> DataFrame:
-        told = rows.withColumn("prompt", _worded("translate", problem=F.col("problem"), solution=F.col("solution")))
-        done = _asked(told, client, "translate", system, 0.3, path, spread)
+        told = _worded("translate", problem=F.col("problem"), solution=F.col("solution"))
+        done = _asked(rows, client, "translate", system, told, 0.3, path, spread)
         blocks = tagged_blocks(F.col("reply"))
         return done.select(
             "pos",
@@ -138,7 +144,7 @@ def translate(
             blocks["translated_solution"].alias("translated_solution"),
         )
 
-    return first_successes(spark, problems, filters.is_text_only(F.col("problem")), path, limit, run, start=start, spread=spread, **options)
+    return first_successes(spark, problems, filters.is_text_only(F.col("problem")), path, limit, run, start=start, spread=_dealt(client, spread), **options)
 
 
 def translate_test(
@@ -227,10 +233,8 @@ def make_similar(
     solution = first_filled(F.col("translated_solution"), F.coalesce(F.col("original_solution"), F.lit("")))
     rows = problems.select("pos", "id", "type", "level", "original_problem", question.alias("question"), solution.alias("solution"))
     spread = spread or Spread()
-    rows = rows.withColumn("prompt", similar_prompt(F.col("question"), F.col("solution")))
-
     def run(some: DataFrame) -> DataFrame:
-        done = _asked(some, client, "similar", system, 0.5, path, spread, SIMILAR_REPLY, SIMILAR_RESPONSE)
+        done = _asked(some, client, "similar", system, similar_prompt(F.col("question"), F.col("solution")), 0.5, path, spread, SIMILAR_REPLY, SIMILAR_RESPONSE)
         return done.select(
             "pos",
             F.col("id").alias("source_id"),
@@ -242,7 +246,7 @@ def make_similar(
             F.coalesce("made.similar_solution", F.lit("")).alias("similar_solution"),
         ).where(filters.is_text_only(F.col("similar_question")))
 
-    return append_missing(spark, rows.withColumn("source_id", F.col("id")), path, "source_id", lambda d: run(d.drop("source_id")), wave, spread=spread)
+    return append_missing(spark, rows.withColumn("source_id", F.col("id")), path, "source_id", lambda d: run(d.drop("source_id")), wave, spread=_dealt(client, spread))
 
 
 def evaluation_inputs(originals: DataFrame, similar: DataFrame, profiles: DataFrame, student_prompt: str, teacher_prompt: str) -> DataFrame:
@@ -283,20 +287,20 @@ def evaluate(
     ``answers`` answers the similar problems, by default the student."""
     spread, both = spread or Spread(), _Both(student, teacher)
     each = spread.plan(spark)[1]
-    grow = lambda todo, name, run: append_missing(spark, todo, f"{path}/{name}", "source_id", run, wave, spread=spread)
-    first = grow(inputs, "phase1", lambda d: dialogue.simulate_evaluation(d, both, max_turns, each))
+    grow = lambda todo, name, run, by: append_missing(spark, todo, f"{path}/{name}", "source_id", run, wave, spread=_dealt(by, spread))
+    first = grow(inputs, "phase1", lambda d: dialogue.simulate_evaluation(d, both, max_turns, each), both)
     told = first.withColumn("prompt", _worded("transfer", history=chat.history(F.col("dialogue_log")), question=F.col("similar_question")))
 
     def answer(rows: DataFrame) -> DataFrame:
-        done = ask(rows, answers or student, "answer", _messages(F.col("transfer_system"), "prompt"), 0.2, None, each)
+        done = ask(rows, answers or student, "answer", _messages(F.col("transfer_system"), F.col("prompt")), 0.2, None, each)
         # a failed call is an answer too, and is judged
         return done.withColumn("phase2_student_answer", F.coalesce(strip(F.col("reply")), F.lit(FAILED_ANSWER))).drop("reply", "error")
 
-    second = grow(told, "phase2", answer)
+    second = grow(told, "phase2", answer, answers or student)
     asked = second.withColumn("question", _worded("judge", answer=F.col("phase2_student_answer"), solution=F.col("similar_solution")))
 
     def grade(rows: DataFrame) -> DataFrame:
-        done = ask(rows, judge, "judge", _messages(judge_prompt, "question"), 0.0, JUDGE_REPLY, each)
+        done = ask(rows, judge, "judge", _messages(judge_prompt, F.col("question")), 0.0, JUDGE_REPLY, each)
         return done.withColumn("_v", dialogue.verdicts("reply", "error")).select(
             "pos",
             "source_id",
@@ -309,7 +313,7 @@ def evaluate(
             "dialogue_log",
         )
 
-    return grow(asked, "results", grade)
+    return grow(asked, "results", grade, judge)
 
 
 class _Both:

@@ -68,23 +68,28 @@ def append_missing(
     After a crash, the same call goes on where it stopped, so no costly call is made
     twice for a row that was written. ``restart`` empties the table first. What is
     left to do is found once, numbered in the order of ``pos`` and written; each wave
-    reads its range of numbers only, dealt over the tasks by ``spread``. Waves have
+    reads its range of numbers only, dealt over the tasks by ``spread``. Without one, rows stay in the tasks that read
+    them, and what fits one wave is neither numbered nor written first. Waves have
     ``wave`` rows, more where that would be over ``MOST_WAVES`` of them. ``report`` gets the
     counts of each wave as it ends: wave, waves, rows and written.
     """
-    spread = spread or Spread()
     if restart and path_exists(spark, path):
         remove(spark, path)
     if path_exists(spark, path):
         todo = todo.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti").select(*todo.columns)
     scratch = Scratch(spark, "waves")
-    left = scratch.write(renumber(todo, pos, "_n"), "todo")
-    total = left.count()  # from the files' footers
+    total = None if spread else todo.count()
+    if spread or total > wave:
+        left = scratch.write(renumber(todo, pos, "_n"), "todo")
+        total = left.count()  # from the files' footers
+    else:
+        left = None
     wave = max(wave, math.ceil(total / MOST_WAVES))
     waves = math.ceil(total / wave)
     for k in range(waves):
         seen = Observation()
-        rows = spread.deal(left.where((F.col("_n") >= k * wave) & (F.col("_n") < (k + 1) * wave)), "_n")
+        rows = todo if left is None else left.where((F.col("_n") >= k * wave) & (F.col("_n") < (k + 1) * wave))
+        rows = spread.deal(rows, "_n") if spread else rows.drop("_n")
         run(rows).observe(seen, F.count("*").alias("written")).write.mode("append").parquet(path)
         if report:
             report({"wave": k + 1, "waves": waves, "rows": min(wave, total - k * wave), **seen.get})
@@ -121,11 +126,11 @@ def first_successes(
     wave takes as many candidates as successes are missing, so exactly those calls are
     made that a loop over single rows would make. ``ahead``: after the first wave it asks
     for more, by the share of successes so far; the surplus is cut by position.
-    ``run`` returns rows of successes only, with ``pos``. A wave's results are a folder
+    ``spread`` deals a wave over the tasks. ``run`` returns rows of successes only, with ``pos``. A wave's results are a folder
     of their own, and the cursor moves when it is complete: with ``resume`` the same call
     goes on behind the cursor and overwrites a wave that was not finished.
     """
-    spread, marks = spread or Spread(), cursor_path(path)
+    marks = cursor_path(path)
     asked = got = k = 0
     if resume and path_exists(spark, marks):
         done = spark.read.schema("wave int, after long, asked long, got long").json(marks)
@@ -155,7 +160,7 @@ def first_successes(
         want = math.ceil(missing * asked / got) if ahead and got else missing
         here = pool.where((F.col("_n") >= taken) & (F.col("_n") < taken + want))
         after, n = here.agg(F.max(pos), F.count("*")).first()
-        seen, made = Observation(), run(spread.deal(here, "_n"))
+        seen, made = Observation(), run(spread.deal(here, "_n") if spread else here.drop("_n"))
         if want > missing:
             made = made.orderBy(pos).limit(missing)
         made.observe(seen, F.count("*").alias("written")).write.mode("overwrite").parquet(f"{path}/wave={k:05d}")

@@ -16,14 +16,18 @@ from pyspark.sql.types import StructType
 from ..functions import chat
 from ..operators.filters import is_completed
 from ..schemas import DIALOGUE_SESSION
+from ..sources.progress import Progress
 
 
 def session_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(DIALOGUE_SESSION).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def sft_stream(sessions: DataFrame, system: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends the chat records of completed sessions to ``out``; each input file is used exactly once."""
+def sft_stream(sessions: DataFrame, system: str, out: str, checkpoint: str, progress: Progress | None = None) -> StreamingQuery:
+    """Appends the chat records of completed sessions to ``out``; each input file is used exactly once. ``progress`` counts
+    the sessions that were read, and those that were completed, as step ``sft``."""
+    if progress:
+        sessions = progress.watch_stream(sessions, "sft", read=F.count("*"), completed=F.count_if(is_completed(F.col("is_completed"))))
     records = sessions.where(is_completed(F.col("is_completed"))).select(
         "source_id", chat.chat_messages(system, F.col("problem"), F.col("conversation")).alias("messages")
     )

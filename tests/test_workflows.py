@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -11,6 +12,7 @@ from dialoom.plans import presets, workflows
 from dialoom.plans.client import CallFailed, ReplayClient, StubClient, request_key
 from dialoom.plans.dialogue import answer_similar, corpus_dialogue, evaluation_dialogue, judge_answer
 from dialoom.schemas import RAW_PROBLEM, STUDENT_PROFILE
+from dialoom.sources.progress import Progress
 from dialoom.sources.readers import read_json_array, read_jsonl, read_keyed, read_problems, read_prompt
 from dialoom.sources.writers import append_missing, write_json_array, write_jsonl
 from dialoom.streaming.incremental import emotion_stream, session_stream, sft_stream
@@ -146,8 +148,15 @@ def test_whole_corpus_workflow(spark, tmp_path):
     assert {m["messages"][0]["content"].rsplit("\n", 1)[1] for m in lines} == want
     stream_in = str(tmp_path / "d_json")
     first.drop("pos").write.json(stream_in)
-    query = sft_stream(session_stream(spark, stream_in), presets.SFT_PROMPT, str(tmp_path / "out"), str(tmp_path / "cp"))
+    progress = Progress(spark)
+    query = sft_stream(session_stream(spark, stream_in), presets.SFT_PROMPT, str(tmp_path / "out"), str(tmp_path / "cp"), progress)
     query.awaitTermination(120)
+    for _ in range(50):
+        if progress.streamed("sft"):
+            break
+        time.sleep(0.1)
+    assert progress.streamed("sft") == {"read": len(rows), "completed": len(done)}
+    progress.close()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(done)
     query = emotion_stream(session_stream(spark, stream_in), "states", str(tmp_path / "cp2"))
     query.awaitTermination(120)
@@ -266,8 +275,6 @@ def test_permutation_is_bounded(spark, monkeypatch):
 
 
 def test_figure_search_is_linear(spark):
-    import time
-
     from dialoom.operators.filters import is_text_only
 
     long = ["as " * 300_000, "shown " * 200_000, "x" * 1_000_000 + " as it is shown", "shown" + " y" * 500_000 + "as"]
