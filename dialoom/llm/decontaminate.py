@@ -18,6 +18,8 @@ searched in several parts, each below the bound, whose hits are united.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,15 +47,17 @@ class WordSearch:
     """Wu-Manber tables for the patterns of one length: pieces of the items' words, which are numbers.
 
     The shift table has a byte for each hash of a block of two words: how far the search
-    may jump where that block ends, at least. Patterns lie in the order of their last
-    block; they are the places in ``words`` where they begin, so nothing is held twice.
+    may jump where that block ends, at least; it is so wide that few blocks of other texts
+    meet one of the patterns there. Patterns lie in the order of their last block; they are
+    the places in ``words`` where they begin, so nothing is held twice.
     """
 
     def __init__(self, length: int, words: np.ndarray, begins: np.ndarray) -> None:
         self.length, self.pairs = length, length > 1
         self.default = min(255, length - 1 if self.pairs else 1)
-        self.mask = (1 << max(10, (4 * len(begins)).bit_length())) - 1
-        table = np.full(self.mask + 1, self.default, np.uint8)
+        self.mask = (1 << max(10, (16 * len(begins)).bit_length())) - 1
+        self.table = bytearray(bytes([self.default])) * (self.mask + 1)
+        table = np.frombuffer(self.table, np.uint8)
         keys = np.empty(len(begins), np.int64)
         for at in range(0, len(begins), 1 << 18):  # the numbers of a part at a time
             some = begins[at : at + (1 << 18)]
@@ -62,14 +66,14 @@ class WordSearch:
                 before = words[some + (end - 2)].astype(np.int64) if self.pairs else np.int64(0)
                 np.minimum.at(table, (before * FACTOR + last) & self.mask, min(255, length - end))
             keys[at : at + len(some)] = last + (before << 32)
-        self.table = table.tobytes()
         order = np.argsort(keys, kind="stable").astype(np.int32)
-        self.keys, self.begins, self.words = keys[order], begins[order], words
+        self.keys, self.begins, self.words = array("q", keys[order].tobytes()), array("i", begins[order].tobytes()), words.tobytes()
 
     def search(self, words: list, number: Callable, hit: list, places: list) -> None:
         """Adds the (begin, end) of each occurrence to ``hit`` and where its patterns begin to ``places``."""
         n, length, table, mask, pairs, default = len(words), self.length, self.table, self.mask, self.pairs, self.default
-        at, last, before = length - 1, None, 0
+        keys, begins, own = self.keys, self.begins, self.words
+        at, before = length - 1, 0
         while at < n:
             # a word that no item has ends no block of a pattern
             if (last := number(words[at])) is None or (pairs and (before := number(words[at - 1])) is None):
@@ -79,17 +83,18 @@ class WordSearch:
                 at += step
                 continue
             key = last + (before << 32)
-            low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            if low < high:
+            k = bisect_left(keys, key)
+            if k < len(keys) and keys[k] == key:
                 here = [number(w) for w in words[at + 1 - length : at + 1]]
                 if None not in here:
-                    begins = self.begins[low:high]
-                    equal = np.ones(len(begins), bool)
-                    for k, w in enumerate(here):
-                        equal[equal] = self.words[begins[equal] + k] == w
-                    if equal.any():
+                    said, before_this = array("i", here).tobytes(), len(places)
+                    while k < len(keys) and keys[k] == key:
+                        begin = begins[k]
+                        if own[4 * begin : 4 * (begin + length)] == said:
+                            places.append(begin)
+                        k += 1
+                    if len(places) > before_this:
                         hit.append((at + 1 - length, at + 1))
-                        places.append(begins[equal])
             at += 1
 
 
@@ -119,7 +124,7 @@ class Searcher:
         words, hit, places = words_of(text), [], []
         for s in self.searches:
             s.search(words, self.number, hit, places)
-        found = set(np.searchsorted(self.starts, np.concatenate(places), "right").tolist()) if places else ()
+        found = set(np.searchsorted(self.starts, np.array(places), "right").tolist()) if places else ()
         # items without words begin where the next one does: the last one that begins there has the words
         return len(words), hit, {self.items[k - 1] for k in found} - {None}
 
