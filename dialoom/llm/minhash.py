@@ -51,6 +51,11 @@ SMALL = 8
 BLOCK, LEADERS = 256, 4
 #: Classes of a block of the second round, where pairs of blocks meet; and shingles of a block of either round.
 PAIR_BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Runs of the second round up to this length are compared whole.
+SHORT = 64
+#: A band that would deal each class to more blocks than this is divided by codes of other registers,
+#: made from so many shuffles of these.
+WIDE, SHUFFLES = 64, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,6 +106,22 @@ def plan(percent: int, bands: int = BANDS, miss: float = 1e-5) -> int:
     return max([1, *(r for r in range(1, 13) if (1 - j**r) ** bands < miss)])
 
 
+def sub_plan(percent: int, others: int, miss: float = 1e-5) -> int:
+    """Registers a code of a divided band: as many as keep the chance that a pair at the limit shares no code below ``miss``.
+
+    Of ``others`` registers a binomial number k agrees; given k, a code agrees as a draw without replacement does."""
+    k = np.arange(others + 1)
+    log = np.append(0, np.cumsum(np.log(np.arange(1, others + 1))))
+    j = percent / 100
+    weight = np.exp(log[others] - log - log[::-1] + k * np.log(j) + (others - k) * np.log(max(1 - j, 1e-12)))
+    best = 1
+    for r in range(1, 13):
+        agree = np.prod([np.maximum(k - i, 0) / (others - i) for i in range(r)], axis=0)
+        if (weight * (1 - agree) ** (SHUFFLES * (others // r))).sum() < miss:
+            best = r
+    return best
+
+
 def leading_zeros(sizes: np.ndarray, count: int) -> np.ndarray:
     """For sets of these sizes, how likely a register has 0, 1, 2 ... leading zeros."""
     zeros = np.arange(0, 40)[None, :]
@@ -119,6 +140,15 @@ def band_codes(regs: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
     return code, (cells != EMPTY).any(2)
 
 
+def sub_codes(regs: np.ndarray, band: int, bands: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, filled) of rows that share ``band``, from the registers outside it, shuffled alike in all tasks."""
+    r = regs.shape[1] // bands
+    others = np.delete(regs, np.s_[band * r : (band + 1) * r], axis=1)
+    groups = others.shape[1] // width
+    order = [np.random.default_rng(k).permutation(others.shape[1])[: groups * width] for k in range(SHUFFLES)]
+    return band_codes(others[:, np.concatenate(order)], SHUFFLES * groups)
+
+
 class Estimator:
     """Decides which pairs of rows go on to the check; holds the registers of one table of rows."""
 
@@ -186,6 +216,8 @@ def _surviving(table: pa.Table, begin: np.ndarray, leads: np.ndarray, bands: int
     if second:
         own, lo, hi = (table[c].to_numpy() for c in ("_own", "_lo", "_hi"))
         root = table["_root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        # all pairs of short runs, which are handled together; those of one component go below
+        leads = leads | np.repeat(np.diff(begin) <= SHORT, np.diff(begin))
     found = [(np.zeros(0, np.int64),) * 2]
     for a, b in led_pairs(begin, leads, not second):
         if second:  # what is not joined yet; of two blocks, pairs across them
@@ -276,18 +308,49 @@ def near_duplicates(
     # second round: what is left between the components of one band
     known = members.join(roots, F.col("_rep") == F.col("node"), "left")
     known = scratch.write(known.select("_code", "_band", "_rep", "_n", F.coalesce("root", "_rep").alias("_root")), "known")
-    split = known.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
-    left = scratch.write(known.join(split, "_code", "left_semi"), "left")
-    parts = left.groupBy("_code", "_root").agg(F.count("*").alias("k"), F.sum("_n").alias("w"))
-    bands_ = parts.groupBy("_code").agg(F.max(F.struct("k", "_root", "w")).alias("big"), F.sum("k").alias("k"), F.sum("w").alias("w"))
-    outside = F.col("k") - F.col("big.k")
-    bands_ = bands_.select(
-        "_code",
-        F.col("big._root").alias("_big"),
-        (outside > 1).alias("_several"),
-        full(outside, F.col("w") - F.col("big.w"), PAIR_BLOCK).alias("_s"),
-        full(F.col("big.k"), F.col("big.w"), PAIR_BLOCK).alias("_b"),
-    )
+
+    def apart(rows_: DataFrame, name: str) -> DataFrame:
+        """The rows of codes that several components share."""
+        split = rows_.groupBy("_code").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).where("x <> y").select("_code")
+        return scratch.write(rows_.join(split, "_code", "left_semi"), name)
+
+    def sizes(rows_: DataFrame) -> DataFrame:
+        """Of each code: its largest component, whether several classes are outside it, and the blocks that both fill."""
+        parts = rows_.groupBy("_code", "_root").agg(F.count("*").alias("k"), F.sum("_n").alias("w"))
+        both = parts.groupBy("_code").agg(F.max(F.struct("k", "_root", "w")).alias("big"), F.sum("k").alias("k"), F.sum("w").alias("w"))
+        outside = F.col("k") - F.col("big.k")
+        return both.select(
+            "_code",
+            F.col("big._root").alias("_big"),
+            (outside > 1).alias("_several"),
+            full(outside, F.col("w") - F.col("big.w"), PAIR_BLOCK).alias("_s"),
+            full(F.col("big.k"), F.col("big.w"), PAIR_BLOCK).alias("_b"),
+        )
+
+    left = apart(known, "left")
+    bands_ = scratch.write(sizes(left), "bands")
+    wide = scratch.write(bands_.where(F.col("_s") + F.col("_b") > WIDE).select("_code"), "wide")
+    if n_wide := wide.count():
+        width = sub_plan(percent, count - count // bands)
+
+        def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1024):
+                regs_, band = fixed(batch.column(5), "<u2"), batch.column(1).to_numpy()
+                outer = batch.column(0).to_numpy().view(np.uint64)
+                for k in np.unique(band).tolist():
+                    here = np.flatnonzero(band == k)
+                    codes, filled = sub_codes(regs_[here], k, bands, width)
+                    who = here[np.nonzero(filled)[0]]
+                    inner = _mix(codes[filled] + outer[who] * M2)
+                    taken = [batch.column(c).take(pa.array(who)) for c in (1, 2, 3, 4)]
+                    yield from slices(iter([pa.RecordBatch.from_arrays([pa.array(inner.view(np.int64)), *taken], names=names)]), 8192)
+
+        names = ["_code", "_band", "_rep", "_n", "_root"]
+        side = small_side(wide, n_wide)
+        inside = left.join(side, "_code", "left_semi").join(regs, "_rep").select(*names, "_regs")
+        inside = apart(inside.mapInArrow(divide, f"_code long, _band int, _rep {kind}, _n long, _root {kind}"), "inside")
+        left = left.join(side, "_code", "left_anti").select(*names).union(inside.select(*names))
+        bands_ = bands_.join(side, "_code", "left_anti").union(sizes(inside))
     left = left.join(bands_, "_code").withColumn("_leads", F.col("_root") != F.col("_big"))
     left = left.withColumn("_own", F.pmod(F.xxhash64("_rep"), F.when(F.col("_leads"), F.col("_s")).otherwise(F.col("_b"))).cast("int"))
     # blocks of outsiders meet each other (_lo <= _hi) and the blocks of the largest component (_hi < 0)
@@ -302,7 +365,7 @@ def near_duplicates(
     more = _links(scratch, docs, classes, left, "two", ["_code", "_lo", "_hi"], shingle, percent, bands, id_col, text_col)
     joined = links.union(more).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(scratch, joined, "cc2_")
-    scratch.drop("known", "left", "members")
+    scratch.drop("known", "left", "bands", "wide", "inside", "members")
 
     named = classes.select("_class", "_rep").join(roots, F.col("_rep") == F.col("node")).select("_class", F.col("root").alias("_root"))
     several = rows.groupBy("_class").count().where("count > 1 and _class is not null").select("_class")
