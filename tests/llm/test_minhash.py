@@ -149,41 +149,6 @@ def test_a_large_group_makes_rows_in_proportion(spark, monkeypatch):
         assert c["marked_one"] <= 2 * c["members"] and c["marked_two"] <= 2 * c["members"] and c["links_two"] <= c["marked_two"], counts
 
 
-def passage(size, seed=3):
-    """Texts that share a long passage and are no near copies, but for one in ten, which copies another nearly."""
-    draw = random.Random(seed)
-    vocabulary = [f"p{k}" for k in range(5000)]
-    common = [draw.choice(vocabulary) for _ in range(70)]
-    rows = []
-    for k in range(size):
-        words = common + [draw.choice(vocabulary) for _ in range(25)]
-        if k % 10 == 9:
-            words = rows[-5][1].split()[:-1] + ["other"]
-        rows.append((k, " ".join(words)))
-    return rows
-
-
-def test_a_band_of_outsiders_makes_rows_in_proportion(spark, monkeypatch):
-    """Texts that share bands by a common passage are divided by further codes: dealt rows grow as the texts do."""
-    dealt_rows = []
-    links = minhash._links
-
-    def counted(scratch, docs, classes, dealt, name, *rest):
-        if name == "two":
-            dealt_rows.append(dealt.count())
-        return links(scratch, docs, classes, dealt, name, *rest)
-
-    monkeypatch.setattr(minhash, "_links", counted)
-    monkeypatch.setattr(minhash, "PAIR_BLOCK", 16)
-    monkeypatch.setattr(minhash, "WIDE", 3)
-    sizes = (400, 800)
-    for size in sizes:
-        got = near_duplicates(spark.createDataFrame(passage(size), "doc_id long, text string").repartition(4), 3, 85).collect()
-        assert sorted((r.doc_id, r.component_id) for r in got) == [(k, k - 5 if k % 10 == 9 else k) for k in range(size)]
-    print(f"rows dealt out for {sizes}: {dealt_rows}")
-    assert dealt_rows[1] <= 2.2 * dealt_rows[0], dealt_rows
-
-
 @pytest.mark.parametrize("percent", [70, 80, 85, 90])
 def test_pairs_at_the_limit_share_a_code_of_a_divided_band(percent):
     bands = minhash.BANDS
